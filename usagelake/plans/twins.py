@@ -89,6 +89,16 @@ TWINS = {
                     ELSE 'estimated' END AS tokens_kind,
                CASE WHEN length(text) = 0 THEN '' ELSE 'sha256:' || @SHA[text] END AS content_hash
         FROM components""",
+    "context_turns": """
+        SELECT session_id, source, turn_sequence,
+               CASE WHEN min(ord) % 7 = 0 THEN NULL ELSE 100 + (min(ord) % 50) * 40 END AS input,
+               CASE WHEN min(ord) % 7 = 0 THEN NULL WHEN min(ord) % 7 = 1 THEN 'estimated'
+                    ELSE 'derived' END AS input_kind,
+               CASE WHEN min(ord) % 4 = 0 THEN NULL ELSE min(ord) % 90 END AS cached,
+               CASE WHEN min(ord) % 4 = 0 THEN NULL ELSE 'derived' END AS cached_kind
+        FROM context WHERE turn_sequence IS NOT NULL GROUP BY session_id, source, turn_sequence""",
+    "context_sessions": """
+        SELECT session_id, source FROM context GROUP BY session_id, source""",
     # Tool results of a session: name, argument fingerprint, output hash.
     "tool_results": """
         SELECT 'u' || CAST(user_id AS STRING) AS session_id, event_id AS ord,
@@ -251,6 +261,8 @@ TWINS = {
 # Which twin a twin reads, besides the shared tables.
 DEPENDS = {
     "context": ("components",),
+    "context_turns": ("context",),
+    "context_sessions": ("context",),
     **{name: ("ev",) for name in (
         "counters", "messages", "tool_results", "tool_links", "usage_events", "observations",
         "priced", "frames", "failures")},
