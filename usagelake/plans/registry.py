@@ -40,5 +40,6 @@ def load() -> None:
     """Import every module that registers queries."""
     from usagelake.plans import (  # noqa: F401
         context_queries,
+        pricing_queries,
         usage_queries,
     )
