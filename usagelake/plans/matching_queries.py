@@ -1,0 +1,86 @@
+"""Registered queries: matching and reconciliation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from usagelake.operators import matching
+from usagelake.plans.registry import query
+from usagelake.plans.twins import twin
+
+FIELDS = ("fresh_input", "cached_input", "cache_creation_input", "total_input", "output", "reasoning_output", "total")
+_EQUAL = " + ".join(f"CASE WHEN g.{f} = t.{f} THEN 1 ELSE 0 END" for f in FIELDS)
+
+MATCH = f"""
+o AS (SELECT *, lower(trim(model)) AS m FROM observations),
+gw AS (SELECT * FROM o WHERE channel = 'gateway'), tr AS (SELECT * FROM o WHERE channel = 'session_transcript'),
+same AS (SELECT g.id AS gid, t.id AS tid FROM gw g JOIN tr t ON g.response_object_id = t.response_object_id
+           AND g.response_object_id <> ''
+         UNION SELECT g.id, t.id FROM gw g JOIN tr t ON g.turn_id = t.turn_id AND g.turn_id <> ''),
+near AS (SELECT g.id AS gid, t.id AS tid, abs(g.started_us - t.started_us) AS delta, {_EQUAL} AS eq,
+                g.m <> '' AND g.m = t.m AS sm
+         FROM gw g JOIN tr t ON t.started_us BETWEEN g.started_us - 120000000 AND g.started_us + 120000000
+         WHERE (g.m = '' OR t.m = '' OR g.m = t.m)),
+pairs AS (SELECT gid, tid, true AS ident, NULL AS delta, NULL AS eq, NULL AS sm FROM same
+          UNION ALL SELECT gid, tid, false, delta, eq, sm FROM near n WHERE (sm OR eq > 0)
+            AND NOT EXISTS (SELECT 1 FROM same s WHERE s.gid = n.gid AND s.tid = n.tid)),
+gr AS (SELECT *, rank() OVER (PARTITION BY gid ORDER BY ident DESC, delta, eq DESC, sm DESC) AS r FROM pairs),
+tt AS (SELECT *, rank() OVER (PARTITION BY tid ORDER BY ident DESC, delta, eq DESC, sm DESC) AS r FROM pairs),
+gp AS (SELECT gid, bool_or(ident) AS ident, count(*) AS n, min(tid) AS lo, max(tid) AS hi, max(eq) AS eq, bool_or(sm) AS sm
+       FROM gr WHERE r = 1 GROUP BY gid),
+tp AS (SELECT tid, bool_or(ident) AS ident, count(*) AS n, min(gid) AS lo FROM tt WHERE r = 1 GROUP BY tid),
+res AS (SELECT gw.id AS gid, gp.*  EXCLUDE (gid), CASE WHEN gp.gid IS NULL THEN 'unmatched' WHEN gp.n > 1 THEN 'ambiguous'
+               WHEN tp.ident IS DISTINCT FROM gp.ident THEN 'unmatched' WHEN tp.n > 1 THEN 'ambiguous'
+               WHEN tp.lo = gw.id THEN 'matched' ELSE 'unmatched' END AS status
+        FROM gw LEFT JOIN gp ON gw.id = gp.gid LEFT JOIN tp ON gp.n = 1 AND tp.tid = gp.lo),
+used AS (SELECT lo AS tid FROM res WHERE status = 'matched' OR (status = 'ambiguous' AND n = 1)
+         UNION SELECT gr.tid FROM gr JOIN res ON gr.gid = res.gid AND gr.r = 1 WHERE status = 'ambiguous'),
+matches AS (
+  SELECT CASE WHEN status = 'matched' THEN 'match:' || gid || '=' || lo ELSE 'match:gateway:' || gid END AS match_id,
+         gid AS gateway_id, CASE WHEN status = 'matched' THEN lo END AS transcript_id, status,
+         CASE WHEN status = 'matched' THEN CASE WHEN ident THEN 'high' ELSE 'medium' END END AS confidence,
+         CASE WHEN status = 'matched' THEN CASE WHEN ident THEN 'shared_identity' ELSE 'time' ||
+              CASE WHEN sm THEN ',model' ELSE '' END || CASE WHEN eq > 0 THEN ',usage' ELSE '' END END END AS reasons,
+         CASE WHEN status <> 'matched' THEN 'gateway' END AS side,
+         CASE WHEN status = 'ambiguous' THEN lo END AS first_candidate, CASE WHEN status = 'ambiguous' THEN hi END AS last_candidate
+  FROM res
+  UNION ALL
+  SELECT 'match:transcript:' || id, NULL, id, 'unmatched', NULL, NULL, 'transcript', NULL, NULL
+  FROM tr WHERE id NOT IN (SELECT tid FROM used))
+"""
+
+
+def _sides(spark, sf_dir):
+    observations = twin(spark, sf_dir, "observations")
+    return matching.gateway_requests(observations), matching.transcript_turns(observations)
+
+
+@query("j2_identity_partners", ("observations",), "WITH " + MATCH + """
+SELECT gid AS id, min(tid) AS lo, max(tid) AS hi FROM same GROUP BY gid""")
+def j2(spark, sf_dir):
+    gateways, transcripts = _sides(spark, sf_dir)
+    return matching.identity_partners(gateways, transcripts)
+
+
+@query("j3_nearest_candidates", ("observations",), "WITH " + MATCH + """
+SELECT gid AS id, min(delta) AS delta FROM near WHERE sm OR eq > 0 GROUP BY gid""")
+def j3(spark, sf_dir):
+    gateways, transcripts = _sides(spark, sf_dir)
+    rows, facts = matching.signatures(gateways)
+    other_rows, other_facts = matching.signatures(transcripts)
+    found = matching.nearest(matching.Side(rows, facts, True), matching.Side(other_rows, other_facts, False),
+                             matching.DEFAULT_WINDOW_US)
+    return rows.join(found, "sig").select("id", "delta")
+
+
+@query("j4_mutual_best_match", ("observations",), "WITH " + MATCH + """
+SELECT * FROM matches WHERE gateway_id IS NOT NULL""")
+def j4(spark, sf_dir):
+    return matching.match(twin(spark, sf_dir, "observations")).matches.where("gateway_id IS NOT NULL")
+
+
+@query("j5_unmatched_transcripts", ("observations",), "WITH " + MATCH + """
+SELECT match_id, transcript_id, status, side FROM matches WHERE side = 'transcript'""")
+def j5(spark, sf_dir):
+    return matching.match(twin(spark, sf_dir, "observations")).matches.where("side = 'transcript'").select(
+        "match_id", "transcript_id", "status", "side")

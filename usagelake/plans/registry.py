@@ -40,6 +40,7 @@ def load() -> None:
     """Import every module that registers queries."""
     from usagelake.plans import (  # noqa: F401
         context_queries,
+        matching_queries,
         pricing_queries,
         usage_queries,
     )
