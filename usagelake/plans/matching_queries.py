@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from usagelake.operators import matching
+from usagelake.operators import matching, observations, reconcile, usage
+from usagelake.plans import usage_queries
 from usagelake.plans.registry import query
 from usagelake.plans.twins import twin
 
@@ -51,8 +52,8 @@ matches AS (
 
 
 def _sides(spark, sf_dir):
-    observations = twin(spark, sf_dir, "observations")
-    return matching.gateway_requests(observations), matching.transcript_turns(observations)
+    seen = twin(spark, sf_dir, "observations")
+    return matching.gateway_requests(seen), matching.transcript_turns(seen)
 
 
 @query("j2_identity_partners", ("observations",), "WITH " + MATCH + """
@@ -84,3 +85,151 @@ SELECT match_id, transcript_id, status, side FROM matches WHERE side = 'transcri
 def j5(spark, sf_dir):
     return matching.match(twin(spark, sf_dir, "observations")).matches.where("side = 'transcript'").select(
         "match_id", "transcript_id", "status", "side")
+
+
+FIELD_ROWS = "\n UNION ALL ".join(
+    f"SELECT m.match_id, m.gateway_id, m.transcript_id, '{f}' AS field, g.{f} AS gateway_value, t.{f} AS transcript_value "
+    f"FROM matches m JOIN gw g ON g.id = m.gateway_id JOIN tr t ON t.id = m.transcript_id WHERE m.status = 'matched'"
+    for f in FIELDS)
+COMPARED = MATCH + f""",
+raw AS ({FIELD_ROWS}),
+compared AS (SELECT *, transcript_value - gateway_value AS delta,
+  CASE WHEN transcript_value - gateway_value IS NULL THEN 'unavailable' WHEN transcript_value = gateway_value THEN 'equal'
+       ELSE 'different' END AS status FROM raw),
+paired AS (SELECT match_id, gateway_id, transcript_id,
+  CASE WHEN bool_or(status = 'different') THEN 'different' WHEN bool_or(status = 'equal') THEN 'equal'
+       ELSE 'unavailable' END AS status FROM compared GROUP BY ALL)
+"""
+
+
+def _matched(spark, sf_dir):
+    seen = twin(spark, sf_dir, "observations")
+    return seen, matching.match(seen)
+
+
+@query("j6_field_reconciliation", ("observations",), "WITH " + COMPARED + """
+SELECT match_id, field, gateway_value, transcript_value, delta, status FROM compared""")
+def j6(spark, sf_dir):
+    seen, result = _matched(spark, sf_dir)
+    return reconcile.field_comparisons(result.matches, seen).select(
+        "match_id", "field", "gateway_value", "transcript_value", "delta", "status")
+
+
+@query("j7_turn_reconciliation", ("observations",), "WITH " + COMPARED + """
+SELECT tr.id, CASE WHEN p.status IS NOT NULL THEN 'matched' WHEN m.match_id IS NOT NULL THEN 'unmatched'
+       ELSE 'ambiguous' END AS status, p.status AS result
+FROM tr LEFT JOIN paired p ON p.transcript_id = tr.id
+LEFT JOIN (SELECT * FROM matches WHERE side = 'transcript') m ON m.transcript_id = tr.id""")
+def j7(spark, sf_dir):
+    seen, result = _matched(spark, sf_dir)
+    pairs = reconcile.pair_status(reconcile.field_comparisons(result.matches, seen))
+    return reconcile.turn_status(result, pairs, matching.transcript_turns(seen))
+
+
+@query("a13_reconciliation_summary", ("observations",), "WITH " + COMPARED + """
+SELECT (SELECT count(*) FROM gw) AS gateway_requests, (SELECT count(*) FROM tr) AS transcript_turns,
+  (SELECT count(*) FROM paired) AS matched, (SELECT count(*) FROM paired WHERE status = 'equal') AS equal,
+  (SELECT count(*) FROM paired WHERE status = 'different') AS different,
+  (SELECT count(*) FROM paired WHERE status = 'unavailable') AS unavailable,
+  (SELECT count(*) FROM matches WHERE status = 'ambiguous') AS ambiguous_gateways,
+  (SELECT count(*) FROM matches WHERE status = 'unmatched' AND side = 'gateway') AS unmatched_gateways,
+  (SELECT count(*) FROM matches WHERE side = 'transcript') AS unmatched_transcripts""")
+def a13(spark, sf_dir):
+    seen, result = _matched(spark, sf_dir)
+    pairs = reconcile.pair_status(reconcile.field_comparisons(result.matches, seen))
+    return reconcile.summary(result.matches, pairs, seen)
+
+
+# Sessions of two channels for the window filter: one per user and day.
+WINDOW = """
+t AS (SELECT 's' || CAST(user_id % 2 AS VARCHAR) AS source, CAST(user_id AS VARCHAR) || '-' || CAST(ts_us // 86400000000 AS VARCHAR)
+        AS session_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE ts_us END AS ts_us FROM ev),
+w AS (SELECT source, session_id, min(ts_us) - 120000000 AS lower_us, max(ts_us) + 120000000 AS upper_us,
+             CASE WHEN count(ts_us) = 0 THEN 'session has no reliable timestamp for gateway reconciliation' END AS unavailable
+      FROM t GROUP BY ALL),
+g AS (SELECT id, source, event_ts AS started_us FROM (SELECT 'o' || CAST(event_id AS VARCHAR) AS id,
+        's' || CAST(event_id % 2 AS VARCHAR) AS source, ts_us AS event_ts FROM ev) q)
+"""
+
+
+def _windows(spark, sf_dir):
+    ev = twin(spark, sf_dir, "ev")
+    day = F.expr("concat_ws('-', user_id, ts_us div 86400000000)")
+    turns = ev.select(
+        F.concat(F.lit("s"), (F.col("user_id") % 2).cast("string")).alias("source"), day.alias("session_id"),
+        F.when(F.col("user_id") % 10 != 0, F.col("ts_us")).alias("ts_us"))
+    sessions = turns.select("source", "session_id").distinct().withColumns(
+        {"started_us": F.lit(None).cast("long"), "updated_us": F.lit(None).cast("long")})
+    seen = ev.select(
+        F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("id"),
+        F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string")).alias("source"),
+        F.col("ts_us").alias("started_us"))
+    return reconcile.session_windows(sessions, turns), seen
+
+
+@query("f4_session_windows", ("ev",), "WITH " + WINDOW + "SELECT * FROM w")
+def f4_windows(spark, sf_dir):
+    return _windows(spark, sf_dir)[0]
+
+
+@query("f4_window_counts", ("ev",), "WITH " + WINDOW + """
+SELECT w.source, w.session_id, count(g.id) AS observations FROM w LEFT JOIN g ON g.source = w.source
+  AND g.started_us BETWEEN w.lower_us AND w.upper_us WHERE w.lower_us IS NOT NULL GROUP BY ALL""")
+def f4_counts(spark, sf_dir):
+    return reconcile.window_counts(*_windows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- projection
+
+@query("p17_counter_observations", ("counters",), usage_queries.DELTAS + """
+SELECT 'codex:turn:' || session_id || '#' || CAST(sequence AS VARCHAR) AS id, session_id, ts_us AS started_us,
+       CASE WHEN input - cached >= 0 THEN input - cached END AS fresh_input,
+       CASE WHEN input - cached >= 0 THEN 'derived' WHEN input - cached < 0 THEN 'unknown' END AS fresh_input_kind,
+       cached AS cached_input, input AS total_input, output, reasoning AS reasoning_output, total,
+       CASE WHEN total IS NULL THEN 'unknown' ELSE 'complete' END AS completeness FROM turns""")
+def p17_counters(spark, sf_dir):
+    turns = usage.counter_deltas(twin(spark, sf_dir, "counters")).withColumns({
+        "turn_id": F.concat_ws("#", "session_id", "sequence"), "model": F.lit("")})
+    return observations.from_counter_usage(turns, "turn").select(
+        "id", "session_id", "started_us", "fresh_input", "fresh_input_kind", "cached_input", "total_input", "output",
+        "reasoning_output", "total", "completeness")
+
+
+@query("p17_message_observations", ("messages",), "WITH " + usage_queries.BEARING + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS sequence,
+             CASE WHEN NOT conflict AND input >= 0 THEN input END AS i,
+             CASE WHEN NOT conflict AND cache_read >= 0 THEN cache_read END AS r,
+             CASE WHEN NOT conflict AND cache_write >= 0 THEN cache_write END AS w,
+             CASE WHEN NOT conflict AND output >= 0 THEN output END AS o FROM kept)
+SELECT 'claude:turn:' || CASE WHEN message_id <> '' THEN message_id ELSE session_id || '#' || CAST(sequence AS VARCHAR) END AS id,
+       session_id, model, i AS fresh_input, r AS cached_input, w AS cache_creation_input, i + r + w AS total_input,
+       o AS output, i + r + w + o AS total, CASE WHEN i + r + w + o IS NOT NULL THEN 'complete' ELSE 'partial' END AS completeness
+FROM n""")
+def p17_messages(spark, sf_dir):
+    kept = usage.dedup_messages(usage.usage_bearing(twin(spark, sf_dir, "messages")))
+    return observations.from_message_usage(usage.message_turns(kept), "turn").select(
+        "id", "session_id", "model", "fresh_input", "cached_input", "cache_creation_input", "total_input", "output",
+        "total", "completeness")
+
+
+@query("p18_observation_problems", ("ev",), """
+WITH o AS (SELECT 'o' || CAST(event_id - event_id % 400 % 2 AS VARCHAR) AS id, event_id AS e FROM ev)
+SELECT id, p AS problem FROM (
+  SELECT id, unnest([CASE WHEN e % 50 = 0 THEN 'invalid channel' END, CASE WHEN e % 70 = 0 THEN 'source is required' END,
+    CASE WHEN e % 90 = 0 THEN 'finishedAt precedes startedAt' END, CASE WHEN e % 30 = 0 THEN 'output: kind requires a value' END,
+    CASE WHEN e % 110 = 0 THEN 'total: value requires a usable kind' END]) AS p FROM o) q WHERE p IS NOT NULL
+UNION ALL SELECT id, 'duplicate observation id' FROM o GROUP BY id HAVING count(*) > 1""")
+def p18(spark, sf_dir):
+    e = F.col("event_id")
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    rows = twin(spark, sf_dir, "ev").select(
+        F.lit(1).alias("schema_version"),
+        F.concat(F.lit("o"), (e - e % 400 % 2).cast("string")).alias("id"),
+        F.when(e % 50 == 0, "mail").otherwise("gateway").alias("channel"), F.lit("request").alias("scope"),
+        F.when(e % 70 == 0, "").otherwise("s").alias("source"), F.col("ts_us").alias("started_us"),
+        F.when(e % 90 == 0, F.col("ts_us") - 1).alias("finished_us"),
+        F.lit("unknown").alias("outcome"), F.lit("unknown").alias("completeness"),
+        *[c for f in FIELDS if f not in ("output", "total") for c in (none.alias(f), text.alias(f"{f}_kind"))],
+        none.alias("output"), F.when(e % 30 == 0, "measured").alias("output_kind"),
+        F.when(e % 110 == 0, F.col("v")).alias("total"), F.when(e % 110 == 0, "unknown").alias("total_kind"))
+    return observations.problems(rows)
