@@ -1,0 +1,212 @@
+"""Registered queries: request chains and profile accounts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from usagelake.operators import chains, gateway
+from usagelake.plans.gateway_queries import KIND, NORM, _exchanges
+from usagelake.plans.registry import query
+from usagelake.plans.twins import twin
+
+_COMPATIBLE = "p.protocol = c.protocol AND p.profile = c.profile AND p.num < c.num AND (p.model = '' OR c.model = '' OR p.model = c.model)"
+
+
+@query("j12_explicit_lineage", ("calls",), f"""
+SELECT c.id, max(p.id) AS previous_id, 1 AS shared FROM calls c JOIN calls p ON {_COMPATIBLE}
+  AND c.previous_response_id <> '' AND p.response_id = c.previous_response_id GROUP BY c.id""")
+def j12(spark, sf_dir):
+    return chains.latest_predecessor(twin(spark, sf_dir, "calls"), "explicit_id")
+
+
+@query("j13_tool_lineage", ("calls",), f"""
+WITH a AS (SELECT *, unnest(tool_asks) AS t FROM calls), b AS (SELECT *, unnest(tool_offers) AS t FROM calls),
+e AS (SELECT c.id, p.id AS previous_id, count(*) AS shared FROM a c JOIN b p ON c.t = p.t AND {_COMPATIBLE} GROUP BY ALL)
+SELECT id, previous_id, shared FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY previous_id DESC) = 1""")
+def j13(spark, sf_dir):
+    return chains.latest_predecessor(twin(spark, sf_dir, "calls"), "tool_lineage")
+
+
+@query("j14_context_lineage", ("calls",), f"""
+SELECT c.id, max(p.id) AS previous_id, 1 AS shared FROM calls c JOIN calls p ON {_COMPATIBLE}
+  AND p.lineage[1] = c.lineage[1] AND len(c.lineage) > len(p.lineage) AND list_has_all(c.lineage, p.lineage) GROUP BY c.id""")
+def j14(spark, sf_dir):
+    return chains.latest_predecessor(twin(spark, sf_dir, "calls"), "context_lineage")
+
+
+# In the derived calls each island is a path, and calls of one island follow
+# each other: the chain of an island begins at its first start-shaped call.
+ISLANDS = """
+i AS (SELECT *, num // 64 AS block, min(j) FILTER (start_shape) OVER (PARTITION BY num // 64, lane, island) AS root FROM calls),
+m AS (SELECT *, 'gwc-' || substr(min(id) FILTER (j = root) OVER (PARTITION BY block, lane, island), 4) AS chain_id,
+             j - root + 1 AS call, lag(id) OVER (PARTITION BY block, lane, island ORDER BY j) AS before FROM i),
+members AS (SELECT * FROM m WHERE call >= 1)
+"""
+
+
+@query("g1_chain_members", ("calls",), "WITH " + ISLANDS + """
+SELECT chain_id, CAST(call AS BIGINT) AS call, id, profile, protocol, started_us, model FROM members""")
+def g1(spark, sf_dir):
+    return chains.build_chains(twin(spark, sf_dir, "calls")).members
+
+
+@query("g1_uncorrelated", ("calls",), "WITH " + ISLANDS + """
+SELECT id, profile, protocol, started_us, model FROM m WHERE call IS NULL OR call < 1""")
+def g1_rest(spark, sf_dir):
+    return chains.build_chains(twin(spark, sf_dir, "calls")).uncorrelated
+
+
+@query("g3_chain_links", ("calls",), "WITH " + ISLANDS + """
+SELECT chain_id, CAST(call AS BIGINT) AS call, id, CASE WHEN call > 1 THEN before END AS previous_id,
+       CASE WHEN call > 1 THEN 'continue' ELSE 'start' END AS relation,
+       CASE WHEN call = 1 THEN 'chain_start' WHEN variant = 0 THEN 'explicit_id' WHEN variant = 1 THEN 'tool_lineage'
+            ELSE 'context_lineage' END AS method FROM members""")
+def g3(spark, sf_dir):
+    return chains.build_chains(twin(spark, sf_dir, "calls")).links
+
+
+@query("g2_start_shapes", ("calls",), """
+SELECT protocol, profile, count(*) FILTER (start_shape) AS starts, count(*) AS calls FROM calls GROUP BY ALL""")
+def g2(spark, sf_dir):
+    return chains.shaped_like_start(twin(spark, sf_dir, "calls")).groupBy("protocol", "profile").agg(
+        F.count_if(F.col("shape")).alias("starts"), F.count("*").alias("calls"))
+
+
+@query("g4_chain_ids", ("exchanges",), """
+SELECT id, 'gwc-' || right(replace(id, 'gw-', ''), 12) AS chain_id FROM exchanges""")
+def g4(spark, sf_dir):
+    return twin(spark, sf_dir, "exchanges").select("id", chains.chain_id(F.col("id")).alias("chain_id"))
+
+
+FACTS = ISLANDS + """,
+f AS (SELECT members.*, call_facts.* EXCLUDE (id) FROM members JOIN call_facts USING (id)),
+d AS (SELECT *, CASE WHEN call > 1 THEN attributed - lag(attributed) OVER (PARTITION BY chain_id ORDER BY call) END AS delta FROM f)
+"""
+
+
+def _chain_calls(spark, sf_dir):
+    members = chains.build_chains(twin(spark, sf_dir, "calls")).members
+    return members.join(twin(spark, sf_dir, "call_facts"), "id")
+
+
+@query("w2_context_delta", ("calls", "call_facts"), "WITH " + FACTS + """
+SELECT chain_id, CAST(call AS BIGINT) AS call, delta AS context_delta FROM d""")
+def w2(spark, sf_dir):
+    return chains.context_deltas(_chain_calls(spark, sf_dir)).select("chain_id", "call", "context_delta")
+
+
+@query("w3_chain_metrics", ("calls", "call_facts"), "WITH " + FACTS + """,
+g AS (SELECT chain_id, count(*) AS n, count(attributed) AS ok, sum(attributed) AS s, max(attributed) AS p,
+             min_by(attributed, call) FILTER (call = 1) AS a, max(delta) AS top,
+             count(*) FILTER (call > 1 AND delta IS NULL) AS bad, count(*) FILTER (call > 1) AS later,
+             max_by(history, call) - min_by(history, call) AS hg, max(call) AS z FROM d GROUP BY chain_id)
+SELECT g.chain_id, n AS model_calls, a AS initial_context, l.attributed AS final_context,
+  CASE WHEN ok = n THEN p END AS peak_context, CASE WHEN ok = n THEN CAST(s AS BIGINT) END AS total_context,
+  l.attributed - a AS context_growth,
+  CASE WHEN later = 0 OR bad > 0 THEN NULL WHEN top > 0 THEN top ELSE 0 END AS largest_growth,
+  CASE WHEN bad = 0 AND top > 0 THEN (SELECT min(call) FROM d WHERE d.chain_id = g.chain_id AND d.delta = g.top) ELSE 0 END
+    AS largest_growth_call, hg AS history_growth, l.tool_result - q.tool_result AS tool_result_growth
+FROM g JOIN d l ON l.chain_id = g.chain_id AND l.call = g.z JOIN d q ON q.chain_id = g.chain_id AND q.call = 1""")
+def w3(spark, sf_dir):
+    return chains.chain_metrics(chains.context_deltas(_chain_calls(spark, sf_dir))).select(
+        "chain_id", "model_calls", "initial_context", "final_context", "peak_context", "total_context", "context_growth",
+        "largest_growth", "largest_growth_call", "history_growth", "tool_result_growth")
+
+
+USAGE = """
+u AS (SELECT chain_id, count(*) AS usage_total_calls,
+  count(*) FILTER (coalesce(total_input, cached_input, fresh_input, output, reasoning_output) IS NOT NULL) AS usage_observed_calls,
+  CASE WHEN count(total_input) = count(*) THEN CAST(sum(total_input) AS BIGINT) END AS provider_total_input,
+  CASE WHEN count(fresh_input) = count(*) THEN CAST(sum(fresh_input) AS BIGINT) END AS provider_fresh_input,
+  CASE WHEN count(reasoning_output) = count(*) THEN CAST(sum(reasoning_output) AS BIGINT) END AS provider_reasoning_output,
+  CASE WHEN count(attributed) = count(*) THEN CAST(sum(attributed) AS BIGINT) END AS total_context
+  FROM f GROUP BY chain_id)
+"""
+
+
+@query("a23_chain_usage", ("calls", "call_facts"), "WITH " + FACTS + "," + USAGE + """
+SELECT * EXCLUDE (total_context) FROM u""")
+def a23(spark, sf_dir):
+    return chains.chain_usage(_chain_calls(spark, sf_dir)).select(
+        "chain_id", "usage_total_calls", "usage_observed_calls", "provider_total_input", "provider_fresh_input",
+        "provider_reasoning_output")
+
+
+@query("g5_chain_report", ("calls", "call_facts"), "WITH " + FACTS + "," + USAGE + """
+SELECT chain_id, (SELECT min(started_us) FROM f WHERE f.chain_id = u.chain_id) AS started_us, total_context,
+  provider_total_input, provider_total_input - total_context AS attribution_gap,
+  CASE WHEN provider_total_input <> 0 THEN CAST(total_context AS DOUBLE) / provider_total_input * 100 END AS coverage_percent
+FROM u""")
+def g5(spark, sf_dir):
+    return chains.chain_report(_chain_calls(spark, sf_dir)).select(
+        "chain_id", "started_us", "total_context", "provider_total_input", "attribution_gap", "coverage_percent")
+
+
+@query("t6_newest_chains_first", ("calls",), "WITH " + ISLANDS + """
+SELECT profile, chain_id, position FROM (
+  SELECT profile, chain_id, row_number() OVER (PARTITION BY profile ORDER BY min(started_us) DESC, chain_id) AS position
+  FROM members GROUP BY profile, chain_id) q WHERE position <= 20""")
+def t6(spark, sf_dir):
+    from usagelake.functions.ordered import top_per_key
+
+    members = chains.build_chains(twin(spark, sf_dir, "calls")).members
+    heads = members.groupBy("profile", "chain_id").agg(F.min("started_us").alias("started_us"))
+    return top_per_key(heads, ["profile"], [F.col("started_us").desc(), F.col("chain_id").asc()], 20, "position").select(
+        "profile", "chain_id", "position")
+
+
+# -------------------------------------------------------------------- account
+
+_FIELDS = {"fresh_input": "fi", "cached_input": "ci", "cache_creation_input": "wi", "total_input": "ti", "output": "oo",
+           "reasoning_output": "ro", "total": "tt"}
+ACCOUNT = """
+x AS (SELECT *, num % 4 <> 1 AND kind = 'model' AS chained,
+        call AND usage_source IS NOT NULL AS counted,
+        call AND coalesce(input_tokens, cache_creation_input_tokens, cache_read_input_tokens, output_tokens,
+          reasoning_output_tokens, total_input_tokens, total_tokens) IS NOT NULL AND usage_source IS NOT NULL AS obs,
+        input_tokens IS NOT NULL OR total_input_tokens IS NOT NULL AS hi FROM norm),
+y AS (SELECT *,
+  CASE WHEN (am AND input_tokens IS NOT NULL) OR (or_ AND hi AND cache_read_input_tokens IS NOT NULL) THEN fr END AS fi,
+  CASE WHEN (am OR (or_ AND hi)) AND cache_read_input_tokens IS NOT NULL THEN oc END AS ci,
+  CASE WHEN am AND cache_creation_input_tokens IS NOT NULL THEN ow END AS wi,
+  CASE WHEN ((am OR or_) AND hi) OR (NOT am AND NOT or_ AND total_input_tokens IS NOT NULL) THEN oti END AS ti,
+  output_tokens AS oo, reasoning_output_tokens AS ro,
+  CASE WHEN total_tokens IS NOT NULL THEN total_tokens
+       WHEN (am OR or_) AND hi AND output_tokens IS NOT NULL THEN ot END AS tt FROM x),
+fl AS (SELECT profile, count(*) AS recorder_failures FROM exchanges WHERE num % 500 = 0 AND profile <> 'p2' GROUP BY profile),
+a AS (SELECT profile, count(*) AS http_requests, count(*) FILTER (kind = 'model') AS model_requests,
+  count(*) FILTER (kind = 'model' AND chained) AS chained_requests,
+  count(*) FILTER (kind = 'model' AND NOT chained) AS uncorrelated_requests,
+  count(*) FILTER (kind = 'non_model') AS non_model_requests, count(*) FILTER (kind = '') AS unknown_requests,
+  count(*) FILTER (kind = 'unclassified') AS unclassified_requests, count(*) FILTER (counted) AS usage_observed_requests,
+  count(*) FILTER (outcome = 'upstream_ok') AS outcome_upstream_ok,
+  count(*) FILTER (outcome = 'stream_truncated') AS outcome_stream_truncated,
+  count(*) FILTER (obs) AS observed_calls, count(*) FILTER (obs AND chained) AS chained_calls,
+""" + ",\n".join(
+    f"count({c}) FILTER (obs{w}) AS {s}_{f}_count, CAST(coalesce(sum({c}) FILTER (obs{w}), 0) AS BIGINT) AS {s}_{f}_sum"
+    for s, w in (("observed", ""), ("chained", " AND chained"), ("uncorrelated", " AND NOT chained"))
+    for f, c in _FIELDS.items()) + ", count(*) FILTER (obs AND NOT chained) AS uncorrelated_calls" + """
+  FROM y GROUP BY profile)
+"""
+
+
+def _account(spark, sf_dir):
+    calls = _exchanges(spark, sf_dir)
+    chained = calls.where("num % 4 <> 1 AND kind = 'model'").select("id")
+    failures = calls.where("num % 500 = 0 AND profile <> 'p2'").groupBy("profile").agg(
+        F.count("*").alias("recorder_failures"))
+    return gateway.profile_account(calls, chained, failures)
+
+
+@query("a21_profile_account", ("exchanges",), "WITH " + KIND + "," + NORM + "," + ACCOUNT + """
+SELECT a.*, coalesce(recorder_failures, 0) AS recorder_failures,
+  CASE WHEN (model_requests > 0 AND NOT (observed_calls >= model_requests AND observed_fresh_input_count >= model_requests
+      AND observed_output_count >= model_requests)) OR coalesce(recorder_failures, 0) > 0 OR outcome_stream_truncated > 0
+    THEN 'partial' ELSE 'complete' END AS completeness
+FROM a LEFT JOIN fl USING (profile)""")
+def a21(spark, sf_dir):
+    account = _account(spark, sf_dir)
+    kept = [c for c in account.columns if not c.endswith(("_kind", "_complete"))
+            and c not in ("outcome_upstream_http_error", "outcome_transport_failure", "outcome_client_canceled",
+                          "outcome_unknown")]
+    return account.select(*kept)

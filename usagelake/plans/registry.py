@@ -39,7 +39,9 @@ def query(name: str, uses: tuple[str, ...] = (), oracle: str | None = None) -> C
 def load() -> None:
     """Import every module that registers queries."""
     from usagelake.plans import (  # noqa: F401
+        chain_queries,
         context_queries,
+        gateway_queries,
         matching_queries,
         pricing_queries,
         usage_queries,

@@ -213,6 +213,48 @@ TWINS = {
                     WHEN l_suppkey % 7 = 2 THEN 'derived' WHEN l_suppkey % 7 < 5 THEN 'measured'
                     ELSE 'estimated' END AS tokens_kind
         FROM lineitem""",
+    # Calls of agents: 16 calls per lane, linked by response id, tool ids or
+    # growing context, with breaks where the link is lost.
+    "calls": """
+        SELECT id, num, profile, protocol, started_us, model, start_shape,
+               CASE WHEN variant = 0 THEN 'r' || c || CAST(j AS STRING) ELSE '' END AS response_id,
+               CASE WHEN variant = 0 THEN 'r' || c || CAST(j - 1 AS STRING) ELSE '' END AS previous_response_id,
+               CASE WHEN variant = 1 THEN @SPLIT[c || replace(substr(letters, 1, 2 * j + 1), ',', ',' || c)] END AS tool_offers,
+               CASE WHEN variant = 1 AND j > 0
+                    THEN @SPLIT[c || replace(substr(letters, 1, 2 * j - 1), ',', ',' || c)] END AS tool_asks,
+               CASE WHEN variant = 2 THEN @SPLIT[c || replace(substr(letters, 1, 2 * j + 1), ',', ',' || c)] END AS lineage,
+               variant, lane, island, j
+        FROM (SELECT *, 'b' || CAST(block AS STRING) || '-' || CAST(lane AS STRING) || '-' || CAST(island AS STRING) || '-' AS c,
+                     'a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p' AS letters
+              FROM (SELECT 'gw-' || CAST(100000000000 + event_id AS STRING) AS id, event_id AS num,
+                           'p' || CAST(event_id % 4 AS STRING) AS profile,
+                           CASE WHEN (event_id @DIV@ 64) % 3 = 0 THEN 'openai_responses'
+                                ELSE 'anthropic_messages' END AS protocol,
+                           ts_us AS started_us,
+                           CASE WHEN event_id % 11 = 0 THEN ''
+                                ELSE 'model-' || CAST((event_id @DIV@ 64) % 4 AS STRING) END AS model,
+                           event_id % 3 <> 0 AS start_shape, event_id @DIV@ 64 AS block, event_id % 4 AS lane,
+                           CAST((event_id @DIV@ 4) % 16 AS INT) AS j, (event_id @DIV@ 64) % 3 AS variant,
+                           CASE WHEN (event_id @DIV@ 64) % 2 = 0 AND (event_id @DIV@ 4) % 16 >= 5 THEN 1 ELSE 0 END +
+                           CASE WHEN (event_id @DIV@ 64) % 5 = 0 AND (event_id @DIV@ 4) % 16 >= 9 THEN 1 ELSE 0 END AS island
+                    FROM ev) a) b""",
+    # What each call sent and used.
+    "call_facts": """
+        SELECT 'gw-' || CAST(100000000000 + event_id AS STRING) AS id,
+               CASE WHEN event_id % 83 = 0 THEN NULL ELSE v * 10 + event_id % 50 END AS attributed,
+               CASE WHEN event_id % 83 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'estimated' ELSE 'measured' END
+                 AS attributed_kind,
+               CASE WHEN event_id % 12 = 0 THEN NULL ELSE v END AS tool_result,
+               CASE WHEN event_id % 12 = 0 THEN NULL ELSE 'estimated' END AS tool_result_kind,
+               v * 9 AS history, 'estimated' AS history_kind,
+               CAST(NULL AS BIGINT) AS tool_definition, CAST(NULL AS STRING) AS tool_definition_kind,
+               CASE WHEN event_id % 45 = 0 THEN NULL ELSE v * 12 END AS total_input,
+               CASE WHEN event_id % 45 = 0 THEN NULL ELSE k END AS cached_input,
+               CASE WHEN event_id % 45 = 0 OR event_id % 46 = 0 THEN NULL ELSE v END AS fresh_input,
+               CAST(NULL AS BIGINT) AS cache_creation_input,
+               CASE WHEN event_id % 45 = 0 THEN NULL ELSE k * 2 END AS output,
+               CASE WHEN event_id % 45 = 0 OR event_id % 7 = 0 THEN NULL ELSE k END AS reasoning_output
+        FROM ev""",
     # Stream events of a response: one exchange per user and day.
     "frames": """
         SELECT 'x' || CAST(user_id AS STRING) || '-' || CAST(ts_us @DIV@ 86400000000 AS STRING) AS exchange_id,
@@ -265,15 +307,15 @@ DEPENDS = {
     "context_sessions": ("context",),
     **{name: ("ev",) for name in (
         "counters", "messages", "tool_results", "tool_links", "usage_events", "observations",
-        "priced", "frames", "failures")},
+        "priced", "frames", "failures", "calls", "call_facts")},
 }
 
-_SPARK = {"US": r"unix_micros(CAST(\1 AS TIMESTAMP))", "BYTES": r"octet_length(\1)", "SHA": r"sha2(\1, 256)", "DIV": "div"}
-_DUCK = {"US": r"epoch_us(\1)", "BYTES": r"strlen(\1)", "SHA": r"sha256(\1)", "DIV": "//"}
+_SPARK = {"US": r"unix_micros(CAST(\1 AS TIMESTAMP))", "BYTES": r"octet_length(\1)", "SHA": r"sha2(\1, 256)", "SPLIT": r"split(\1, ',')", "DIV": "div"}
+_DUCK = {"US": r"epoch_us(\1)", "BYTES": r"strlen(\1)", "SHA": r"sha256(\1)", "SPLIT": r"string_split(\1, ',')", "DIV": "//"}
 
 
 def _dialect(sql: str, terms: dict[str, str]) -> str:
-    for name in ("US", "BYTES", "SHA"):
+    for name in ("US", "BYTES", "SHA", "SPLIT"):
         sql = re.sub(rf"@{name}\[([^\]]*)\]", terms[name], sql)
     return sql.replace("@DIV@", terms["DIV"])
 
