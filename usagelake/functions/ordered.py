@@ -24,7 +24,7 @@ SALTS = 16
 
 def block_of(order: str | Column, block: int = BLOCK) -> Column:
     order = F.col(order) if isinstance(order, str) else order
-    return F.floor(order / F.lit(block)).cast("long")
+    return F.call_function("div", order, F.lit(block))
 
 
 class Running:
