@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.ordered import BLOCK, carry, last_value, running_count, running_sum, salted_lookup
 from usagelake.functions.text import parse_time
 from usagelake.operators import usage
+from usagelake.session import cut
 from usagelake.sources.jsonl import file_stem
-from usagelake.sources.rawjson import blocks, member, output_text, structured_fingerprint
+from usagelake.sources.rawjson import member_facts, tool_blocks
 from usagelake.sources.records import get, integers_ok, objects_ok, parsed, strings_ok, text, typed
-from usagelake.sources.transcripts import Transcripts, component, finish_components, place, unreadable
+from usagelake.sources.transcripts import Transcripts, component, finish_components, place, text_facts, unreadable
 
 SOURCE = "claude_session"
 AGENT = "claude"
@@ -42,12 +43,12 @@ def classify(lines: DataFrame) -> DataFrame:
     })
 
 
-def _content(records: DataFrame) -> DataFrame:
-    """Text and blocks of each message; raw block texts only where there are blocks."""
+def _reduce(records: DataFrame) -> DataFrame:
+    """One slim row per record: flags, usage, and what is kept of its texts and blocks."""
     is_array = F.coalesce(F.col("content_kind").startswith("ARRAY"), F.lit(False))
     items = get(".message.content", "array<variant>")
 
-    def sound(item):
+    def sound(item: Column) -> Column:
         shape = F.schema_of_variant(item)
         ok = (shape == "VOID") | shape.startswith("OBJECT")
         for name in ("type", "id", "name", "tool_use_id"):
@@ -55,32 +56,43 @@ def _content(records: DataFrame) -> DataFrame:
             ok = ok & (inner.isNull() | inner.isin("STRING", "VOID"))
         return ok
 
-    def field(item, name: str):
+    def field(item: Column, name: str) -> Column:
         return F.coalesce(F.try_variant_get(item, f"$.{name}", "string"), F.lit(""))
 
-    needs_raw = is_array & F.coalesce(F.exists(items, lambda i: field(i, "type").isin("tool_use", "tool_result")), F.lit(False))
-    whole = F.when(F.col("content_kind") == "STRING", text(".message.content"))
-    flat = F.array_join(F.transform(items, lambda i: field(i, "text")), "")
-    nested = F.coalesce(F.exists(items, lambda i: (field(i, "text") == "") & F.try_variant_get(i, "$.content", "variant").isNotNull()),
-                        F.lit(False))
-    with_raw = records.withColumns({
+    def some(test) -> Column:
+        return is_array & F.coalesce(F.exists(items, test), F.lit(False))
+
+    has_tools = some(lambda i: field(i, "type").isin("tool_use", "tool_result"))
+    # Blocks without text of their own may hold text further down.
+    nested = some(lambda i: (field(i, "text") == "") & F.try_variant_get(i, "$.content", "variant").isNotNull())
+    seen = records.where("readable").withColumns({
         "_sound": is_array & F.coalesce(F.forall(items, sound), F.lit(False)),
-        "_raw_blocks": blocks("message.content", "input", "content")(F.when(needs_raw, F.col("raw"))),
-        "_nested": is_array & nested,
-    })
-    deep = output_text(member("message.content")(F.when(F.col("_nested"), F.col("raw"))))
-    return with_raw.withColumns({
-        "body": F.coalesce(whole, deep, F.when(is_array, flat), F.lit("")),
-        "items": F.when(F.col("_sound"), F.transform(items, lambda i: F.struct(
-            field(i, "type").alias("type"), field(i, "id").alias("id"), field(i, "name").alias("name"),
-            field(i, "tool_use_id").alias("tool_use_id")))),
+        "_tools": tool_blocks("message.content")(F.when(has_tools, F.col("raw"))),
+        "_deep": member_facts(F.when(nested, F.col("raw")), F.lit("message.content")),
     })
+    flat = F.array_join(F.transform(items, lambda i: field(i, "text")), "")
+    body = F.coalesce(
+        F.when(F.col("content_kind") == "STRING", text(".message.content")), F.col("_deep.said"),
+        F.when(is_array, flat), F.lit(""))
+
+    def facts(item: Column, i: Column) -> Column:
+        tool = F.get("_tools", i)
+        said = F.coalesce(tool["said"], F.lit(""))
+        return F.struct(
+            field(item, "type").alias("type"), field(item, "id").alias("id"), field(item, "name").alias("name"),
+            field(item, "tool_use_id").alias("tool_use_id"), *text_facts(said), tool["size"].alias("size"),
+            F.coalesce(tool["fingerprint"], F.lit("")).alias("fingerprint"))
+
+    kept = [c for c in records.columns if c not in ("v", "raw", "content_kind")]
+    slim = seen.withColumn("_body", body).select(
+        *kept, *text_facts(F.col("_body")), F.when(F.col("_sound"), F.transform(items, facts)).alias("items"))
+    return slim.unionByName(records.where("NOT readable").select(*kept), allowMissingColumns=True)
 
 
 def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
     """Sessions, turns and components of Claude-shape files (one session per file)."""
-    records = classify(lines)
-    good = _content(records.where("readable"))
+    records = cut(_reduce(classify(lines)))
+    good = records.where("readable")
     assistant = (F.col("type") == "assistant") & (F.col("role") == "assistant")
     synthetic = F.col("model") == usage.SYNTHETIC_MODEL
     has_usage = F.lit(False)
@@ -107,10 +119,11 @@ def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
         "_user": ~F.col("_assistant") & (F.col("role") == "user"),
     })
     emitted = F.when(F.col("_user"), F.greatest(F.col("_results"), F.lit(1))).when(F.col("_history"), 1).otherwise(0)
-    unread = unreadable(records.where("NOT readable"), SOURCE)
+    state = cut(state.withColumn("_emits", emitted.cast("long")))
+    unread = unreadable(records, SOURCE)
 
     # Records without any id are named by how much was read before them.
-    tally = state.select("file", "line", "_closes", "_counts", emitted.cast("long").alias("_emits")).unionByName(
+    tally = state.select("file", "line", "_closes", "_counts", "_emits").unionByName(
         unread.select("file", "line", F.lit(False).alias("_closes"), F.lit(False).alias("_counts"),
                       F.lit(1).cast("long").alias("_emits")))
     run = carry(tally, ["file"], "line", {
@@ -120,59 +133,46 @@ def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
     run = carry(run, ["file"], "line", {"_cut": last_value(F.when(F.col("_closes"), F.col("_sent")))}, block)
     position = F.coalesce("_turns", F.lit(0)) + F.col("_sent") - F.coalesce("_cut", F.lit(0)) + F.coalesce("_spoken", F.lit(0)) + 1
     numbered = state.join(run.select("file", "line", position.alias("_n")), ["file", "line"])
-    rows = numbered.withColumn("record", F.when(F.col("uuid") != "", F.col("uuid")).when(
+    rows = cut(numbered.withColumn("record", F.when(F.col("uuid") != "", F.col("uuid")).when(
         F.col("message_id") != "", F.col("message_id")).otherwise(
-        F.concat(F.lit(f"{SOURCE}#record:"), F.col("_n").cast("string"))))
+        F.concat(F.lit(f"{SOURCE}#record:"), F.col("_n").cast("string")))))
 
     # ------------------------------------------------------------- components
     line = F.col("line")
     prompts = rows.where("_user AND _results = 0").select(
-        *component(F.lit("user_prompt"), SOURCE, F.col("record"), place(line, F.lit(1)), F.col("body")))
+        *component(F.lit("user_prompt"), SOURCE, F.col("record"), place(line, F.lit(1))))
     history = rows.where("_history").select(
-        *component(F.lit("history"), SOURCE, F.col("record"), place(line, F.lit(1)), F.col("body")))
-    shown = rows.where("_user AND _results > 0").select(
-        "file", "line", "record", "_raw_blocks", F.posexplode("items").alias("_i", "_b")).where("_b.type = 'tool_result'")
-    shown = shown.withColumn("_content", F.get("_raw_blocks", F.col("_i"))["content"])
-    plain = F.expr("schema_of_variant(try_parse_json(_content))") == "STRING"
-    shown = shown.withColumns({"_plain": F.coalesce(plain, F.lit(False)), "_said": output_text("_content")})
-    present = F.col("_content").isNotNull() & (F.col("_content") != "null")
-    size = F.when(F.col("_plain"), F.octet_length("_said")).when(present, F.octet_length("_content")).cast("long")
-    outputs = shown.select(*component(
+        *component(F.lit("history"), SOURCE, F.col("record"), place(line, F.lit(1))))
+    blocks = rows.where("items IS NOT NULL").select(
+        "file", "line", "record", "role", "_user", F.posexplode("items").alias("_i", "_b")).select(
+        "file", "line", "record", "role", "_user", "_i", "_b.*")
+    outputs = blocks.where("_user AND type = 'tool_result'").select(*component(
         F.lit("tool_result"), SOURCE,
         F.concat(F.col("record"), F.lit("#tool_result:"), (F.col("_i") + 1).cast("string")),
-        place(line, F.col("_i") + 1), F.coalesce("_said", F.lit("")), F.lit("complete"),
-        call_id=F.col("_b.tool_use_id"), size=size))
+        place(line, F.col("_i") + 1), completeness=F.lit("complete"), call_id=F.col("tool_use_id"), size=F.col("size")))
     components = unread.unionByName(prompts).unionByName(history).unionByName(outputs)
-    used = rows.where("role = 'assistant' AND items IS NOT NULL").select(
-        "file", "line", "_raw_blocks", F.posexplode("items").alias("_i", "_b")
-    ).where("_b.type = 'tool_use' AND _b.id <> '' AND _b.name <> ''")
-    raw_input = F.get("_raw_blocks", F.col("_i"))["input"]
-    used = used.withColumn("_input", F.when(raw_input != "null", raw_input))
-    inner = F.when(F.expr("schema_of_variant(try_parse_json(_input))") == "STRING",
-                   F.expr("try_variant_get(try_parse_json(_input), '$', 'string')")).otherwise(F.col("_input"))
-    used = used.withColumns({"call_id": F.col("_b.id"), "name": F.col("_b.name"), "_args": inner})
-    calls = used.select(
-        "file", place(line, F.col("_i")).alias("ord"), "call_id", "name",
-        F.coalesce(structured_fingerprint("name", F.when(F.col("_args") != "", F.col("_args"))), F.lit("")).alias("fingerprint"))
+    calls = blocks.where("role = 'assistant' AND type = 'tool_use' AND id <> '' AND name <> ''").select(
+        "file", place(line, F.col("_i")).alias("ord"), F.col("id").alias("call_id"), "name", "fingerprint")
     closes = rows.where("_closes").select("file", place(line, F.lit(0)).alias("ord"))
 
     # ------------------------------------------------------- turns, sessions
     messages = rows.where("_assistant").select(
         "file", line.alias("ord"), "message_id", "model", F.unix_micros(parse_time(F.col("timestamp"))).alias("ts_us"),
         *USAGE_FIELDS)
-    kept = usage.dedup_messages(usage.usage_bearing(messages), ["file"])
+    kept = cut(usage.dedup_messages(usage.usage_bearing(messages), ["file"]))
     totals = usage.message_session_usage(kept, ["file"]).where("has_reported_usage")
     models = usage.session_model(messages, ["file"])
     spans = usage.session_span(good, ["file"], "line", "timestamp")
-    files = lines.groupBy("file").agg(F.max("mtime_us").alias("mtime_us"))
+    files = records.groupBy("file").agg(F.max("mtime_us").alias("mtime_us"))
     sessions = totals.join(files, "file").join(spans, "file", "left").join(models, "file", "left").select(
         "file", F.lit(AGENT).alias("source"), file_stem().alias("session_id"), F.coalesce("model", F.lit("")).alias("model"),
         F.unix_micros(parse_time(F.col("started"))).alias("started_us"),
         F.coalesce(F.unix_micros(parse_time(F.col("updated"))), F.col("mtime_us")).alias("updated_us"),
         *[c for c in totals.columns if c != "file"])
-    turns = usage.message_turns(kept, ["file"], "ord", block).drop("turn_id").join(
-        sessions.select("file", "session_id"), "file").withColumns({
-            "source": F.lit(AGENT),
-            "turn_id": F.when(F.col("message_id") != "", F.col("message_id")).otherwise(F.concat_ws("#", "session_id", "sequence"))})
-    finished = finish_components(components, closes, calls, block).join(sessions.select("file"), "file", "left_semi")
+    turns = usage.message_turns(kept, ["file"], "ord", block).drop("turn_id")
+    turns = salted_lookup(turns, sessions.select("file", "session_id"), ["file"], ["ord"], "inner").withColumns({
+        "source": F.lit(AGENT),
+        "turn_id": F.when(F.col("message_id") != "", F.col("message_id")).otherwise(F.concat_ws("#", "session_id", "sequence"))})
+    finished = salted_lookup(
+        finish_components(components, closes, calls, block), sessions.select("file"), ["file"], ["ord"], "inner")
     return Transcripts(sessions, turns, finished)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.measure import USAGE_METRICS
-from usagelake.functions.ordered import BLOCK
+from usagelake.functions.ordered import BLOCK, salted_lookup
 from usagelake.functions.text import parse_time
 from usagelake.operators import context, usage
+from usagelake.session import cut
 from usagelake.sources.jsonl import file_stem
-from usagelake.sources.rawjson import freeform_fingerprint, member, output_text, structured_fingerprint
+from usagelake.sources.rawjson import freeform_fingerprint, member_facts, structured_fingerprint
 from usagelake.sources.records import (
     block_text,
     get,
@@ -21,7 +22,7 @@ from usagelake.sources.records import (
     text,
     typed,
 )
-from usagelake.sources.transcripts import Transcripts, component, finish_components, place, unreadable
+from usagelake.sources.transcripts import Transcripts, component, finish_components, place, text_facts, unreadable
 
 SOURCE = "codex_rollout"
 AGENT = "codex"
@@ -73,107 +74,115 @@ def classify(lines: DataFrame) -> DataFrame:
     })
 
 
+def _reduce(records: DataFrame) -> DataFrame:
+    """One slim row per record: everything later steps need, without its texts.
+
+    The files are parsed once, here.  Raw text goes to Python only for the few
+    records whose output or input is not a plain string.
+    """
+    kind, item = F.col("type"), F.col("item")
+    message = (kind == "response_item") & (item == "message")
+    prompt = (kind == "event_msg") & (item == "user_message")
+    output = (kind == "response_item") & item.isin(*OUTPUTS)
+    call = (kind == "response_item") & item.isin(*CALLS)
+    output_kind, input_kind = typed(".payload.output"), typed(".payload.input")
+    flagged = records.where("readable").withColumns({
+        "_output": output, "_call": call,
+        "_plain": F.coalesce(output & (output_kind == "STRING"), F.lit(False)),
+        "_free": F.coalesce(call & (item == "custom_tool_call") & (input_kind == "STRING"), F.lit(False)),
+        "_raw_output": F.coalesce(output & ~output_kind.isin("STRING", "VOID"), F.lit(False)),
+        "_raw_input": F.coalesce(call & (item == "custom_tool_call") & ~input_kind.isin("STRING", "VOID"), F.lit(False)),
+        "name": text(".payload.name"),
+    })
+    facts = member_facts(
+        F.when(F.col("_raw_output") | F.col("_raw_input"), F.col("raw")),
+        F.when(F.col("_raw_output"), "payload.output").otherwise("payload.input"))
+    seen = flagged.withColumn("_facts", facts)
+    arguments = F.when(F.col("_call"), F.when(item == "function_call", text(".payload.arguments")).otherwise(F.col("_facts.text")))
+    body = (
+        F.when(message, block_text(".payload.content")).when(prompt, text(".payload.message"))
+        .when(F.col("_plain"), text(".payload.output")).when(F.col("_output"), F.coalesce("_facts.said", F.lit("")))
+        .otherwise(""))
+    seen = seen.withColumns({"_body": body, "_structured": structured_fingerprint("name", arguments)})
+    role = text(".payload.role")
+    component_kind = (
+        F.when(prompt, "user_prompt").when(F.col("_output"), "tool_result")
+        .when(message & role.isin("developer", "system"), "instructions").when(message & (role == "user"), "user_prompt")
+        .when(message & (role == "assistant"), "history"))
+    free = freeform_fingerprint(F.col("name"), text(".payload.input"))
+    counter = (kind == "event_msg") & (item == "token_count")
+    kept = seen.select(
+        "file", "line", "mtime_us", "oversized", "readable", "envelope", "timestamp", "type", "item",
+        component_kind.alias("component"), counter.alias("counter"), F.col("_call").alias("call"), "name",
+        F.when(kind == "response_item", text(".payload.id")).otherwise("").alias("item_id"),
+        text(".payload.call_id").alias("call_id"),
+        F.when(kind == "session_meta", text(".payload.id")).alias("meta_id"),
+        F.when(kind == "turn_context", text(".payload.model")).alias("meta_model"),
+        *text_facts(F.col("_body")),
+        F.when(F.col("_plain"), F.octet_length("_body").cast("long")).when(F.col("_output"), F.col("_facts.size"))
+        .alias("content_bytes"),
+        F.when(F.col("_free"), free).otherwise(F.col("_structured")).alias("fingerprint"),
+        F.when(F.col("_call"), F.expr(
+            "try_variant_get(try_parse_json(variant_get(v, '$.r.payload.arguments', 'string')), '$.cmd', 'string')")).alias("cmd"),
+        *[F.when(counter, get(f"{REPORTS[0]}.{field}", "bigint")).alias(name) for name, field in COUNTER_FIELDS.items()])
+    lost = records.where("NOT readable").select("file", "line", "mtime_us", "oversized", "readable", "envelope", "timestamp")
+    return kept.unionByName(lost, allowMissingColumns=True)
+
+
 def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
     """Sessions, turns and components of Codex-shape files (one session per file)."""
-    records = classify(lines)
-    good = records.where("readable")
+    records = cut(_reduce(classify(lines)))
     line = F.col("line")
-    by_line = F.concat(F.lit(f"{SOURCE}#line:"), line.cast("string"))
 
     # -------------------------------------------------------------- counters
-    events = good.where("type = 'event_msg' AND item = 'token_count'")
-    counters = events.select(
+    zero = F.lit(0).cast("long")
+    counters = records.where("counter").select(
         "file", line.alias("ord"), F.unix_micros(parse_time(F.col("timestamp"))).alias("ts_us"),
-        *[(get(f"{REPORTS[0]}.{field}", "bigint") if name == "reasoning"
-           else F.coalesce(get(f"{REPORTS[0]}.{field}", "bigint"), F.lit(0).cast("long"))).alias(name)
-          for name, field in COUNTER_FIELDS.items()])
+        *[F.col(n) if n == "reasoning" else F.coalesce(n, zero).alias(n) for n in COUNTER_FIELDS])
 
     # ------------------------------------------------------------- components
-    items = good.where("type = 'response_item'").select(
-        "file", "line", "v", "item", "raw",
-        text(".payload.id").alias("item_id"), text(".payload.call_id").alias("call_id"),
-        text(".payload.name").alias("name"), text(".payload.role").alias("role"),
-        text(".payload.arguments").alias("arguments")
-    ).withColumn("record", F.when(F.col("item_id") != "", F.col("item_id"))
-                 .when(F.col("call_id") != "", F.col("call_id")).otherwise(by_line))
-    kind = (
-        F.when(F.col("role").isin("developer", "system"), "instructions").when(F.col("role") == "user", "user_prompt")
-        .when(F.col("role") == "assistant", "history"))
-    messages = items.where(F.col("item") == "message").withColumns({"_kind": kind, "_text": block_text(".payload.content")}) \
-        .where("_kind IS NOT NULL").select(
-            *component(F.col("_kind"), SOURCE, F.col("record"), place(line, F.lit(1)), F.col("_text")))
-    prompts = good.where("type = 'event_msg' AND item = 'user_message'").withColumn("_text", text(".payload.message")).select(
-        *component(F.lit("user_prompt"), SOURCE, by_line, place(line, F.lit(1)), F.col("_text")))
-    # Only outputs that are not plain strings need their raw text.
-    output_kind = typed(".payload.output")
-    plain = output_kind == "STRING"
-    outputs = items.where(F.col("item").isin(*OUTPUTS)).withColumns({
-        "_plain": F.coalesce(plain, F.lit(False)), "_has": output_kind.isNotNull() & (output_kind != "VOID")})
-    outputs = outputs.withColumn("_raw", member("payload.output")(F.when(F.col("_has") & ~F.col("_plain"), F.col("raw"))))
-    outputs = outputs.withColumns({
-        "_text": F.when(F.col("_plain"), text(".payload.output")).otherwise(F.coalesce(output_text("_raw"), F.lit(""))),
-        "_size": F.when(F.col("_plain"), F.octet_length(text(".payload.output"))).otherwise(F.octet_length("_raw")).cast("long")})
-    results = outputs.select(*component(
-        F.lit("tool_result"), SOURCE, F.col("record"), place(line, F.lit(1)), F.col("_text"), F.lit("complete"),
-        call_id=F.col("call_id"), size=F.col("_size")))
-    declared = items.where(F.col("item").isin(*CALLS))
-    commands = declared.select(
-        "file", "line", F.col("record"), F.col("name").alias("tool_name"),
-        F.expr("try_variant_get(try_parse_json(arguments), '$.cmd', 'string')").alias("cmd")).where("cmd <> ''")
+    by_line = F.concat(F.lit(f"{SOURCE}#line:"), line.cast("string"))
+    is_item = F.col("type") == "response_item"
+    record = F.when(is_item & (F.col("item_id") != ""), F.col("item_id")).when(
+        is_item & (F.col("call_id") != ""), F.col("call_id")).otherwise(by_line)
+    result = F.col("component") == "tool_result"
+    told = records.where("component IS NOT NULL").select(*component(
+        F.col("component"), SOURCE, record, place(line, F.lit(1)), completeness=F.when(result, "complete"),
+        call_id=F.when(result, F.col("call_id")).otherwise(""), size=F.when(result, F.col("content_bytes"))))
+    commands = records.where("call AND cmd <> ''").select(
+        "file", "line", record.alias("record"), F.col("name").alias("tool_name"), "cmd")
     reads = context.read_files(commands).select(*component(
-        F.col("kind"), SOURCE, F.col("record"), place(line, F.col("position")), path=F.col("path")))
-    components = unreadable(records.where("NOT readable"), SOURCE).unionByName(messages).unionByName(prompts) \
-        .unionByName(results).unionByName(reads)
-
-    # ------------------------------------------------------------------ calls
-    input_kind = typed(".payload.input")
-    freeform = (F.col("item") == "custom_tool_call") & F.coalesce(input_kind == "STRING", F.lit(False))
-    inline = (F.col("item") == "custom_tool_call") & ~freeform & F.coalesce(input_kind != "VOID", F.lit(False))
-    called = declared.where("name <> ''").withColumns({"_free": freeform, "_inline": inline})
-    # Arguments that are themselves a JSON string are unwrapped once.
-    wrapped = F.expr("try_variant_get(try_parse_json(arguments), '$', 'string')")
-    arguments = F.when(F.expr("schema_of_variant(try_parse_json(arguments))") == "STRING", wrapped).otherwise(F.col("arguments"))
-    called = called.withColumn("_raw", member("payload.input")(F.when(F.col("_inline"), F.col("raw"))))
-    called = called.withColumn("_args", F.when(F.col("item") == "function_call", arguments).otherwise(F.col("_raw")))
-    called = called.withColumn("fingerprint", F.coalesce(
-        F.when(F.col("_free"), freeform_fingerprint(F.col("name"), text(".payload.input"))),
-        structured_fingerprint("name", F.when(~F.col("_free") & (F.col("_args") != ""), F.col("_args"))), F.lit("")))
-    calls = called.select(
-        "file", place(line, F.lit(0)).alias("ord"), "name", "fingerprint",
+        F.col("kind"), SOURCE, F.col("record"), place(line, F.col("position")), measured=False, path=F.col("path")))
+    components = unreadable(records, SOURCE).unionByName(told).unionByName(reads)
+    calls = records.where("call AND name <> ''").select(
+        "file", place(line, F.lit(0)).alias("ord"), "name", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
         F.explode(F.array_distinct(F.filter(F.array("call_id", "item_id"), lambda k: k != ""))).alias("call_id"))
     closes = counters.select("file", place(F.col("ord"), F.lit(0)).alias("ord"))
 
     # --------------------------------------------------------------- sessions
-    seen = records.where("envelope AND NOT oversized")
-    spans = usage.session_span(seen, ["file"], "line", "timestamp")
-    ids = good.where("type IN ('session_meta', 'turn_context')").select(
-        "file", "line", F.when(F.col("type") == "session_meta", text(".payload.id")).alias("_id"),
-        F.when(F.col("type") == "turn_context", text(".payload.model")).alias("_model"))
-    named = ids.groupBy("file").agg(
-        F.max_by("_id", F.when(F.col("_id") != "", F.col("line"))).alias("_id"),
-        F.max_by("_model", F.when(F.col("_model") != "", F.col("line"))).alias("model"))
+    span = F.when(F.col("envelope") & (F.col("timestamp") != ""), line)
     totals = usage.counter_session_usage(counters, ["file"])
-    files = lines.groupBy("file").agg(F.max("mtime_us").alias("mtime_us"))
-    joined = files
-    for part in (spans, named, totals):
-        joined = joined.join(part, "file", "left")
-    sessions = joined.select(
+    # All facts of a file in one aggregate; the counters add one row per file.
+    named = records.groupBy("file").agg(
+        F.max("mtime_us").alias("mtime_us"),
+        F.min_by("timestamp", span).alias("started"), F.max_by("timestamp", span).alias("updated"),
+        F.max_by("meta_id", F.when(F.col("meta_id") != "", line)).alias("_id"),
+        F.max_by("meta_model", F.when(F.col("meta_model") != "", line)).alias("model"))
+    sessions = named.join(totals, "file", "left").select(
         "file", F.lit(AGENT).alias("source"),
         F.when(F.coalesce("_id", F.lit("")) != "", F.col("_id")).otherwise(file_stem()).alias("session_id"),
         F.coalesce("model", F.lit("")).alias("model"),
         F.unix_micros(parse_time(F.col("started"))).alias("started_us"),
         F.coalesce(F.unix_micros(parse_time(F.col("updated"))), F.col("mtime_us")).alias("updated_us"),
         *[c for m in USAGE_METRICS for c in (F.col(m), F.col(f"{m}_kind"))])
-    # A session row is one per file; its turns are many, the join key is a file.
-    turns = usage.counter_deltas(counters, ["file"], "ord", block).join(
-        sessions.select("file", "session_id", "model"), "file"
+    # One session row per file meets many turns: spread them.
+    turns = salted_lookup(
+        usage.counter_deltas(counters, ["file"], "ord", block), sessions.select("file", "session_id", "model"), ["file"], ["ord"],
+        "inner",
     ).withColumns({
         "source": F.lit(AGENT), "turn_id": F.concat_ws("#", "session_id", "sequence"),
         "billable_input": F.col("input"), "billable_input_kind": F.col("input_kind"),
         "billable_cache_read": F.col("cached"), "billable_cache_read_kind": F.col("cached_kind"),
         "billable_cache_write": F.lit(None).cast("long"), "billable_cache_write_kind": F.lit(None).cast("string"),
         "billable_output": F.col("output"), "billable_output_kind": F.col("output_kind")})
-    finished = finish_components(components, closes, calls, block)
-    return Transcripts(sessions, turns, finished)
-
-
+    return Transcripts(sessions, turns, finish_components(components, closes, calls, block))

@@ -80,8 +80,8 @@ def member_text(text: str | None, path: tuple[str | int, ...]) -> str | None:
     return text[start:end]
 
 
-def block_texts(text: str | None, path: tuple[str, ...], fields: tuple[str, ...]) -> list[dict] | None:
-    """Raw texts of some fields of each block in the array at ``path``."""
+def tool_blocks_of(text: str | None, path: tuple[str, ...]) -> list[dict] | None:
+    """Facts of the tool blocks in the array at ``path``: text, size, fingerprint."""
     array = member_text(text, path)
     if array is None or not array.startswith("["):
         return None
@@ -89,15 +89,42 @@ def block_texts(text: str | None, path: tuple[str, ...], fields: tuple[str, ...]
     try:
         for index, a, b in members(array):
             block = array[a:b]
-            row = {"i": index}
-            for field in fields:
-                row[field] = member_text(block, (field,)) if block.startswith("{") else None
+            kind = json.loads(member_text(block, ("type",)) or "null") if block.startswith("{") else None
+            row = {"i": index, "said": None, "size": None, "fingerprint": None}
+            if kind == "tool_result":
+                content = member_text(block, ("content",))
+                row |= {"said": text_of(content), "size": size_of(content)}
+            elif kind == "tool_use":
+                name = json.loads(member_text(block, ("name",)) or "null")
+                row["fingerprint"] = fingerprint_of(name, arguments_of(member_text(block, ("input",))))
             rows.append(row)
     except (ValueError, IndexError):
         return None
     return rows
 
 
+def size_of(text: str | None) -> int | None:
+    """Bytes of an output: of the decoded string, else of the JSON as written."""
+    if text is None or text == "null":
+        return None
+    if text.startswith('"'):
+        text = json.loads(text)
+    return len(text.encode("utf-8", "surrogatepass"))
+
+
+def arguments_of(text: str | None) -> str | None:
+    """Argument text of a call; arguments wrapped in a JSON string are unwrapped once."""
+    text = (text or "").strip(_BLANK)
+    if text in ("", "null"):
+        return None
+    if text.startswith('"'):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text
+    return text
+
+
 def canonical(text: str | None) -> str | None:
     """Arguments with sorted keys and numbers as written; NULL if not one JSON value."""
     if text is None:
@@ -152,33 +179,35 @@ def _text(value) -> str:
 
 @F.pandas_udf(T.StringType())
 def structured_fingerprint(name: pd.Series, arguments: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint_of(n, a) for n, a in zip(name, arguments)], dtype=object)
+    return pd.Series([fingerprint_of(n, arguments_of(a)) for n, a in zip(name, arguments)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def output_text(raw: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else text_of(r) for r in raw], dtype=object)
+_OUTPUT = T.StructType([
+    T.StructField("said", T.StringType()), T.StructField("size", T.LongType()), T.StructField("text", T.StringType())])
 
 
-def member(path: str):
-    """A function from a record's text to the raw text of one of its members."""
-    steps = tuple(path.split("."))
+@F.pandas_udf(_OUTPUT)
+def member_facts(raw: pd.Series, path: pd.Series) -> pd.DataFrame:
+    """Text, size and raw form of the member a dotted path names."""
+    rows = []
+    for record, steps in zip(raw, path):
+        found = None if record is None else member_text(record, tuple(steps.split(".")))
+        rows.append((None, None, None) if found is None else (text_of(found), size_of(found), found))
+    return pd.DataFrame(rows, columns=["said", "size", "text"]).astype({"size": "Int64"})
 
-    @F.pandas_udf(T.StringType())
-    def pick(raw: pd.Series) -> pd.Series:
-        return pd.Series([member_text(r, steps) for r in raw], dtype=object)
 
-    return pick
+_BLOCKS = T.ArrayType(T.StructType([
+    T.StructField("i", T.IntegerType()), T.StructField("said", T.StringType()), T.StructField("size", T.LongType()),
+    T.StructField("fingerprint", T.StringType())]))
 
 
-def blocks(path: str, *fields: str):
-    """A function from a record's text to the raw fields of its content blocks."""
+def tool_blocks(path: str):
+    """A function from a record's text to the facts of its tool blocks."""
     steps = tuple(path.split("."))
-    block = T.StructType([T.StructField("i", T.IntegerType()), *[T.StructField(f, T.StringType()) for f in fields]])
 
-    @F.pandas_udf(T.ArrayType(block))
+    @F.pandas_udf(_BLOCKS)
     def pick(raw: pd.Series) -> pd.Series:
-        return pd.Series([block_texts(r, steps, fields) for r in raw], dtype=object)
+        return pd.Series([tool_blocks_of(r, steps) for r in raw], dtype=object)
 
     return pick
 
