@@ -44,5 +44,6 @@ def load() -> None:
         gateway_queries,
         matching_queries,
         pricing_queries,
+        stream_queries,
         usage_queries,
     )

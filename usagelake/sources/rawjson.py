@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from json.decoder import scanstring
 
@@ -218,3 +219,84 @@ def freeform_fingerprint(name: Column, text: Column) -> Column:
     body = F.to_json(F.struct(F.lit(1).alias("version"), F.lit("freeform").alias("format"), trimmed.alias("name"),
                               text.alias("input")))
     return F.when((F.length(trimmed) > 0) & (F.length(text) > 0), F.concat(F.lit("v1-text:"), F.sha2(body, 256)))
+
+
+# Blanks outside strings, and characters the reference form writes as escapes.
+_SPACE = re.compile(r'"(?:\\.|[^"\\])*"|[ \t\n\r]+')
+_ESCAPES = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", " ": "\\u2028", " ": "\\u2029"}
+
+
+def compact(text: str | None) -> str | None:
+    """JSON as written, without blanks between its parts."""
+    if text is None:
+        return None
+    bare = _SPACE.sub(lambda m: m[0] if m[0][0] == '"' else "", text)
+    for char, escape in _ESCAPES.items():
+        bare = bare.replace(char, escape)
+    return bare
+
+
+def content_text(value) -> str:
+    """Text of request content: a string, a block, or a list of either, however deep."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, dict):
+        said = value.get("text")
+        if not isinstance(said, (str, type(None))):
+            return ""
+        return said or content_text(value.get("content"))
+    if isinstance(value, list):
+        return "".join(content_text(v) for v in value)
+    return ""
+
+
+def request_blocks_of(body: str | None) -> list | None:
+    """Per message and block of a request: deep text, size, and written form."""
+    messages = member_text(body, ("messages",))
+    if messages is None or not messages.startswith("["):
+        return None
+    rows = []
+    for _, a, b in members(messages):
+        content = member_text(messages[a:b], ("content",)) if messages[a] == "{" else None
+        facts = []
+        if content is not None and content.startswith("["):
+            for _, c, d in members(content):
+                block = content[c:d]
+                inner = member_text(block, ("content",)) if block.startswith("{") else None
+                said = content_text(json.loads(inner)) if inner is not None else ""
+                facts.append({"said": said, "size": size_of(inner), "written": compact(block)})
+        rows.append(facts)
+    return rows
+
+
+_REQUEST = T.StructType([
+    T.StructField("blocks", T.ArrayType(T.ArrayType(T.StructType([
+        T.StructField("said", T.StringType()), T.StructField("size", T.LongType()), T.StructField("written", T.StringType())])))),
+    T.StructField("outputs", T.ArrayType(T.StructType([
+        T.StructField("said", T.StringType()), T.StructField("size", T.LongType())]))),
+    T.StructField("system", T.StringType()),
+    T.StructField("tools", T.StringType())])
+
+
+def request_facts_of(body: str | None) -> tuple:
+    if body is None:
+        return (None, None, None, None)
+    try:
+        system = member_text(body, ("system",))
+        tools = member_text(body, ("tools",))
+        items = member_text(body, ("input",))
+        outputs = None
+        if items is not None and items.startswith("["):
+            outputs = []
+            for _, a, b in members(items):
+                raw = member_text(items[a:b], ("output",)) if items[a] == "{" else None
+                outputs.append({"said": text_of(raw), "size": size_of(raw)})
+        return (request_blocks_of(body), outputs, content_text(json.loads(system)) if system else None, compact(tools))
+    except (ValueError, IndexError, RecursionError):
+        return (None, None, None, None)
+
+
+@F.pandas_udf(_REQUEST)
+def request_facts(body: pd.Series) -> pd.DataFrame:
+    """What a request body holds below its named fields; the rest is read in SQL."""
+    return pd.DataFrame([request_facts_of(b) for b in body], columns=["blocks", "outputs", "system", "tools"])
