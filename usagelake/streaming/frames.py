@@ -120,11 +120,11 @@ _OUT = ", ".join([
     "final boolean"])
 
 
-def fold_stream(frames: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+def fold_stream(frames: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
     """The same fold over a stream of events; one updated row per exchange and trigger.
 
     Events of an exchange must arrive in order (an append-only capture does).  A
-    row is final when the response ended or nothing came for ``timeout``.
+    row is final when the response ended or nothing came for ``timeout_ms``.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -148,7 +148,7 @@ def fold_stream(frames: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                 ended = ended or bool(event.ends)
                 named = event.response_id if isinstance(event.response_id, str) else named
         state.update((values, named, ended, stopped))
-        state.setTimeoutDuration(timeout)
+        state.setTimeoutDuration(timeout_ms)
         yield _row(key, values, named, ended, ended)
 
     folded = read_frames(frames).groupBy("exchange_id", "protocol").applyInPandasWithState(
