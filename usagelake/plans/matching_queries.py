@@ -67,11 +67,9 @@ def j2(spark, sf_dir):
 SELECT gid AS id, min(delta) AS delta FROM near WHERE sm OR eq > 0 GROUP BY gid""")
 def j3(spark, sf_dir):
     gateways, transcripts = _sides(spark, sf_dir)
-    rows, facts = matching.signatures(gateways)
-    other_rows, other_facts = matching.signatures(transcripts)
-    found = matching.nearest(matching.Side(rows, facts, True), matching.Side(other_rows, other_facts, False),
-                             matching.DEFAULT_WINDOW_US)
-    return rows.join(found, "sig").select("id", "delta")
+    side, other = matching.Side.of(gateways, True), matching.Side.of(transcripts, False)
+    found, _ = matching.nearest(side, other, matching.DEFAULT_WINDOW_US)
+    return side.rows.join(found, "sig").select("id", "delta")
 
 
 @query("j4_mutual_best_match", ("observations",), "WITH " + MATCH + """
