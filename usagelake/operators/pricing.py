@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.measure import available
+from usagelake.functions.ordered import salted_lookup
 from usagelake.functions.text import model_of, provider_of
 from usagelake.sources.catalog import price_index
 
@@ -38,15 +39,18 @@ def resolve_prices(turns: DataFrame, profiles: DataFrame) -> DataFrame:
     name; with a catalog of checked size it is a broadcast and turns do not move.
     """
     index = price_index(profiles)
-    if index.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
-        index = F.broadcast(index)
     named = turns.withColumn("alias", F.lower("model"))
+    if index.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        found = named.join(F.broadcast(index), "alias", "left")
+    else:
+        # A model everyone uses would be one key: spread its turns.
+        found = salted_lookup(named, index, ["alias"], ["session_id", "sequence"])
     in_force = F.filter(
         "candidates",
         lambda c: c.getField("effective_us").isNull() | F.col("ts_us").isNull()
         | (c.getField("effective_us") <= F.col("ts_us")),
     )
-    return named.join(index, "alias", "left").withColumn("profile", F.get(in_force, F.lit(0))).drop("alias", "candidates")
+    return found.withColumn("profile", F.get(in_force, F.lit(0))).drop("alias", "candidates")
 
 
 def turn_cost(turns: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from usagelake.plans.registry import query
 from usagelake.plans.twins import table, twin
-from usagelake.sources import codex, requests
+from usagelake.sources import claude, codex, rawjson, requests
 from usagelake.streaming import frames
 
 
@@ -126,3 +126,98 @@ SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER w AS seq
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def p1(spark, sf_dir):
     return codex.read(_transcript_lines(spark, sf_dir)).turns.select("session_id", "sequence", "total")
+
+
+def _message_lines(spark, sf_dir):
+    """Conversations written as message transcripts: assistant turns report usage."""
+    said = table(spark, sf_dir, "conversations")
+    use = F.when(F.col("role") == "assistant", F.struct(
+        F.col("turn").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"),
+        F.lit(0).cast("long").alias("cache_read_input_tokens"), F.lit(0).cast("long").alias("cache_creation_input_tokens")))
+    raw = F.to_json(F.struct(
+        F.col("role").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"),
+        F.struct("role", F.lit("m").alias("model"), F.col("text").alias("content"), use.alias("usage")).alias("message")))
+    return said.select(
+        F.concat(F.lit("/c"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"),
+        (F.col("turn") + 1).alias("line"), raw.alias("raw"), F.lit(False).alias("oversized"),
+        F.lit(0).cast("long").alias("mtime_us"))
+
+
+@query("p5_message_components", (), """
+WITH w AS (SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS n,
+             count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+             count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+           FROM conversations)
+SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS record,
+       CASE role WHEN 'user' THEN 'user_prompt' ELSE 'history' END AS kind,
+       CASE WHEN before + 1 + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END <= n
+            THEN before + 1 + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END END AS turn_sequence,
+       'sha256:' || sha256(text) AS content_hash
+FROM w WHERE n > 0 AND (role = 'user' OR (role = 'assistant' AND earlier > 0))""")
+def p5(spark, sf_dir):
+    return claude.read(_message_lines(spark, sf_dir)).components.select(
+        F.regexp_extract("file", "(c[0-9]+)", 1).alias("session_id"), "record", "kind", "turn_sequence", "content_hash")
+
+
+@query("p2_unreadable_records", ("ev",), """
+SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, event_id AS line,
+       CASE WHEN k % 7 = 6 THEN 'truncated' ELSE 'unavailable' END AS completeness
+FROM ev WHERE k % 7 IN (1, 2, 3, 4, 6)""")
+def p2(spark, sf_dir):
+    bad = F.when(F.col("k") % 7 == 1, "not json").when(F.col("k") % 7 == 2, '{"type":"event_msg"} extra').when(
+        F.col("k") % 7 == 3, '{"type":7}').when(
+        F.col("k") % 7 == 4,
+        '{"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":"5"}}}}').when(
+        F.col("k") % 7 == 5, "").otherwise('{"type":"other","payload":[1]}')
+    lines = twin(spark, sf_dir, "ev").select(
+        F.concat(F.lit("/u"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("event_id").alias("line"),
+        F.when(F.col("k") % 7 != 6, bad).alias("raw"), (F.col("k") % 7 == 6).alias("oversized"),
+        F.lit(0).cast("long").alias("mtime_us"))
+    lost = codex.classify(lines).where("NOT readable")
+    return lost.select(F.regexp_extract("file", "(u[0-9]+)", 1).alias("session_id"), "line",
+                       F.when(F.col("oversized"), "truncated").otherwise("unavailable").alias("completeness"))
+
+
+@query("p7_output_text_and_x3_bytes", (), """
+SELECT doc_id, length(text) AS said_length, sha256(text) AS said_hash,
+       CASE WHEN doc_id % 2 = 0 THEN CAST(octet_length(encode(text)) AS BIGINT) END AS size
+FROM documents""")
+def p7(spark, sf_dir):
+    plain = F.to_json(F.struct(F.col("text").alias("output")))
+    nested = F.to_json(F.struct(F.array(F.struct(
+        F.lit("").alias("text"), F.array(F.struct("text")).alias("content"))).alias("output")))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, plain).otherwise(nested).alias("raw"))
+    facts = docs.withColumn("f", rawjson.member_facts("raw", F.lit("output")))
+    return facts.select(
+        "doc_id", F.length("f.said").cast("long").alias("said_length"), F.sha2("f.said", 256).alias("said_hash"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("f.size")).alias("size"))
+
+
+@query("x4_structured_fingerprint", ("ev",), """
+SELECT event_type, k, event_id % 3 = 2 AS written_as_float, count(*) AS calls, 1 AS fingerprints FROM ev GROUP BY ALL""")
+def x4(spark, sf_dir):
+    k = F.col("k").cast("string")
+    # Key order and blanks do not matter, how a number is written does.
+    ordered = F.concat(F.lit('{"a":'), k, F.lit(',"b":[1,"x"]}'))
+    spaced = F.concat(F.lit('{ "b" : [1, "x"], "a": '), k, F.lit("}"))
+    floated = F.concat(F.lit('{"a":'), k, F.lit('.0,"b":[1,"x"]}'))
+    shape = F.col("event_id") % 3
+    calls = twin(spark, sf_dir, "ev").select(
+        "event_type", "k", (shape == 2).alias("written_as_float"),
+        rawjson.structured_fingerprint("event_type", F.when(shape == 0, ordered).when(shape == 1, spaced).otherwise(floated))
+        .alias("fingerprint"))
+    by_print = calls.groupBy("event_type", "k", "written_as_float", "fingerprint").agg(F.count("*").alias("calls"))
+    return by_print.groupBy("event_type", "k", "written_as_float").agg(
+        F.sum("calls").alias("calls"), F.count("*").cast("int").alias("fingerprints"))
+
+
+@query("x5_freeform_fingerprint", (), """
+SELECT text_hash, copies FROM (SELECT sha256(text) AS text_hash, count(*) AS copies FROM documents WHERE length(text) > 0
+GROUP BY text) q""")
+def x5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        rawjson.freeform_fingerprint(F.lit(" run "), F.col("text")).alias("fingerprint"), F.sha2("text", 256).alias("text_hash"))
+    return docs.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(
+        F.min("text_hash").alias("text_hash"), F.count("*").alias("copies")).drop("fingerprint")
