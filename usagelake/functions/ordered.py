@@ -156,7 +156,8 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     if n > int(spark.conf.get(setting, "1000")):
         spark.conf.set(setting, str(n))
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
+    limited = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
+    return limited.withColumn(rank, F.col(rank).cast("long"))
 
 
 def salted_lookup(

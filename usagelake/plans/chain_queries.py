@@ -13,7 +13,7 @@ _COMPATIBLE = "p.protocol = c.protocol AND p.profile = c.profile AND p.num < c.n
 
 
 @query("j12_explicit_lineage", ("calls",), f"""
-SELECT c.id, max(p.id) AS previous_id, 1 AS shared FROM calls c JOIN calls p ON {_COMPATIBLE}
+SELECT c.id, max(p.id) AS previous_id, CAST(1 AS BIGINT) AS shared FROM calls c JOIN calls p ON {_COMPATIBLE}
   AND c.previous_response_id <> '' AND p.response_id = c.previous_response_id GROUP BY c.id""")
 def j12(spark, sf_dir):
     return chains.latest_predecessor(twin(spark, sf_dir, "calls"), "explicit_id")
@@ -28,7 +28,7 @@ def j13(spark, sf_dir):
 
 
 @query("j14_context_lineage", ("calls",), f"""
-SELECT c.id, max(p.id) AS previous_id, 1 AS shared FROM calls c JOIN calls p ON {_COMPATIBLE}
+SELECT c.id, max(p.id) AS previous_id, CAST(1 AS BIGINT) AS shared FROM calls c JOIN calls p ON {_COMPATIBLE}
   AND p.lineage[1] = c.lineage[1] AND len(c.lineage) > len(p.lineage) AND list_has_all(c.lineage, p.lineage) GROUP BY c.id""")
 def j14(spark, sf_dir):
     return chains.latest_predecessor(twin(spark, sf_dir, "calls"), "context_lineage")
@@ -104,8 +104,8 @@ SELECT g.chain_id, n AS model_calls, a AS initial_context, l.attributed AS final
   CASE WHEN ok = n THEN p END AS peak_context, CASE WHEN ok = n THEN CAST(s AS BIGINT) END AS total_context,
   l.attributed - a AS context_growth,
   CASE WHEN later = 0 OR bad > 0 THEN NULL WHEN top > 0 THEN top ELSE 0 END AS largest_growth,
-  CASE WHEN bad = 0 AND top > 0 THEN (SELECT min(call) FROM d WHERE d.chain_id = g.chain_id AND d.delta = g.top) ELSE 0 END
-    AS largest_growth_call, hg AS history_growth, l.tool_result - q.tool_result AS tool_result_growth
+  CAST(CASE WHEN bad = 0 AND top > 0 THEN (SELECT min(call) FROM d WHERE d.chain_id = g.chain_id AND d.delta = g.top) ELSE 0 END
+    AS BIGINT) AS largest_growth_call, hg AS history_growth, l.tool_result - q.tool_result AS tool_result_growth
 FROM g JOIN d l ON l.chain_id = g.chain_id AND l.call = g.z JOIN d q ON q.chain_id = g.chain_id AND q.call = 1""")
 def w3(spark, sf_dir):
     return chains.chain_metrics(chains.context_deltas(_chain_calls(spark, sf_dir))).select(
