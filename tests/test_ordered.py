@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from usagelake.functions import ordered
-from usagelake.functions.ordered import Running, carry, first_per_key, last_value, number, running_count, running_xor
+from usagelake.functions.ordered import Running, carry, first_per_key, last_value, number, previous_row, running_count, running_xor
 
 
 def _rows(spark, n=400, seed=1):
@@ -21,13 +21,15 @@ def test_carry_equals_window(spark):
     got = carry(df, ["key"], "ord", {
         "s": Running("sum", F.col("v")), "mx": Running("max", F.col("v")), "mn": Running("min", F.col("v")),
         "x": running_xor(F.coalesce("v", F.lit(0))), "l": last_value(F.col("v")),
-        "st": last_value(F.struct("v", "ord")), "c": running_count(F.col("flag"))}, block=7)
+        "st": last_value(F.struct("v", "ord")), "c": running_count(F.col("flag")),
+        "p": previous_row(F.col("v"))}, block=7)
     w = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     want = df.select(
         "*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("mx"), F.min("v").over(w).alias("mn"),
         F.coalesce(F.bit_xor(F.coalesce("v", F.lit(0))).over(w), F.lit(0)).alias("x"),
         F.last("v", True).over(w).alias("l"), F.last(F.struct("v", "ord"), True).over(w).alias("st"),
-        F.sum(F.when(F.col("flag"), 1).otherwise(0).cast("long")).over(w).alias("c"))
+        F.sum(F.when(F.col("flag"), 1).otherwise(0).cast("long")).over(w).alias("c"),
+        F.lag("v").over(Window.partitionBy("key").orderBy("ord")).alias("p"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 

@@ -211,3 +211,42 @@ def test_raw_members():
     assert rawjson.member_text(record, ("missing", "b")) is None
     assert rawjson.text_of('[{"text":"a"},{"text":"","content":[{"text":"b","content":"no"}]},{"content":"c"}]') == "abc"
     assert rawjson.text_of('[{"text":1}]') == "" and rawjson.text_of("5") == ""
+
+
+def reply(ident, model="real", **usage):
+    return said(f"u{ident}", "assistant", "r", id=ident, model=model, usage=usage or None)
+
+
+FULL = {"input_tokens": 10, "output_tokens": 5, "cache_read_input_tokens": 3, "cache_creation_input_tokens": 2}
+# File, records, and what the session shows: input, cached, output, total, model, turns; None for a dropped session.
+CLAUDE_CASES = {
+    "basic": ([reply("a", **FULL)], (10, 5, 5, 20, "real", 1)),
+    "zero": ([reply("a", **dict.fromkeys(FULL, 0))], (0, 0, 0, 0, "real", 1)),
+    "input_only": ([reply("a", input_tokens=4)], (4, None, None, None, "real", 1)),
+    "partial": ([reply("a", **FULL), reply("b", input_tokens=1)], (11, None, None, None, "real", 2)),
+    "negative": ([reply("a", **FULL), reply("b", **{**FULL, "input_tokens": -1})], (None, 10, 10, None, "real", 2)),
+    "all_negative": ([reply("a", **dict.fromkeys(FULL, -1))], None),
+    "empty_usage": ([said("u", "assistant", "x", id="a", model="real", usage={})], None),
+    "no_usage": ([said("u", "user", "x"), "{bad"], None),
+    "duplicate": ([reply("a", **FULL), reply("a", **FULL)], (10, 5, 5, 20, "real", 1)),
+    "same_totals": ([reply("a", **FULL), reply("b", **FULL)], (20, 10, 10, 40, "real", 2)),
+    "conflict": ([reply("a", **FULL), reply("a", **{**FULL, "output_tokens": 6})], None),
+    "conflict_mixed": ([reply("a", **FULL), reply("a", **{**FULL, "output_tokens": 6}), reply("b", **FULL)],
+                       (10, 5, 5, 20, "real", 2)),
+    "two_models": ([reply("a", **FULL), reply("b", model="other", **FULL)], (20, 10, 10, 40, "", 2)),
+    "synthetic_only": ([reply("a", model="<synthetic>", **FULL)], None),
+    "synthetic_first": ([reply("a", model="<synthetic>", **FULL), reply("b", **FULL)], (10, 5, 5, 20, "real", 1)),
+    "synthetic_last": ([reply("b", **FULL), reply("c", model="<synthetic>", **FULL)], (10, 5, 5, 20, "real", 1)),
+    "no_model": ([reply("a", model="", **FULL)], (10, 5, 5, 20, "", 1)),
+    "empty": ([""], None),
+}
+
+
+def test_claude_cases(spark, write_lines):
+    for name, (records, _) in CLAUDE_CASES.items():
+        root = write_lines(f"cases/{name}.jsonl", records)
+    got = claude.read(jsonl.read_lines(spark, root))
+    turns = {r.session_id: r["count"] for r in got.turns.groupBy("session_id").count().collect()}
+    seen = {r.session_id: (r.input, r.cached, r.output, r.total, r.model, turns.get(r.session_id))
+            for r in got.sessions.collect()}
+    assert seen == {name: want for name, (_, want) in CLAUDE_CASES.items() if want}

@@ -31,7 +31,7 @@ class Running:
     """One running value over the rows strictly before the current one."""
 
     def __init__(self, kind: str, value: Column) -> None:
-        if kind not in ("sum", "max", "min", "xor", "last"):
+        if kind not in ("sum", "max", "min", "xor", "last", "row"):
             raise ValueError(kind)
         self.kind = kind
         self.value = value
@@ -45,7 +45,7 @@ class Running:
             return F.min(self.value).over(window)
         if self.kind == "xor":
             return F.bit_xor(self.value).over(window)
-        return F.last(self.value, ignorenulls=True).over(window)
+        return F.last(self.value, ignorenulls=self.kind == "last").over(window)
 
     def of_block(self, order: Column) -> Column:
         if self.kind == "sum":
@@ -56,12 +56,16 @@ class Running:
             return F.min(self.value)
         if self.kind == "xor":
             return F.bit_xor(self.value)
+        if self.kind == "row":
+            return F.max_by(self.value, order)
         return F.max_by(self.value, F.when(self.value.isNotNull(), order))
 
     def over_blocks(self, name: str, window) -> Column:
         return Running(self.kind, F.col(name)).in_block(window)
 
     def combine(self, before: Column, inside: Column) -> Column:
+        if self.kind == "row":
+            return F.when(F.col("_i__any"), inside).otherwise(before)
         if self.kind == "sum":
             return F.when(before.isNotNull() | inside.isNotNull(),
                           F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0)))
@@ -95,6 +99,14 @@ def last_value(value: Column) -> Running:
     return Running("last", value)
 
 
+def previous_row(value: Column) -> Running:
+    """The value of the row just before this one, NULL included.
+
+    On fixed-width columns the block summaries stay hash aggregates.
+    """
+    return Running("row", value)
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -125,7 +137,8 @@ def carry(
     # The explicit repartition keeps an upstream partitioning on the keys alone
     # from being reused for the window, which would bring the hot group back.
     scanned = rows.repartition(*keys, "_blk").select(
-        "*", *[value.in_block(inside).alias(f"_i_{name}") for name, value in values.items()]
+        "*", *[value.in_block(inside).alias(f"_i_{name}") for name, value in values.items()],
+        (F.count(F.lit(1)).over(inside) > 0).alias("_i__any"),
     )
     if keep is not None:
         scanned = scanned.where(keep)

@@ -15,7 +15,7 @@ from usagelake.functions.measure import (
     sum_available,
     usable,
 )
-from usagelake.functions.ordered import BLOCK, carry, last_value, running_count, top_per_key
+from usagelake.functions.ordered import BLOCK, carry, previous_row, running_count, top_per_key
 
 # Fixed value: model name of records an agent writes itself.
 SYNTHETIC_MODEL = "<synthetic>"
@@ -44,17 +44,17 @@ def counter_deltas(df: DataFrame, keys: Sequence[str] = ("session_id",), order:
     """
     with_previous = carry(
         df, keys, order,
-        {"_prev": last_value(F.struct(*COUNTERS)), "_before": running_count(F.lit(True))},
+        {**{f"_prev_{c}": previous_row(F.col(c)) for c in COUNTERS}, "_before": running_count(F.lit(True))},
         block,
     )
 
     def before(name: str) -> Column:
-        return F.coalesce(F.col(f"_prev.{name}"), F.lit(0))
+        return F.coalesce(F.col(f"_prev_{name}"), F.lit(0))
 
     reset = F.lit(False)
     for name in ("input", "cached", "output", "total"):
         reset = reset | (F.col(name) < before(name))
-    reset = reset | F.coalesce(F.col("reasoning") < F.col("_prev.reasoning"), F.lit(False))
+    reset = reset | F.coalesce(F.col("reasoning") < F.col("_prev_reasoning"), F.lit(False))
     base = with_previous.withColumn("reset", reset)
     deltas = []
     for name in COUNTERS:
