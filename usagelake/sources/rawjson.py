@@ -11,14 +11,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from collections.abc import Iterator
 from json.decoder import scanstring
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The helpers travel with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BLANK = " \t\n\r"
 
 
@@ -26,8 +31,25 @@ class _Literal(str):
     """A number kept as the text it was written as."""
 
 
-_NUMBERS = json.JSONDecoder(parse_float=_Literal, parse_int=_Literal, parse_constant=lambda name: _fail(name))
-_SPANS = json.JSONDecoder(parse_float=_Literal, parse_int=_Literal)
+class _Decoder:
+    """A JSON decoder that keeps numbers as text; built where it is used, so it can be shipped."""
+
+    def __init__(self, strict: bool) -> None:
+        self.strict = strict
+        self.inner = None
+
+    def __getstate__(self) -> dict:
+        return {"strict": self.strict, "inner": None}
+
+    def get(self) -> json.JSONDecoder:
+        if self.inner is None:
+            constant = _fail if self.strict else None
+            self.inner = json.JSONDecoder(parse_float=_Literal, parse_int=_Literal, parse_constant=constant)
+        return self.inner
+
+
+_NUMBERS = _Decoder(strict=True)
+_SPANS = _Decoder(strict=False)
 
 
 def _fail(name: str):
@@ -54,7 +76,7 @@ def members(text: str, at: int = 0) -> Iterator[tuple[str | int, int, int]]:
         if is_object:
             key, at = scanstring(text, at + 1, False)
             at = _skip(text, _skip(text, at) + 1)
-        _, end = _SPANS.raw_decode(text, at)
+        _, end = _SPANS.get().raw_decode(text, at)
         yield key, at, end
         index += 1
         at = _skip(text, end)
@@ -131,7 +153,7 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        value = _NUMBERS.decode(text)
+        value = _NUMBERS.get().decode(text)
     except (ValueError, RecursionError):
         return None
     return None if value is None else _dump(value)

@@ -7,9 +7,11 @@ responses that never end.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +20,9 @@ from usagelake.functions.ordered import salted_lookup
 from usagelake.operators.gateway import MESSAGES, RESPONSES
 from usagelake.sources.records import get, integers_ok, objects_ok, parsed, strings_ok, text, typed
 
+# The state function travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Largest event that is read, and the events that end a response.
 MAX_EVENT_BYTES = 1024 * 1024
 ENDS = ("response.completed", "response.done", "response.usage")
