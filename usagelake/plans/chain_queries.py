@@ -160,7 +160,7 @@ def t6(spark, sf_dir):
 _FIELDS = {"fresh_input": "fi", "cached_input": "ci", "cache_creation_input": "wi", "total_input": "ti", "output": "oo",
            "reasoning_output": "ro", "total": "tt"}
 ACCOUNT = """
-x AS (SELECT *, num % 4 <> 1 AND kind = 'model' AS chained,
+x AS (SELECT *, id IN (SELECT exchange_id FROM request_parts) AND kind = 'model' AS chained,
         call AND usage_source IS NOT NULL AS counted,
         call AND coalesce(input_tokens, cache_creation_input_tokens, cache_read_input_tokens, output_tokens,
           reasoning_output_tokens, total_input_tokens, total_tokens) IS NOT NULL AND usage_source IS NOT NULL AS obs,
@@ -173,7 +173,7 @@ y AS (SELECT *,
   output_tokens AS oo, reasoning_output_tokens AS ro,
   CASE WHEN total_tokens IS NOT NULL THEN total_tokens
        WHEN (am OR or_) AND hi AND output_tokens IS NOT NULL THEN ot END AS tt FROM x),
-fl AS (SELECT profile, count(*) AS recorder_failures FROM exchanges WHERE num % 500 = 0 AND profile <> 'p2' GROUP BY profile),
+fl AS (SELECT profile, count(*) AS recorder_failures FROM exchanges WHERE protocol = 'other' GROUP BY profile),
 a AS (SELECT profile, count(*) AS http_requests, count(*) FILTER (kind = 'model') AS model_requests,
   count(*) FILTER (kind = 'model' AND chained) AS chained_requests,
   count(*) FILTER (kind = 'model' AND NOT chained) AS uncorrelated_requests,
@@ -191,14 +191,15 @@ a AS (SELECT profile, count(*) AS http_requests, count(*) FILTER (kind = 'model'
 
 
 def _account(spark, sf_dir):
+    """Calls that sent components stand for chained ones, calls of no known protocol for failures."""
     calls = _exchanges(spark, sf_dir)
-    chained = calls.where("num % 4 <> 1 AND kind = 'model'").select("id")
-    failures = calls.where("num % 500 = 0 AND profile <> 'p2'").groupBy("profile").agg(
-        F.count("*").alias("recorder_failures"))
+    sent = twin(spark, sf_dir, "request_parts").select(F.col("exchange_id").alias("id")).distinct()
+    chained = calls.where("kind = 'model'").select("id").join(sent, "id", "left_semi")
+    failures = calls.where("protocol = 'other'").groupBy("profile").agg(F.count("*").alias("recorder_failures"))
     return gateway.profile_account(calls, chained, failures)
 
 
-@query("a21_profile_account", ("exchanges",), "WITH " + KIND + "," + NORM + "," + ACCOUNT + """
+@query("a21_profile_account", ("exchanges", "request_parts"), "WITH " + KIND + "," + NORM + "," + ACCOUNT + """
 SELECT a.*, coalesce(recorder_failures, 0) AS recorder_failures,
   CASE WHEN (model_requests > 0 AND NOT (observed_calls >= model_requests AND observed_fresh_input_count >= model_requests
       AND observed_output_count >= model_requests)) OR coalesce(recorder_failures, 0) > 0 OR outcome_stream_truncated > 0
