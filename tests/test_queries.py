@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as driver
 from tests import oracle
+from usagelake.plans import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="shared tables are not here")
-NAMES = sorted(driver.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -31,4 +32,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
