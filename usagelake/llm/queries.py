@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelake.llm import mixing
+from usagelake.llm import mixing, packing, quality
 
-QUERIES = {f.__name__: f for f in (mixing.op8_entropy_mix,)}
+QUERIES = {f.__name__: f for f in (packing.op1_shortest_pack_first, quality.op5_line_frequency, mixing.op8_entropy_mix)}
 ORACLES: dict[str, str] = {}
