@@ -37,7 +37,7 @@ MOST_BLOCKS = 10_000
 
 
 def _hash(text: Column) -> Column:
-    return F.substring(F.sha2(text.cast("binary"), 256), 1, 8)
+    return F.sha2(text.cast("binary"), 256)
 
 
 def paragraphs(text: Column) -> Column:
@@ -60,9 +60,10 @@ def sections(leaves: Column) -> Column:
 def fingerprint(leaves: Column, size: Column) -> Column:
     """The fingerprint of a text from its paragraphs; ``size`` is the text's length."""
     nodes = sections(leaves)
-    below = F.array_join(F.transform(leaves, lambda x: F.concat(x["hash"], F.lit("."), x["length"])), ",")
-    root = F.sha2(F.concat(size.cast("string"), F.lit("|"), F.array_join(nodes, ""), F.lit("|"), below).cast("binary"), 256)
-    return F.concat(root, F.lit("|"), F.array_join(nodes, ""), F.lit("|"), below)
+    root = _hash(F.concat(size.cast("string"), F.lit("|"), F.array_join(nodes, "")))
+    short = F.array_join(F.transform(nodes, lambda n: F.substring(n, 1, 8)), "")
+    below = F.transform(leaves, lambda x: F.concat(F.substring(x["hash"], 1, 8), F.lit("."), x["length"]))
+    return F.concat_ws("|", root, short, F.array_join(below, ","))
 
 
 def parsed(print_: Column) -> Column:
@@ -108,13 +109,18 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     blocks = max(1, min(MOST_BLOCKS, count // BLOCK))
     cuts = sorted(set(ids.approxQuantile("_id", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
     edges = [-float("inf"), *cuts, float("inf")]
-    deal = Bucketizer(splits=edges, inputCol="_id", outputCol="_block", handleInvalid="keep")
-    # A null sorts first: it goes to a block before all others.
-    block = lambda df: deal.transform(df.withColumn("_id", F.col("doc_id").cast("double"))).withColumn(
-        "_block", F.when(F.col("_id").isNull(), -1).otherwise(F.col("_block").cast("int"))
-    ).drop("_id")
-    firsts = {r["_block"]: r["first"] for r in block(docs.select("doc_id")).groupBy("_block").agg(F.min("doc_id").alias("first")).collect()}
-    there = sorted(firsts)  # no more than MOST_BLOCKS + 1
+
+    def block(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_id", F.col("doc_id").cast("double")).withColumn("_block", F.lit(0.0))
+        if cuts:
+            deal = Bucketizer(splits=edges, inputCol="_id", outputCol="_block", handleInvalid="keep")
+            df = deal.transform(df.drop("_block"))
+        # A null sorts first: it goes to a block before all others.
+        return df.withColumn("_block", F.when(F.col("_id").isNull(), -1).otherwise(F.col("_block").cast("int"))).drop("_id")
+
+    lowest = block(docs.select("doc_id")).groupBy("_block").agg(F.min("doc_id").alias("first"))
+    firsts = {r["_block"]: r["first"] for r in lowest.collect()}  # no more than MOST_BLOCKS + 1
+    there = sorted(firsts)
     back = {b: there[i - 1] for i, b in enumerate(there)}  # the first block's goes after the last
     dealt = block(slim)
     home = dealt.withColumn("_guest", F.lit(0))

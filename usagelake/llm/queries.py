@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from usagelake.llm import fingerprints, mixing, packing, quality
+from usagelake.llm import fingerprints, jaccard, mixing, packing, quality
 
-QUERIES = {f.__name__: f for f in (packing.op1_shortest_pack_first, fingerprints.op2_merkle_fingerprints, quality.op5_line_frequency, mixing.op8_entropy_mix)}
+QUERIES = {f.__name__: f for f in (
+    packing.op1_shortest_pack_first, fingerprints.op2_merkle_fingerprints, jaccard.op3_bayesian_jaccard_join,
+    quality.op5_line_frequency, mixing.op8_entropy_mix,
+)}
 ORACLES: dict[str, str] = {}
