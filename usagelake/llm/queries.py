@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from usagelake.llm import automata, fingerprints, jaccard, mixing, packing, quality, transforms
+from usagelake.llm import automata, brown, fingerprints, jaccard, mixing, packing, quality, transforms
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_shortest_pack_first, fingerprints.op2_merkle_fingerprints, jaccard.op3_bayesian_jaccard_join,
     automata.op4_suffix_automata, quality.op5_line_frequency, mixing.op8_entropy_mix, transforms.op9_merged_transforms,
+    brown.op10_brown_classes,
 )}
 ORACLES: dict[str, str] = {automata.op4_suffix_automata.__name__: automata.ORACLE}
