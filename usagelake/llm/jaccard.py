@@ -272,19 +272,20 @@ def _blocked(rows: DataFrame, key: str) -> DataFrame:
     return spread.drop("_other", "_blocks").repartition(key, "_p", "_q").sortWithinPartitions(key, "_p", "_q")
 
 
-def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row a document: its id, class_id (the least id of its class), n_links and n_copies."""
+def _placed(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (_id, _text, sid), and sets (sid, root, first, _id, texts, copies, size, links)."""
     slim = docs.select(F.col(id_column).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     kind = slim.schema["_id"].dataType.simpleString()
     rows = keep(slim.mapInArrow(_sketch, f"_id {kind}, _text long, sid binary, size long, signature binary"))
+    first = F.struct(F.col("_id").isNull().cast("int").alias("_null"), "_id", "_text")
     texts = rows.groupBy("sid", "_text").agg(
-        F.count("*").alias("n"), F.min("_id").alias("_id"), F.min(F.struct("_id", "_text")).alias("first"),
+        F.count("*").alias("n"), F.min(first).alias("first"),
         F.first("signature").alias("signature"), F.first("size").alias("size"),
     )
     sets = keep(texts.groupBy("sid").agg(
-        F.sum("n").alias("copies"), F.count("*").alias("texts"), F.min("_id").alias("_id"), F.min("first").alias("first"),
+        F.sum("n").alias("copies"), F.count("*").alias("texts"), F.min("first").alias("first"),
         F.first("signature").alias("signature"), F.first("size").alias("size"),
-    ))
+    ).withColumn("_id", F.col("first._id")))
     # Buckets: the sets of each band, those of equal membership once.
     word = lambda k: F.substring(F.col("signature"), (k * (4 * ROWS) + 1).cast("int"), F.lit(4 * ROWS))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, word(k)))
@@ -316,8 +317,13 @@ def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     classes = components(links.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")))
     counted = links.where("other is null").groupBy("sid").agg(F.sum("links").alias("links"))
     named = classes.select(F.col("node").alias("sid"), "root")
-    placed = sets.select("sid", "_id", "texts", "copies", "size").join(named, "sid", "left").join(counted, "sid", "left")
-    placed = keep(placed.withColumn("root", F.coalesce("root", "sid")))
+    placed = sets.select("sid", "first", "_id", "texts", "copies", "size").join(named, "sid", "left").join(counted, "sid", "left")
+    return rows, keep(placed.withColumn("root", F.coalesce("root", "sid")))
+
+
+def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row a document: its id, class_id (the least id of its class), n_links and n_copies."""
+    rows, placed = _placed(docs, id_column)
     least = placed.groupBy("root").agg(F.min("_id").alias("class_id"))
     own = F.when(F.col("size") > 0, F.col("texts") - 1).otherwise(0)
     out = placed.join(least, "root").select(
@@ -329,5 +335,12 @@ def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
 
 
+def representatives(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, text's xxhash64) of one document a class: that of the least id, then of the least hash."""
+    _, placed = _placed(docs, id_column)
+    first = placed.groupBy("root").agg(F.min("first").alias("f"))
+    return first.select(F.col("f._id").alias(id_column), F.col("f._text").alias("text_hash"))
+
+
 def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

@@ -7,8 +7,8 @@ counted over tokens, is ``r_i = exp(lambda_s)``: the exponential tilt of the dua
 source, so Newton's steps run where the source's row is, in parallel over sources, with no job per step.
 
 Rates become whole copies through the histogram of (source, size).  Going from large documents to small ones,
-each cell takes the number of copies that brings the source's running total next to its running target, so the
-final gap is that of the smallest documents, not of the largest.  Documents of one cell differ by one copy at most.
+each cell takes the number of copies that brings the source's running total next to its running target, and that
+leaves to the smaller documents what they can give, so the final gap is that of the smallest documents.  Documents of one cell differ by one copy at most.
 
 Shuffles carry (source, size) counts and (doc_id, source, size) rows; text never moves.  A hot source is
 pre-aggregated, a hot cell is dealt to buckets (:func:`common.dealt_rank`).  Only built-in functions are used.
@@ -68,13 +68,25 @@ def _copies(cells: DataFrame, most: int) -> DataFrame:
     per_source = cells.groupBy("source", "source_size", "target", "rate").agg(
         F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("cells")
     )
-    start = F.struct(F.lit(0.0).alias("gap"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(
+        F.lit(0.0).alias("gap"), F.col("target").alias("left"), F.col("source_size").cast("double").alias("rest"),
+        F.array().cast("array<bigint>").alias("out"),
+    )
 
     def step(state, cell):
         wanted = state["gap"] + cell["size"] * cell["n"] * F.col("rate")
-        taken = F.least(F.round(wanted / cell["size"]), cell["n"] * F.lit(float(most))).cast("bigint")
+        rest = state["rest"] - cell["size"] * cell["n"]
+        # What is left for smaller documents must be something that they can give.
+        low = F.greatest(F.ceil((state["left"] - float(most) * rest) / cell["size"]), F.lit(0))
+        high = F.least(F.floor(state["left"] / cell["size"]), cell["n"] * most)
+        over = (high + 1) * cell["size"] - state["left"]
+        short = state["left"] - high * cell["size"] - float(most) * rest
+        near = F.greatest(low, F.least(high, F.round(wanted / cell["size"])))
+        taken = F.when(low <= high, near).otherwise(F.when(over < short, high + 1).otherwise(high))
+        taken = F.greatest(F.least(taken, cell["n"] * most), F.lit(0)).cast("bigint")
         return F.struct(
-            (wanted - taken * cell["size"]).alias("gap"), F.concat(state["out"], F.array(taken)).alias("out")
+            (wanted - taken * cell["size"]).alias("gap"), (state["left"] - taken * cell["size"]).alias("left"),
+            rest.alias("rest"), F.concat(state["out"], F.array(taken)).alias("out"),
         )
 
     # Sizes differ within a source, so its list is no longer than its longest document has words.

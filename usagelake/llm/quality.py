@@ -17,6 +17,7 @@ repeated rows get equal verdicts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -44,7 +45,12 @@ MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "sketch long, lines array<long>, line_words array<int>"
 )
-_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_NUMBER = re.compile(rb"[0-9]+")
+
+
+def normal(words: list[bytes]) -> bytes:
+    """A line's words in small letters, one blank between them, every number as 0."""
+    return _NUMBER.sub(b"0", b" ".join(words).lower())
 
 
 def repeated_words(hashes: np.ndarray, n: int = WINDOW) -> int:
@@ -76,8 +82,7 @@ def measured(text: str, known: WordHashes) -> tuple:
             repeats += line in seen
             seen.add(line)
             words += own
-            normal = b" ".join(own).lower().translate(_DIGITS)
-            lines.append(xxhash.xxh3_64_intdigest(normal) - 2**63)
+            lines.append(xxhash.xxh3_64_intdigest(normal(own)) - 2**63)
             line_words.append(len(own))
     hashes = known.of(words)
     grams = shingles(hashes, 5)
@@ -165,8 +170,7 @@ def stripped(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOC
             gone, out = set(lines), []
             for line in text.split("\n"):
                 own = line.encode().split()
-                normal = b" ".join(own).lower().translate(_DIGITS)
-                if not own or xxhash.xxh3_64_intdigest(normal) - 2**63 not in gone:
+                if not own or xxhash.xxh3_64_intdigest(normal(own)) - 2**63 not in gone:
                     out.append(line)
             return "\n".join(out)
 

@@ -297,12 +297,18 @@ def _final(batches: Iterable, rule: Rule, texts: bool) -> Iterator:
 
 
 def remove(docs: DataFrame, rule: Rule, engine: Engine, texts: bool = False, id_column: str = "doc_id") -> DataFrame:
-    """One row a document: its id, size, n_removed, n_spans, kept_sha256, and kept_text if ``texts``."""
+    """One row a document: its id, size, n_removed, n_spans, kept_sha256.
+
+    With ``texts`` also kept_text, and ``row``, a struct of the document's other columns.
+    """
+    others = [docs[c].alias(c) for c in docs.columns if c not in (id_column, "text")] if texts else []
+    row = F.struct(*others) if others else F.lit(None).cast("struct<none: int>")
     low = F.lit(-(2**63)).cast("long")  # a null id comes before all others
     slim = docs.select(
-        F.col(id_column), F.coalesce(F.col(id_column).cast("long"), low).alias("_d"), F.xxhash64("text").alias("_t"), "text"
+        F.col(id_column).alias("id"), row.alias("row"), F.coalesce(F.col(id_column).cast("long"), low).alias("_d"),
+        F.xxhash64("text").alias("_t"), "text",
     )
-    kind = slim.schema[id_column].dataType.simpleString()
+    own = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("id", "row"))
     key = "_d long, _t long"
     every = slim.select("_d", "_t", "text")
     anchored = lambda df: df.mapInArrow(lambda b: _anchored(b, rule), f"{key}, value long, first int, end int")
@@ -322,10 +328,10 @@ def remove(docs: DataFrame, rule: Rule, engine: Engine, texts: bool = False, id_
         "_d", "_t", F.struct("first", "end", F.when(F.col("hot"), F.col("value")).otherwise(F.col("least")).alias("g")).alias("f")
     )
     found = repeated.groupBy("_d", "_t").agg(F.collect_list("f").alias("found"))  # no longer than the document
-    packed = slim.mapInArrow(_packed, f"`{id_column}` {kind}, {key}, packed binary")
+    packed = slim.mapInArrow(_packed, f"{own}, {key}, packed binary")
     shape = "array<struct<g: long, start: int, windows: int, mark: binary, content: binary>>"
     cut = keep(packed.join(found, ["_d", "_t"], "left").mapInArrow(
-        lambda b: _cut(b, rule, texts), f"_d long, _t long, `{id_column}` {kind}, size long, sha string, packed binary, pieces {shape}"
+        lambda b: _cut(b, rule, texts), f"{key}, {own}, size long, sha string, packed binary, pieces {shape}"
     ))
     single = cut.where("sha is null").select("_d", "_t", F.explode("pieces").alias("p"))
     distinct = keep(
@@ -355,9 +361,11 @@ def remove(docs: DataFrame, rule: Rule, engine: Engine, texts: bool = False, id_
     spans = F.when(whole, F.array(F.lit(0), F.col("windows"))).otherwise(F.col("spans"))
     gone = places.select("_d", "_t", F.struct("start", spans.alias("spans")).alias("p")).where(F.size("p.spans") > 0)
     gone = gone.groupBy("_d", "_t").agg(F.collect_list("p").alias("got"))
-    fields = f"`{id_column}` {kind}, size long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    columns = [id_column, "_d", "_t", "size", "sha", "packed"]
+    fields = f"{own}, size long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    columns = ["id", "row", "_d", "_t", "size", "sha", "packed"]
     shape = "array<struct<start: int, spans: array<int>>>"
     touched = cut.where("sha is null").select(columns).join(gone, ["_d", "_t"], "left").select(*columns, F.col("got").cast(shape))
     clean = cut.where("sha is not null").select(*columns, F.lit(None).cast(shape).alias("got"))
-    return touched.unionByName(clean).mapInArrow(lambda b: _final(b, rule, texts), fields)
+    result = touched.unionByName(clean).mapInArrow(lambda b: _final(b, rule, texts), fields)
+    result = result.withColumnRenamed("id", id_column)
+    return result if texts else result.drop("row", "kept_text")
