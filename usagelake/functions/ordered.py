@@ -162,12 +162,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
 
 
+#: Spark limits groups before the shuffle up to this rank, its default.
+GROUP_LIMIT = 1000
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "_rn") -> DataFrame:
-    """The first ``n`` rows of each key; also limited before the shuffle."""
-    spark = df.sparkSession
-    setting = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if n > int(spark.conf.get(setting, "1000")):
-        spark.conf.set(setting, str(n))
+    """The first ``n`` rows of each key.
+
+    Up to ``GROUP_LIMIT`` the limit runs before the shuffle.  Beyond it each key is first limited in 64 parts, so
+    that at most 64 ``n`` rows of a key come together.
+    """
+    if n > GROUP_LIMIT:
+        part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        dealt = df.withColumn("_part", F.floor(F.rand(7) * 64))
+        df = dealt.withColumn("_rp", F.row_number().over(part)).where(F.col("_rp") <= n).drop("_rp", "_part")
     window = Window.partitionBy(*keys).orderBy(*order)
     limited = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
     return limited.withColumn(rank, F.col(rank).cast("long"))

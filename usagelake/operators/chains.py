@@ -36,7 +36,7 @@ from usagelake.functions.ordered import (
     running_xor,
     salted_lookup,
 )
-from usagelake.operators.gateway import MESSAGES, PROTOCOLS, RESPONSES, coverage_percent
+from usagelake.operators.gateway import MESSAGES, PROTOCOLS, RESPONSES, coverage_percent, is_model_call
 from usagelake.session import cut
 
 # How a call continues another, strongest evidence first.
@@ -75,7 +75,10 @@ def _block_ids(role: str, field: str) -> Column:
 
 
 def calls_from_exchanges(exchanges: DataFrame) -> DataFrame:
-    """The chain-relevant facts of captured model calls (nested capture schema)."""
+    """The chain-relevant facts of captured model calls (nested capture schema).
+
+    Other calls (listings, token counts, reads) are no part of any chain.
+    """
     empty = F.array().cast("array<string>")
     hashes = F.transform(
         F.filter(F.coalesce("request.components", F.array()),
@@ -86,7 +89,7 @@ def calls_from_exchanges(exchanges: DataFrame) -> DataFrame:
     def ids(name: str) -> Column:
         return F.array_distinct(F.filter(F.coalesce(name, empty), lambda i: i != ""))
 
-    return exchanges.select(
+    return exchanges.where(is_model_call()).select(
         "id", "profile", "protocol", F.unix_micros("startedAt").alias("started_us"),
         F.coalesce("model", F.lit("")).alias("model"), F.coalesce(start_shape(), F.lit(False)).alias("start_shape"),
         F.when(~messages, F.col("response.openaiResponses.responseId")).alias("response_id"),
@@ -272,7 +275,11 @@ def _step(found: Lineage, paths: DataFrame, block: int) -> tuple[DataFrame, Data
 
 @dataclass
 class Chains:
-    """Calls in chains, links with their method, evidence rows, and the rest."""
+    """Calls in chains, links with their method, evidence rows, and the rest.
+
+    A chain is known by ``root_id``, the id of its first call.  ``chain_id`` is a label to show: a part of the
+    root's id, and not unique.
+    """
 
     members: DataFrame
     links: DataFrame
@@ -300,11 +307,14 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True) ->
             break
         paths = _paths(labels)
     names = found.nodes.select("n", "id", "profile", "protocol", "started_us", "model")
-    roots = names.select(F.col("n").alias("root"), chain_id(F.col("id")).alias("chain_id"))
+    begun = paths.where("dist = 0").select("n")
+    roots = names.join(begun, "n", "left_semi").select(F.col("n").alias("root"), F.col("id").alias("root_id"))
     chained = paths.where("root IS NOT NULL").join(names, "n")
     # The calls of one long chain all look up one root: spread them.
-    members = salted_lookup(chained, roots, ["root"], ["n"], "inner").select(
-        "chain_id", (F.col("dist") + 1).alias("call"), "id", "profile", "protocol", "started_us", "model", "n",
+    starts = chained.where("dist = 0").withColumn("root_id", F.col("id"))
+    later = salted_lookup(chained.where("dist > 0"), roots, ["root"], ["n"], "inner")
+    members = starts.unionByName(later).select(
+        "root_id", chain_id(F.col("root_id")).alias("chain_id"), (F.col("dist") + 1).alias("call"), "id", "profile", "protocol", "started_us", "model", "n",
         F.when(F.col("dist") > 0, F.col("parent")).alias("parent"))
     used = hits.join(members.where("parent IS NOT NULL").select("n", "parent"), "n").where("which = parent")
     best = used.groupBy("n").agg(F.min("method").alias("_m"))
@@ -313,7 +323,7 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True) ->
         method = F.when(F.col("_m") == rank, name).otherwise(method)
     previous = names.select(F.col("n").alias("parent"), F.col("id").alias("previous_id"))
     links = members.join(best, "n", "left").join(previous, "parent", "left").select(
-        "chain_id", "call", "id", "previous_id",
+        "root_id", "chain_id", "call", "id", "previous_id",
         F.when(F.col("previous_id").isNull(), "start").otherwise("continue").alias("relation"), method.alias("method"))
     kind = F.lit("")
     for rank, name in enumerate(METHODS):
@@ -331,10 +341,10 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True) ->
 def context_deltas(calls: DataFrame, block: int = BLOCK) -> DataFrame:
     """Context of each call less that of the call before it in its chain.
 
-    ``calls`` has chain_id, call (1, 2, ...), attributed and its kind.  The first
+    ``calls`` has root_id, chain_id, call (1, 2, ...), attributed and its kind.  The first
     call's delta is unknown; falls and zeros are kept.
     """
-    with_before = carry(calls, ["chain_id"], "call", {
+    with_before = carry(calls, ["root_id"], "call", {
         "_p": last_value(F.struct(F.col("attributed").alias("value"), F.col("attributed_kind").alias("kind")))}, block)
     before = with_before.withColumns({"before": F.col("_p.value"), "before_kind": F.col("_p.kind")})
     both = available("attributed") & available("before")
@@ -355,7 +365,7 @@ def chain_usage(calls: DataFrame) -> DataFrame:
     some = F.lit(False)
     for field in CHAIN_USAGE:
         some = some | F.col(field).isNotNull()
-    return calls.groupBy("chain_id").agg(
+    return calls.groupBy("root_id").agg(
         whole.alias("usage_total_calls"), F.count_if(some).alias("usage_observed_calls"),
         *[F.when(F.count(field) == whole, F.sum(field)).alias(f"provider_{field}") for field in CHAIN_USAGE])
 
@@ -378,8 +388,8 @@ def chain_metrics(deltas: DataFrame) -> DataFrame:
         pick = F.max_by if last else F.min_by
         return pick(F.struct(F.col(name).alias("v"), F.col(f"{name}_kind").alias("k")), F.col("call"))
 
-    grouped = deltas.groupBy("chain_id").agg(
-        F.count("*").alias("model_calls"), F.min("started_us").alias("started_us"),
+    grouped = deltas.groupBy("root_id").agg(
+        F.first("chain_id").alias("chain_id"), F.count("*").alias("model_calls"), F.min("started_us").alias("started_us"),
         F.min_by("model", "call").alias("model"), F.min_by("profile", "call").alias("profile"),
         F.min_by("protocol", "call").alias("protocol"),
         F.when(every, F.sum("attributed")).alias("total_context"),
@@ -396,7 +406,7 @@ def chain_metrics(deltas: DataFrame) -> DataFrame:
 
     growth = known("_last") - known("_first")
     return grouped.select(
-        "chain_id", "profile", "protocol", "model", "started_us", "model_calls",
+        "root_id", "chain_id", "profile", "protocol", "model", "started_us", "model_calls",
         known("_first").alias("initial_context"), known("_last").alias("final_context"),
         "peak_context", "total_context", F.coalesce("_all_kind", F.lit("unknown")).alias("total_context_kind"),
         growth.alias("context_growth"),
@@ -405,13 +415,23 @@ def chain_metrics(deltas: DataFrame) -> DataFrame:
         *[(known(f"_last_{g}") - known(f"_first_{g}")).alias(f"{g}_growth") for g in GROWTH])
 
 
+def call_report(calls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per call of a chain: its context, step, provider usage, gap and coverage."""
+    deltas = context_deltas(calls, block)
+    both = F.col("total_input").isNotNull() & available("attributed")
+    return deltas.withColumns({
+        "attribution_gap": F.when(both, F.col("total_input") - F.col("attributed")),
+        "coverage_percent": F.when(both, coverage_percent(F.col("attributed"), F.col("total_input"))),
+    })
+
+
 def chain_report(calls: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per chain: context metrics, provider usage, gap and coverage; newest first."""
     metrics = chain_metrics(context_deltas(calls, block))
-    joined = metrics.join(chain_usage(calls), "chain_id")
+    joined = metrics.join(chain_usage(calls), "root_id")
     both = F.col("provider_total_input").isNotNull() & F.col("total_context").isNotNull()
     return joined.withColumns({
         "attribution_gap": F.when(both, F.col("provider_total_input") - F.col("total_context")),
         "coverage_percent": F.when(both, coverage_percent(F.col("total_context"), F.col("provider_total_input"))),
-    }).orderBy(F.col("started_us").desc(), "chain_id")
+    }).orderBy(F.col("started_us").desc(), "chain_id", "root_id")
 

@@ -176,22 +176,19 @@ def cost_reasons(costs: DataFrame, keys: Sequence[str] = ("source", "session_id"
 
 
 def cost_rollup(costs: DataFrame) -> DataFrame:
-    """Cost by provider and source, and within it by SKU and model.
+    """Cost by provider, source and currency, and within it by SKU and model.
 
-    No grand total: sources may have seen the same calls.
+    Amounts of different currencies are never added.  No grand total: sources may have seen the same calls.
     """
-    per_session = costs.where("status = 'available'").groupBy(
-        "provider", "source", "sku", "model", "session_id"
-    ).agg(F.count("*").alias("model_calls"), F.max("currency").alias("currency"), *_sums())
-    by_model = per_session.groupBy("provider", "source", "sku", "model").agg(
-        F.count("*").alias("sessions"), F.sum("model_calls").alias("model_calls"), F.max("currency").alias("currency"),
-        *_sums()).withColumn("level", F.lit("model"))
+    group, model = ["provider", "source", "currency"], ["sku", "model"]
+    per_session = costs.where("status = 'available'").groupBy(*group, *model, "session_id").agg(
+        F.count("*").alias("model_calls"), *_sums())
+    by_model = per_session.groupBy(*group, *model).agg(
+        F.count("*").alias("sessions"), F.sum("model_calls").alias("model_calls"), *_sums()).withColumn("level", F.lit("model"))
     # Sessions are distinct after the first grouping but for their models.
-    per_group = per_session.groupBy("provider", "source", "session_id").agg(
-        F.sum("model_calls").alias("model_calls"), F.max("currency").alias("currency"), *_sums())
-    by_source = per_group.groupBy("provider", "source").agg(
-        F.count("*").alias("sessions"), F.sum("model_calls").alias("model_calls"), F.max("currency").alias("currency"),
-        *_sums()).withColumn("level", F.lit("source"))
+    per_group = per_session.groupBy(*group, "session_id").agg(F.sum("model_calls").alias("model_calls"), *_sums())
+    by_source = per_group.groupBy(*group).agg(
+        F.count("*").alias("sessions"), F.sum("model_calls").alias("model_calls"), *_sums()).withColumn("level", F.lit("source"))
     return by_source.unionByName(by_model, allowMissingColumns=True)
 
 

@@ -162,7 +162,7 @@ ROLLUP = """
 
 @query("a18_cost_rollup", ("priced",), "WITH " + COST + f"""
 SELECT CASE WHEN grouping(psku) = 1 THEN 'source' ELSE 'model' END AS level, prov AS provider, source, psku AS sku, model,
-{ROLLUP} FROM costs WHERE ok GROUP BY GROUPING SETS ((prov, source), (prov, source, psku, model))""")
+{ROLLUP} FROM costs WHERE ok GROUP BY GROUPING SETS ((prov, source, cur), (prov, source, psku, model, cur))""")
 def a18(spark, sf_dir):
     return pricing.cost_rollup(_costs(spark, sf_dir)).select(
         "level", "provider", "source", "sku", "model", "sessions", "model_calls", "currency", "fresh_input",

@@ -165,7 +165,9 @@ SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, event_id AS line,
        CASE WHEN k % 7 = 6 THEN 'truncated' ELSE 'unavailable' END AS completeness
 FROM ev WHERE k % 7 IN (1, 2, 3, 4, 6)""")
 def p2(spark, sf_dir):
-    bad = F.when(F.col("k") % 7 == 1, "not json").when(F.col("k") % 7 == 2, '{"type":"event_msg"} extra').when(
+    # Trailing text: a word, a member that closes the record early, another value, another element.
+    tails = F.element_at(F.array(*map(F.lit, (' extra', ',"x":1', '],"x":[1', '{}'))), (F.col("event_id") % 4 + 1).cast("int"))
+    bad = F.when(F.col("k") % 7 == 1, "not json").when(F.col("k") % 7 == 2, F.concat(F.lit('{"type":"event_msg"}'), tails)).when(
         F.col("k") % 7 == 3, '{"type":7}').when(
         F.col("k") % 7 == 4,
         '{"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":"5"}}}}').when(
@@ -181,7 +183,8 @@ def p2(spark, sf_dir):
 
 @query("p7_output_text_and_x3_bytes", (), """
 SELECT doc_id, length(text) AS said_length, sha256(text) AS said_hash,
-       CASE WHEN doc_id % 2 = 0 THEN CAST(octet_length(encode(text)) AS BIGINT) END AS size
+       CAST(CASE WHEN doc_id % 2 = 0 THEN octet_length(encode(text))
+            ELSE octet_length(encode('[{"text":"","content":[{"text":' || to_json(text) || '}]}]')) END AS BIGINT) AS size
 FROM documents""")
 def p7(spark, sf_dir):
     plain = F.to_json(F.struct(F.col("text").alias("output")))
@@ -192,7 +195,7 @@ def p7(spark, sf_dir):
     facts = docs.withColumn("f", rawjson.member_facts("raw", F.lit("output")))
     return facts.select(
         "doc_id", F.length("f.said").cast("long").alias("said_length"), F.sha2("f.said", 256).alias("said_hash"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("f.size")).alias("size"))
+        F.col("f.size").alias("size"))
 
 
 @query("x4_structured_fingerprint", ("ev",), """

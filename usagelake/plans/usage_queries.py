@@ -279,11 +279,11 @@ def x8(spark, sf_dir):
 @query("u1_union_of_sources", ("counters", "messages"), "WITH " + BEARING + "," + TOTALS + "," + BEST + """
 SELECT source, session_id, CAST(total AS BIGINT) AS total, 'measured' AS total_kind FROM best
 UNION ALL
-SELECT source, session_id, CAST(si + sr + sw + so AS BIGINT),
-       'derived' FROM t WHERE n > 0 AND ci = n AND cr = n AND cw = n AND co = n""")
+SELECT source, session_id, CASE WHEN n > 0 AND ci = n AND cr = n AND cw = n AND co = n THEN CAST(si + sr + sw + so AS BIGINT) END,
+       CASE WHEN n > 0 AND ci = n AND cr = n AND cw = n AND co = n THEN 'derived' ELSE '' END FROM t""")
 def u1(spark, sf_dir):
     keys = ["source", "session_id"]
     counted = usage.counter_session_usage(twin(spark, sf_dir, "counters"), keys)
     summed = usage.message_session_usage(_kept(spark, sf_dir, keys), keys)
     both = counted.unionByName(summed, allowMissingColumns=True)
-    return both.where("total IS NOT NULL").select(*keys, "total", "total_kind")
+    return both.select(*keys, "total", F.coalesce("total_kind", F.lit("")).alias("total_kind"))

@@ -123,7 +123,7 @@ def _reduce(records: DataFrame) -> DataFrame:
         .alias("content_bytes"),
         F.when(F.col("_free"), free).otherwise(F.col("_structured")).alias("fingerprint"),
         F.when(F.col("_call"), F.expr(
-            "try_variant_get(try_parse_json(variant_get(v, '$.r.payload.arguments', 'string')), '$.cmd', 'string')")).alias("cmd"),
+            "try_variant_get(try_parse_json(variant_get(v, '$.a[0].payload.arguments', 'string')), '$.cmd', 'string')")).alias("cmd"),
         *[F.when(counter, get(f"{REPORTS[0]}.{field}", "bigint")).alias(name) for name, field in COUNTER_FIELDS.items()])
     lost = records.where("NOT readable").select("file", "line", "mtime_us", "oversized", "readable", "envelope", "timestamp")
     return kept.unionByName(lost, allowMissingColumns=True)

@@ -6,22 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters of one string; a record's own limit is lower.
+MAX_STRING = 1 << 30
+
+
 def parsed(raw: str = "raw") -> Column:
     """The record under ``$.r``; NULL unless the text is exactly one JSON value.
 
-    The wrapping makes trailing text a syntax error, which the parser would
-    otherwise ignore.
+    The record is wrapped as the first of two elements, the second being a number made from the record itself.
+    Text that closes the wrapper early cannot also bring that number as the second and last element, so trailing
+    text of any form is an error, which the parser would otherwise ignore.
     """
-    return F.expr(f"""try_parse_json(concat('{{"r":', {raw}, ',"z":1}}'))""")
+    seal = f"xxhash64({raw}, 7)"
+    whole = f"""from_json(concat('{{"a":[', {raw}, ',', {seal}, ']}}'), 'variant', map('mode', 'PERMISSIVE', 'maxStringLen', '{MAX_STRING}'))"""
+    sealed = f"try_variant_get(w, '$.a[1]', 'bigint') = {seal} AND try_variant_get(w, '$.a[2]', 'variant') IS NULL"
+    # Through an array of one, so that a record is parsed once.
+    return F.expr(f"element_at(transform(array({whole}), w -> CASE WHEN {sealed} THEN w END), 1)")
 
 
 def typed(path: str, v: str = "v") -> Column:
     """Type of the member: OBJECT<...>, ARRAY<...>, STRING, BIGINT, VOID, or NULL when absent."""
-    return F.expr(f"schema_of_variant(try_variant_get({v}, '$.r{path}', 'variant'))")
+    return F.expr(f"schema_of_variant(try_variant_get({v}, '$.a[0]{path}', 'variant'))")
 
 
 def get(path: str, to: str = "string", v: str = "v") -> Column:
-    return F.expr(f"try_variant_get({v}, '$.r{path}', '{to}')")
+    return F.expr(f"try_variant_get({v}, '$.a[0]{path}', '{to}')")
 
 
 def text(path: str, v: str = "v") -> Column:
