@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A text is cut, without loss, after every line end and after every sentence end; these paragraphs are the leaves.
+A text is cut, without loss, after every line end and every mark that ends sentences; these paragraphs are the leaves.
 A section is a run of paragraphs that ends where a paragraph's own hash says so, about every eighth time, so an
 edit moves no section border beyond its neighbourhood.  A section's hash covers its paragraphs' hashes, the root
 covers the sections' hashes.  Equal roots mean equal texts; below unequal roots the unequal sections, and in them
@@ -8,7 +8,7 @@ the unequal paragraphs, locate the edits.
 
 The fingerprint is one string, ``root|sections|paragraphs``: the root's SHA-256 in hex, eight hex digits for each
 section, and ``hash.length`` for each paragraph.  Two fingerprints give a likeness without their texts: twice the
-characters in shared paragraphs, counted with repeats, over all characters of both.
+characters in shared paragraphs over all characters of both, a paragraph that a text repeats counting once.
 
 Only built-in functions are used.  :func:`edited_pairs` brings each document together with its successor in
 doc_id order: documents are dealt to blocks of neighbouring ids at approximate quantiles, the first documents of a
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from usagelake.llm.common import table
 
-#: After a line end; after the blank that follows a sentence's end and up to three marks.
-PARAGRAPH_END = r"(?<=\n)|(?<=[.!?][^\p{L}\p{N}\s]{0,3}\s)"
+#: A paragraph: up to a line end or a mark that ends sentences, with the few blanks and marks behind it.
+PARAGRAPH = r"[^.!?\n]*+[.!?\n][^\p{L}\p{N}\n]{0,4}\n?|[^.!?\n]++"
+#: Hex digits of a paragraph's hash in the tree.
+DIGITS = 24
 #: A section ends after a paragraph whose hash is 0 modulo this.
 SECTION = 8
 #: Documents of a block of neighbours.
@@ -41,68 +43,51 @@ def _hash(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """array<struct<hash, length>> of a text's paragraphs in order; none for an empty text."""
-    parts = F.filter(F.split(text, PARAGRAPH_END), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(_hash(p).alias("hash"), F.length(p).alias("length")))
+    """``hash.length`` of a text's paragraphs in order; none for an empty text."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)),
+        lambda p: F.concat(F.substring(_hash(p), 1, DIGITS), F.lit("."), F.length(p)),
+    )
 
 
 def sections(leaves: Column) -> Column:
     """array<string> of the sections' hashes.
 
-    The paragraphs' hashes are written one after the other, a border after each that ends a section.
+    The paragraphs are written one after the other, a border after each that ends a section.
     """
-    ends = lambda x: F.conv(F.substring(x["hash"], 1, 4), 16, 10).cast("int") % SECTION == 0
-    marked = F.transform(leaves, lambda x: F.concat(x["hash"], F.when(ends(x), F.lit("/")).otherwise(F.lit(""))))
-    runs = F.filter(F.split(F.array_join(marked, ""), "/"), lambda s: s != "")
+    # So many of the sixteen digits that one of SECTION hashes begins with one of them.
+    last = F.lit("0123456789abcdef"[: 16 // SECTION])
+    marked = F.transform(leaves, lambda x: F.when(F.contains(last, F.substring(x, 1, 1)), F.concat(x, F.lit("/"))).otherwise(x))
+    runs = F.filter(F.split(F.array_join(marked, ","), "/,?"), lambda s: s != "")
     return F.transform(runs, _hash)
 
 
-def fingerprint(leaves: Column, size: Column) -> Column:
-    """The fingerprint of a text from its paragraphs; ``size`` is the text's length."""
-    nodes = sections(leaves)
+def fingerprint(leaves: Column, nodes: Column, size: Column) -> Column:
+    """The fingerprint of a text from its paragraphs, sections and length."""
     root = _hash(F.concat(size.cast("string"), F.lit("|"), F.array_join(nodes, "")))
     short = F.array_join(F.transform(nodes, lambda n: F.substring(n, 1, 8)), "")
-    below = F.transform(leaves, lambda x: F.concat(F.substring(x["hash"], 1, 8), F.lit("."), x["length"]))
+    below = F.transform(leaves, lambda x: F.concat(F.substring(x, 1, 8), F.substring(x, DIGITS + 1, 20)))
     return F.concat_ws("|", root, short, F.array_join(below, ","))
 
 
 def parsed(print_: Column) -> Column:
-    """The paragraphs of a fingerprint."""
-    leaf = lambda p: F.struct(
-        F.substring_index(p, ".", 1).alias("hash"), F.substring_index(p, ".", -1).cast("int").alias("length")
-    )
-    return F.transform(F.filter(F.split(F.substring_index(print_, "|", -1), ","), lambda p: p != ""), leaf)
-
-
-def _counted(leaves: Column) -> Column:
-    """Each paragraph with its number among its equals, so that sets count repeats."""
-    step = lambda s, x: F.struct(
-        x["hash"].alias("last"), F.when(s["last"] == x["hash"], s["n"] + 1).otherwise(F.lit(0)).alias("n"),
-        F.concat(s["out"], F.array(F.struct(
-            x["hash"].alias("hash"), F.when(s["last"] == x["hash"], s["n"] + 1).otherwise(F.lit(0)).alias("n"),
-            x["length"].alias("length"),
-        ))).alias("out"),
-    )
-    start = F.struct(
-        F.lit("").alias("last"), F.lit(0).alias("n"),
-        F.array().cast("array<struct<hash:string,n:int,length:int>>").alias("out"),
-    )
-    return F.aggregate(F.array_sort(leaves), start, step, lambda s: s["out"])
+    """The paragraphs of a fingerprint, with hashes of eight digits."""
+    return F.filter(F.split(F.substring_index(print_, "|", -1), ","), lambda p: p != "")
 
 
-def _length(leaves: Column) -> Column:
-    return F.aggregate(leaves, F.lit(0).cast("long"), lambda s, x: s + x["length"])
+def length(leaves: Column) -> Column:
+    """Characters of distinct paragraphs."""
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda s, x: s + F.substring_index(x, ".", -1).cast("long"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1: the share of characters that two lists of paragraphs have in common; 1 for two empty ones."""
-    shared = _length(F.array_intersect(_counted(a), _counted(b)))
-    both = _length(a) + _length(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * shared / both)
+    """From 0 to 1: the share of characters that two lists of distinct paragraphs have in common; 1 for two empty ones."""
+    both = length(a) + length(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * length(F.array_intersect(a, b)) / both)
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each document with its successor by doc_id; the last one's is the first."""
+    """(doc_id, text, leaves, next_text, next_leaves): each document with its successor; the last one's is the first."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("double").alias("_id"))
     count = docs.count()
@@ -132,22 +117,28 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", F.col("_before").alias("_block"), F.lit(1).alias("_guest"))
     )
     order = Window.partitionBy("_block").orderBy("_guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    together = home.unionByName(guests).withColumn("next_text", F.lead("text").over(order))
-    return together.where("_guest = 0").select("doc_id", "text", "next_text")
+    near = home.unionByName(guests).repartition("_block").withColumn("leaves", paragraphs(F.col("text")))
+    after = F.lead(F.struct("text", "leaves")).over(order)
+    together = near.withColumn("_next", after).where("_guest = 0")
+    return together.select("doc_id", "text", "leaves", F.col("_next.text").alias("next_text"), F.col("_next.leaves").alias("next_leaves"))
 
 
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = edited_pairs(table(spark, sf_dir, "documents"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
-    shaped = pairs.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
-        paragraphs(F.col("text")).alias("a"), paragraphs(edited).alias("b"), paragraphs(F.col("next_text")).alias("c"),
-        F.length(edited).alias("m"),
+    # Step by step, so that nothing is worked out twice.
+    pairs = edited_pairs(table(spark, sf_dir, "documents")).withColumn("edited", edited)
+    leaves = pairs.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.length("edited").alias("m"), _hash(F.col("edited")).alias("edited_sha256"),
+        F.col("leaves").alias("a"), paragraphs(F.col("edited")).alias("b"), F.col("next_leaves").alias("c"),
     )
-    return shaped.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a"), F.col("n_chars")).alias("fingerprint"),
-        fingerprint(F.col("b"), F.col("m")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+    nodes = leaves.withColumns({
+        "na": sections(F.col("a")), "nb": sections(F.col("b")),
+        "da": F.array_distinct("a"), "db": F.array_distinct("b"), "dc": F.array_distinct("c"),
+    })
+    return nodes.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a"), F.col("na"), F.col("n_chars")).alias("fingerprint"),
+        fingerprint(F.col("b"), F.col("nb"), F.col("m")).alias("edited_fingerprint"),
+        likeness(F.col("da"), F.col("db")).alias("near_edited"), likeness(F.col("da"), F.col("dc")).alias("near_next"),
     )
