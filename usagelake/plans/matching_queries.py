@@ -177,6 +177,82 @@ def f4_counts(spark, sf_dir):
     return reconcile.window_counts(*_windows(spark, sf_dir))
 
 
+# Sessions of five sources, one each twenty minutes: the calls near a border are in two windows.  Turns without a
+# time form a session without one; s2 is not supported, s3 has no capture, s4 one that cannot be read.
+_FROM = "o AS (SELECT *, lower(trim(model)) AS m FROM observations),\ngw AS (SELECT * FROM o WHERE channel = 'gateway'), tr AS (SELECT * FROM o WHERE channel = 'session_transcript'),"
+SESSIONS = MATCH.replace(_FROM, """
+o AS (SELECT * EXCLUDE (source), lower(trim(model)) AS m, 's' || CAST(CAST(substr(id, 2) AS BIGINT) // 2 % 5 AS VARCHAR) AS source,
+        coalesce(CAST(started_us // 1200000000 AS VARCHAR), 'none') AS session_id FROM observations),
+w AS (SELECT source, session_id, source || '/' || session_id AS grp, min(started_us) - 120000000 AS lo, max(started_us) + 120000000 AS hi,
+        CASE WHEN source = 's2' THEN 'reconciliation is not supported for source "s2"'
+             WHEN count(started_us) = 0 THEN 'session has no reliable timestamp for gateway reconciliation'
+             WHEN source = 's3' THEN 'gateway capture not available'
+             WHEN source = 's4' THEN 'gateway capture could not be read: profile p: broken' END AS reason
+      FROM o WHERE channel = 'session_transcript' GROUP BY source, session_id),
+gw AS (SELECT o.* REPLACE (w.grp || '#' || o.id AS id), w.grp FROM o JOIN w ON o.source = w.source AND o.started_us BETWEEN w.lo AND w.hi
+       WHERE channel = 'gateway' AND reason IS NULL),
+tr AS (SELECT o.* REPLACE (w.grp || '#' || o.id AS id), w.grp FROM o JOIN w USING (source, session_id)
+       WHERE channel = 'session_transcript' AND reason IS NULL),""").replace(
+    "FROM gw g JOIN tr t ON ", "FROM gw g JOIN tr t ON g.grp = t.grp AND ")
+INSPECTED = SESSIONS + COMPARED[len(MATCH):]
+
+
+def _inspected(spark, sf_dir):
+    seen = twin(spark, sf_dir, "observations").withColumn(
+        "source", F.expr("concat('s', CAST(substr(id, 2) AS BIGINT) div 2 % 5)"))
+    turns = matching.transcript_turns(seen).withColumn(
+        "session_id", F.coalesce(F.expr("CAST(started_us div 1200000000 AS STRING)"), F.lit("none")))
+    stamps = turns.select("source", "session_id", F.col("started_us").alias("ts_us"))
+    none = F.lit(None).cast("long")
+    sessions = turns.select("source", "session_id").distinct().withColumns({"started_us": none, "updated_us": none})
+    captured = spark.createDataFrame(
+        [("s0", None), ("s1", None), ("s2", None), ("s4", "profile p: broken")], "source string, unreadable string")
+    return reconcile.inspect_sessions(
+        reconcile.session_windows(sessions, stamps), turns, matching.gateway_requests(seen), captured,
+        supported=("s0", "s1", "s3", "s4"))
+
+
+@query("inspect_reconciliation", ("observations",), "WITH " + INSPECTED + """,
+c AS (SELECT grp, count(*) AS n FROM gw GROUP BY grp), d AS (SELECT grp, count(*) AS n FROM tr GROUP BY grp),
+e AS (SELECT split_part(gateway_id, '#', 1) AS grp, count(*) AS n, count(*) FILTER (status = 'equal') AS eq,
+        count(*) FILTER (status = 'different') AS df, count(*) FILTER (status = 'unavailable') AS na FROM paired GROUP BY 1),
+f AS (SELECT split_part(coalesce(gateway_id, transcript_id), '#', 1) AS grp, count(*) FILTER (status = 'ambiguous' AND side = 'gateway') AS a,
+        count(*) FILTER (status = 'unmatched' AND side = 'gateway') AS u, count(*) FILTER (side = 'transcript') AS t FROM matches GROUP BY 1)
+SELECT source, session_id, reason, """ + ", ".join(
+    f"CASE WHEN reason IS NULL THEN coalesce({v}, 0) END AS {n}" for n, v in (
+        ("gateway_requests", "c.n"), ("transcript_turns", "d.n"), ("matched", "e.n"), ("equal", "e.eq"), ("different", "e.df"),
+        ("unavailable", "e.na"), ("ambiguous_gateways", "f.a"), ("unmatched_gateways", "f.u"), ("unmatched_transcripts", "f.t"))) + """
+FROM w LEFT JOIN c USING (grp) LEFT JOIN d USING (grp) LEFT JOIN e USING (grp) LEFT JOIN f USING (grp)""")
+def inspect_reconciliation(spark, sf_dir):
+    return _inspected(spark, sf_dir)[0]
+
+
+@query("inspect_turns", ("observations",), "WITH " + INSPECTED + """
+SELECT split_part(tr.id, '#', 2) AS id, tr.source, tr.session_id,
+  CASE WHEN p.status IS NOT NULL THEN 'matched' WHEN m.match_id IS NOT NULL THEN 'unmatched' ELSE 'ambiguous' END AS status,
+  p.status AS result FROM tr LEFT JOIN paired p ON p.transcript_id = tr.id
+LEFT JOIN (SELECT * FROM matches WHERE side = 'transcript') m ON m.transcript_id = tr.id""")
+def inspect_turns(spark, sf_dir):
+    return _inspected(spark, sf_dir)[1]
+
+
+@query("inspect_matches", ("observations",), "WITH " + SESSIONS + """
+SELECT split_part(coalesce(gateway_id, transcript_id), '/', 1) AS source,
+  split_part(split_part(coalesce(gateway_id, transcript_id), '#', 1), '/', 2) AS session_id,
+  split_part(gateway_id, '#', 2) AS gateway_id, split_part(transcript_id, '#', 2) AS transcript_id, status, confidence, reasons, side,
+  split_part(first_candidate, '#', 2) AS first_candidate, split_part(last_candidate, '#', 2) AS last_candidate FROM matches""")
+def inspect_matches(spark, sf_dir):
+    return _inspected(spark, sf_dir)[2]
+
+
+@query("f4_in_window", ("ev",), "WITH " + WINDOW + """
+SELECT w.source, w.session_id, g.id, g.started_us FROM w JOIN g ON g.source = w.source AND g.started_us BETWEEN w.lower_us AND w.upper_us
+WHERE w.session_id LIKE '1-%' OR w.session_id LIKE '7-%'""")
+def f4_in_window(spark, sf_dir):
+    windows, seen = _windows(spark, sf_dir)
+    return reconcile.in_session_window(windows.where("session_id LIKE '1-%' OR session_id LIKE '7-%'"), seen)
+
+
 # ---------------------------------------------------------------- projection
 
 @query("p17_counter_observations", ("counters",), usage_queries.DELTAS + """
