@@ -99,9 +99,10 @@ def test_compact():
 def test_start_shapes_of_captures(spark):
     from usagelake.sources.exchanges import SCHEMA
 
-    def capture(i, protocol, metadata):
+    def capture(i, protocol, metadata, method="POST", endpoint=None):
+        endpoint = endpoint or ("/v1/messages" if protocol == MESSAGES else "/v1/responses")
         return json.dumps({"id": f"gw-{i}", "profile": "p", "protocol": protocol, "startedAt": f"2026-01-01T00:00:0{i}Z",
-                           "request": {"method": "POST", "endpoint": "/v1/messages", "metadata": metadata}, "response": {}})
+                           "request": {"method": method, "endpoint": endpoint, "metadata": metadata}, "response": {}})
 
     def messages(*blocks):
         return {"anthropicMessages": {"messages": [{"index": 0, "role": "user", "blocks": list(blocks)}]}}
@@ -116,8 +117,33 @@ def test_start_shapes_of_captures(spark):
         capture(3, RESPONSES, items({"index": 1, "type": "message"})),
         capture(4, RESPONSES, items({"index": 1, "type": "message", "itemId": "i"})),
         capture(5, RESPONSES, {}),
+        # No model calls: a read, a token count, a listing, another protocol's endpoint.
+        capture(6, MESSAGES, {}, "GET"), capture(7, MESSAGES, {}, "POST", "/v1/messages/count_tokens"),
+        capture(8, RESPONSES, {}, "POST", "/v1/models"), capture(9, RESPONSES, {}, "", "/v1/messages"),
     ]
     frame = spark.read.schema(SCHEMA).json(spark.createDataFrame([(x,) for x in lines], "value string").rdd.map(lambda r: r[0]))
     calls = {r.id: r for r in chains.calls_from_exchanges(frame).collect()}
     assert [calls[f"gw-{i}"].start_shape for i in range(6)] == [True, False, True, False, True, False]
-    assert calls["gw-1"].tool_asks == ["t"]
+    assert calls["gw-1"].tool_asks == ["t"] and len(calls) == 6
+
+
+def test_records_are_sealed(spark):
+    from pyspark.sql import functions as F
+
+    from usagelake.sources.records import get, parsed
+
+    good = ['{"a":1}', '[1,2]', '7', '"x"', ' {"type":"t"} ', '{"z":[{"r":1}]}']
+    bad = ['{"a":1},"x":1', '{"a":1}],"a":[1', '1,2', '{"a":1} extra', '', '{', '{"a":1,"a":2}', 'nul', '{"a":1}]}']
+    rows = spark.createDataFrame([(r, r in good) for r in good + bad], "raw string, ok boolean").withColumn("v", parsed())
+    assert all(r.read == r.ok for r in rows.select("ok", F.col("v").isNotNull().alias("read")).collect())
+    assert rows.where("raw = '{\"a\":1}'").select(get(".a", "bigint")).head()[0] == 1
+
+
+def test_a_very_long_string_is_read(spark):
+    from pyspark.sql import functions as F
+
+    from usagelake.sources.records import get, parsed
+
+    rows = spark.range(1).select(F.concat(F.lit('{"t":"'), F.repeat(F.lit("x"), 40_000_000), F.lit('","n":5}')).alias("raw"))
+    got = rows.withColumn("v", parsed()).select(get(".n", "bigint").alias("n"), F.length(get(".t")).alias("size")).head()
+    assert (got.n, got.size) == (5, 40_000_000)

@@ -74,6 +74,46 @@ def test_fold_stream(spark, tmp_path):
     assert latest["a"].final and not latest["b"].final
 
 
+def test_fold_stream_of_shuffled_events(spark, tmp_path):
+    import random
+
+    events = [("x", k, MESSAGES, json.dumps({"type": "message_delta", "usage": {"output_tokens": k}})) for k in range(25_000)]
+    random.Random(1).shuffle(events)
+    spark.createDataFrame(events, SCHEMA).repartition(4).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    query = (frames.fold_stream(stream).writeStream.format("memory").queryName("shuffled").outputMode("update")
+             .option("checkpointLocation", str(tmp_path / "ck")).start())
+    got = []
+    for _ in range(120):
+        got = spark.sql("select * from shuffled").collect()
+        if got:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert got[-1].output_tokens == 24_999
+
+
+def test_late_events_do_not_reopen(spark, tmp_path):
+    source = tmp_path / "in"
+    first = [("x", 1, MESSAGES, json.dumps({"type": "message_delta", "usage": {"output_tokens": 1}}))]
+    late = [("x", 2, MESSAGES, json.dumps({"type": "message_delta", "usage": {"output_tokens": 2}}))]
+    spark.createDataFrame(first, SCHEMA).coalesce(1).write.json(str(source / "1"))
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).json(str(source))
+    query = (frames.fold_stream(stream, 2_000).writeStream.format("memory").queryName("late").outputMode("update")
+             .option("checkpointLocation", str(tmp_path / "ck")).start())
+    got = []
+    for _ in range(120):
+        got = spark.sql("select * from late").collect()
+        if got and got[-1].final:
+            break
+        time.sleep(0.5)
+    assert got[-1].final and got[-1].output_tokens == 1
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.json(str(source / "2"))
+    time.sleep(6)
+    query.stop()
+    assert all(r.output_tokens == 1 for r in spark.sql("select * from late").collect())
+
+
 def capture(i, profile):
     return json.dumps({"id": f"gw-{i}", "profile": profile, "protocol": MESSAGES, "startedAt": f"2026-01-01T00:00:0{i}Z",
                        "kind": "model", "outcome": "upstream_ok", "request": {"method": "POST", "endpoint": "/v1/messages"},
@@ -97,6 +137,11 @@ def test_ingest_append_and_purge(spark, tmp_path):
     exchanges.append_captures(exchanges.read_captures(spark, str(source)).where("profile = 'p2'"), out)
     assert exchanges.read_captures(spark, out).count() == 5
     assert exchanges.purge_profile(spark, out, "p2") and not exchanges.purge_profile(spark, out, "p2")
+    journal = tmp_path / "journal"
+    journal.mkdir()
+    (journal / "p3.jsonl").write_text("{}")
+    assert exchanges.purge_profile(spark, out, "p3", str(journal)) and not (journal / "p3.jsonl").exists()
+    assert not exchanges.purge_profile(spark, out, "p3", str(journal))
     left = exchanges.in_start_order(exchanges.read_captures(spark, out), newest_first=True)
     assert [r.id for r in left.collect()] == ["gw-2", "gw-1", "gw-0"]
     flat = exchanges.flatten(left).collect()

@@ -89,7 +89,7 @@ def calls_from_exchanges(exchanges: DataFrame) -> DataFrame:
     def ids(name: str) -> Column:
         return F.array_distinct(F.filter(F.coalesce(name, empty), lambda i: i != ""))
 
-    return exchanges.where(is_model_call()).select(
+    return exchanges.where(is_model_call("request.method", "request.endpoint")).select(
         "id", "profile", "protocol", F.unix_micros("startedAt").alias("started_us"),
         F.coalesce("model", F.lit("")).alias("model"), F.coalesce(start_shape(), F.lit(False)).alias("start_shape"),
         F.when(~messages, F.col("response.openaiResponses.responseId")).alias("response_id"),

@@ -48,11 +48,11 @@ FIELDS = {
 
 # ------------------------------------------------------------ classification
 
-def _listed(eligible: bool) -> Column:
+def _listed(eligible: bool, path: str = "endpoint") -> Column:
     hit = F.lit(False)
     for (protocol, endpoint), carries in ENDPOINTS.items():
         if carries == eligible:
-            hit = hit | ((F.col("protocol") == protocol) & (F.col("endpoint") == endpoint))
+            hit = hit | ((F.col("protocol") == protocol) & (F.col(path) == endpoint))
     return hit
 
 
@@ -71,9 +71,9 @@ def request_outcome() -> Column:
         (F.col("status") >= 200) & (F.col("status") < 400), "upstream_ok").otherwise("upstream_http_error")
 
 
-def is_model_call() -> Column:
+def is_model_call(method: str = "method", endpoint: str = "endpoint") -> Column:
     """Calls that can be part of a chain; a method that was not recorded passes."""
-    return (F.coalesce("method", F.lit("")).isin("", "POST")) & _listed(True)
+    return F.coalesce((F.coalesce(method, F.lit("")).isin("", "POST")) & _listed(True, endpoint), F.lit(False))
 
 
 # -------------------------------------------------------- usage normalisation
@@ -316,6 +316,10 @@ def read_failures(lines: DataFrame, journal: str = "journal", order: str = "line
 
 # ------------------------------------------------------------------- look-up
 
+#: Ids asked for that are still sent to every task.
+BROADCAST_WANTED = 10_000
+
+
 def find_by_id(rows: DataFrame, wanted: DataFrame, column: str = "id", shortest: int = 1) -> DataFrame:
     """Exact id, else the only id with that prefix, else ambiguous or not found.
 
@@ -328,10 +332,12 @@ def find_by_id(rows: DataFrame, wanted: DataFrame, column: str = "id", shortest:
     # Distinct lengths of the ids asked for: at most the longest id.
     lengths = [r[0] for r in asked.select(F.length("wanted").alias("n")).distinct().collect()]
     sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
-    prefixes = ids.withColumn("_size", F.explode(sizes)).where(F.length("found") >= F.col("_size"))
-    # One row per distinct prefix, so a common prefix is counted before it moves.
-    counts = prefixes.groupBy(F.substr("found", F.lit(1), F.col("_size")).alias("wanted")).agg(
-        F.count("*").alias("n"), F.min("found").alias("found"))
+    prefixes = ids.withColumn("_size", F.explode(sizes)).where(F.length("found") >= F.col("_size")).select(
+        F.substr("found", F.lit(1), F.col("_size")).alias("wanted"), "found")
+    # Only prefixes asked for go on; a short list, its size checked, goes to every task.
+    few = asked.limit(BROADCAST_WANTED + 1).count() <= BROADCAST_WANTED
+    met = prefixes.join(F.broadcast(asked) if few else asked, "wanted", "left_semi")
+    counts = met.groupBy("wanted").agg(F.count("*").alias("n"), F.min("found").alias("found"))
     joined = asked.join(exact.withColumnRenamed("found", "_exact"), "wanted", "left").join(counts, "wanted", "left")
     status = (
         F.when(F.col("_exact").isNotNull() | (F.col("n") == 1), "found")

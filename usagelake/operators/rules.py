@@ -24,16 +24,30 @@ MIN_OCCURRENCES = 2
 OVERSIZED = ("TOOL001", "oversized-tool-output")
 REPEATED = ("TOOL002", "repeated-tool-call")
 
+# What is advised, by rule.  The titles and descriptions below are fixed values as well.
+RECOMMENDATIONS = {
+    "TOOL001": "Limit the command scope, filter the result, or read the output in smaller relevant sections.",
+    "TOOL002": "Reuse the earlier result when it is still valid, or narrow later calls to request only new information.",
+}
+
 
 def _finding(rule: tuple[str, str]) -> list[Column]:
-    return [F.lit(rule[0]).alias("rule_id"), F.lit(rule[1]).alias("rule_name")]
+    return [F.lit(rule[0]).alias("rule_id"), F.lit(rule[1]).alias("rule_name"),
+            F.lit(RECOMMENDATIONS[rule[0]]).alias("recommendation")]
+
+
+def _turn_id(components: DataFrame) -> DataFrame:
+    """Components with the id of their turn; '' where the source has none."""
+    if "turn_id" in components.columns:
+        return components.withColumn("turn_id", F.coalesce("turn_id", F.lit("")))
+    return components.withColumn("turn_id", F.lit(""))
 
 
 def oversized_output(components: DataFrame, keys: Sequence[str] = ("session_id",),
                      max_bytes: int = MAX_OUTPUT_BYTES) -> DataFrame:
     """Complete tool results of turns that are larger than the threshold."""
     limit = max_bytes if max_bytes > 0 else MAX_OUTPUT_BYTES
-    found = components.where(
+    found = _turn_id(components).where(
         (F.col("kind") == "tool_result") & (F.col("completeness") == "complete")
         & F.col("turn_sequence").isNotNull() & (F.col("content_bytes") > limit)
     )
@@ -50,7 +64,7 @@ def oversized_output(components: DataFrame, keys: Sequence[str] = ("session_id",
         .alias("description"),
         F.col("tokens").alias("estimated_tokens"), F.col("tokens_kind").alias("estimated_tokens_kind"),
         F.lit(1).cast("long").alias("occurrences"),
-        F.col("turn_sequence"), F.col("ord"), F.col("tool_call_id"), F.col("content_bytes"),
+        "turn_id", F.col("turn_sequence"), F.col("ord"), F.col("tool_call_id"), F.col("content_bytes"),
     )
 
 
@@ -61,7 +75,7 @@ def _occurrences(components: DataFrame, keys: Sequence[str]) -> DataFrame:
         & F.col("turn_sequence").isNotNull()
     for name in ("tool_call_id", "tool_name", "tool_call_fingerprint", "content_hash"):
         filled = filled & (F.coalesce(F.col(name), F.lit("")) != "")
-    return first_per_key(components.where(filled), [*group, "tool_call_id"], ["turn_sequence", "ord"])
+    return first_per_key(_turn_id(components).where(filled), [*group, "tool_call_id"], ["turn_sequence", "ord"])
 
 
 def repeated_calls(components: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -76,7 +90,7 @@ def repeated_calls(components: DataFrame, keys: Sequence[str] = ("session_id",))
     summed = _occurrences(components, keys).groupBy(*group).agg(
         F.count("*").alias("occurrences"),
         F.sum(tokens).alias("_sum"), F.count(tokens).alias("_known"),
-        F.min_by(F.struct(tokens.alias("tokens"), "turn_sequence", "ord", "tool_call_id"), place).alias("_first"),
+        F.min_by(F.struct(tokens.alias("tokens"), "turn_id", "turn_sequence", "ord", "tool_call_id"), place).alias("_first"),
     ).where(F.col("occurrences") >= MIN_OCCURRENCES)
     baseline = F.col("_first.tokens")
     known = F.col("_known") - F.when(baseline.isNotNull(), 1).otherwise(0)
@@ -108,7 +122,7 @@ def repeated_calls(components: DataFrame, keys: Sequence[str] = ("session_id",))
         F.concat(F.col("tool_name"), F.lit(" repeated the same tool call")).alias("title"),
         described.alias("description"),
         later.alias("estimated_tokens"), F.when(known > 0, "estimated").otherwise("unknown").alias("estimated_tokens_kind"),
-        "occurrences", F.col("_first.turn_sequence").alias("turn_sequence"), F.col("_first.ord").alias("ord"),
+        "occurrences", F.col("_first.turn_id").alias("turn_id"), F.col("_first.turn_sequence").alias("turn_sequence"), F.col("_first.ord").alias("ord"),
         F.col("_first.tool_call_id").alias("tool_call_id"), F.lit(None).cast("long").alias("content_bytes"),
     )
 
@@ -120,7 +134,7 @@ def repeated_call_evidence(components: DataFrame, keys: Sequence[str] = ("sessio
     groups = seen.groupBy(*group).agg(F.count("*").alias("_n"), F.min("ord").alias("finding_ord")).where(
         F.col("_n") >= MIN_OCCURRENCES)
     return salted_lookup(seen, groups, group, ["ord"], "inner").select(
-        *keys, F.lit(REPEATED[0]).alias("rule_id"), "tool_name", "finding_ord", "turn_sequence", "ord", "tool_call_id",
+        *keys, F.lit(REPEATED[0]).alias("rule_id"), "tool_name", "finding_ord", "turn_id", "turn_sequence", "ord", "tool_call_id",
         "content_bytes", "tokens", "tokens_kind", "completeness",
     )
 

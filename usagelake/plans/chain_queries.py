@@ -288,7 +288,7 @@ def _captured(spark, sf_dir):
     block = "array(named_struct('role', 'user', 'blocks', array(named_struct('type', 'text', 'toolUseId', '', 'toolResultToolUseId', ''))))"
     return calls.withColumns({
         "startedAt": F.timestamp_micros("started_us"),
-        "request": F.expr(f"""named_struct('components', CAST(NULL AS array<struct<kind: string, contentHash: string>>),
+        "request": F.expr(f"""named_struct('method', method, 'endpoint', endpoint, 'components', CAST(NULL AS array<struct<kind: string, contentHash: string>>),
             'metadata', named_struct(
               'openaiResponses', named_struct('items', {message}, 'previousResponseId', CAST(NULL AS string), 'functionCallOutputIds', CAST(NULL AS array<string>)),
               'anthropicMessages', named_struct('messages', {block})))"""),

@@ -231,20 +231,26 @@ def f5(spark, sf_dir):
 
 # --------------------------------------------------------------------- rules
 
+def _with_turns(components):
+    """Components whose turns are named after their session."""
+    return components.withColumn("turn_id", F.concat_ws("/", "session_id", "turn_sequence"))
+
+
 @query("r1_oversized_output", ("context",), """
 SELECT session_id, 'TOOL001' AS rule_id, CASE WHEN content_bytes >= 262144 THEN 'high' ELSE 'medium' END AS severity,
        CASE WHEN tool_name <> '' THEN tool_name ELSE 'Tool' END || ' returned an oversized output' AS title,
        'The transcript contains a complete tool output of ' || CAST(content_bytes AS VARCHAR) ||
        ' bytes. Its token contribution is ' || CASE WHEN tokens_kind = 'estimated'
        THEN 'estimated, not provider-reported.' ELSE 'unavailable.' END AS description,
-       tokens AS estimated_tokens, turn_sequence, ord, content_bytes
+       tokens AS estimated_tokens, session_id || '/' || CAST(turn_sequence AS VARCHAR) AS turn_id, turn_sequence, ord, content_bytes,
+       'Limit the command scope, filter the result, or read the output in smaller relevant sections.' AS recommendation
 FROM context WHERE kind = 'tool_result' AND completeness = 'complete' AND turn_sequence IS NOT NULL
   AND content_bytes > 4096""")
 def r1(spark, sf_dir):
     # The shared texts stay below the default threshold, so a lower one is asked for.
-    return rules.oversized_output(twin(spark, sf_dir, "context"), max_bytes=4096).select(
-        "session_id", "rule_id", "severity", "title", "description", "estimated_tokens", "turn_sequence", "ord",
-        "content_bytes")
+    return rules.oversized_output(_with_turns(twin(spark, sf_dir, "context")), max_bytes=4096).select(
+        "session_id", "rule_id", "severity", "title", "description", "estimated_tokens", "turn_id", "turn_sequence", "ord",
+        "content_bytes", "recommendation")
 
 
 REPEATS = """
@@ -263,7 +269,9 @@ g AS (SELECT session_id, tool_name, tool_call_fingerprint, content_hash, count(*
 
 @query("r2_repeated_calls", ("tool_results",), "WITH " + REPEATS + """
 SELECT session_id, 'TOOL002' AS rule_id, occurrences, est AS estimated_tokens,
-       CASE WHEN known > 0 THEN 'estimated' ELSE 'unknown' END AS estimated_tokens_kind, turn_sequence, ord,
+       CASE WHEN known > 0 THEN 'estimated' ELSE 'unknown' END AS estimated_tokens_kind,
+       session_id || '/' || CAST(turn_sequence AS VARCHAR) AS turn_id, turn_sequence, ord,
+       'Reuse the earlier result when it is still valid, or narrow later calls to request only new information.' AS recommendation,
        tool_name || ' appears to have been called ' || CAST(occurrences AS VARCHAR) ||
        ' times with the same arguments, and every complete result had the same content. The first occurrence is the baseline and the '
        || CAST(occurrences - 1 AS VARCHAR) || ' later ones are repeated calls. ' ||
@@ -276,9 +284,9 @@ SELECT session_id, 'TOOL002' AS rule_id, occurrences, est AS estimated_tokens,
                  ELSE CAST(occurrences - 1 - known AS VARCHAR) || ' results have' END || ' no token estimate.' END AS description
 FROM g""")
 def r2(spark, sf_dir):
-    return rules.repeated_calls(twin(spark, sf_dir, "tool_results")).select(
-        "session_id", "rule_id", "occurrences", "estimated_tokens", "estimated_tokens_kind", "turn_sequence", "ord",
-        "description")
+    return rules.repeated_calls(_with_turns(twin(spark, sf_dir, "tool_results"))).select(
+        "session_id", "rule_id", "occurrences", "estimated_tokens", "estimated_tokens_kind", "turn_id", "turn_sequence", "ord",
+        "recommendation", "description")
 
 
 @query("a24_repeated_call_evidence", ("tool_results",), "WITH " + REPEATS + """

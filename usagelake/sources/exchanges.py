@@ -93,10 +93,21 @@ def append_captures(captures: DataFrame, path: str) -> None:
     captures.withColumn("_profile", F.col("profile")).write.mode("append").partitionBy("_profile").json(path)
 
 
-def purge_profile(spark: SparkSession, path: str, profile: str) -> bool:
-    """Remove one profile's captures; doing it again changes nothing."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_profile={check_profile(profile)}")
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def purge_profile(spark: SparkSession, path: str, profile: str, journal: str | None = None) -> bool:
+    """Remove one profile's captures and, below ``journal``, its journal of failures.
+
+    Journals are laid out like captures, or are files named after the profile.  Doing it again changes nothing.
+    True if anything was removed.
+    """
+    name = check_profile(profile)
+    places = [f"{path}/_profile={name}"]
+    if journal:
+        places += [f"{journal}/_profile={name}", f"{journal}/{name}.jsonl"]
+    gone = False
+    for place in places:
+        target = spark._jvm.org.apache.hadoop.fs.Path(place)
+        gone = target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True) or gone
+    return gone
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -119,42 +119,65 @@ def fold_frames(frames: DataFrame) -> DataFrame:
     return _result(folded)
 
 
-_STATE = "values array<bigint>, response_id string, terminal boolean, stopped boolean"
+_STATE = (
+    "values array<bigint>, places array<bigint>, response_id string, named_at bigint, terminal boolean, stop bigint, "
+    "final boolean")
 _OUT = ", ".join([
     "exchange_id string", "protocol string", *[f"{f} bigint" for f in FIELDS], "response_id string", "terminal boolean",
     "final boolean"])
+#: How many timeouts a finished exchange is remembered, so that late events do not open it again.
+REMEMBERED = 6
+_NEVER = 2**63 - 1
 
 
 def fold_stream(frames: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
     """The same fold over a stream of events; one updated row per exchange and trigger.
 
-    Events of an exchange must arrive in order (an append-only capture does).  A
-    row is final when the response ended or nothing came for ``timeout_ms``.
+    The place of an event is its ``seq``, not when it arrives: the state keeps where each value was said, so any
+    order inside a trigger and over triggers gives the same row.  Only an event that is too large has to come before
+    those it cuts off.  A row is final when the response ended or nothing came for ``timeout_ms``; what comes after
+    that timeout is ignored.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values, named, ended, stopped = state.get if state.exists else ([None] * len(FIELDS), None, False, False)
-        values = [None if v is None else int(v) for v in values]
+        empty = ([None] * len(FIELDS), [None] * len(FIELDS), None, None, False, _NEVER, False)
+        values, places, named, named_at, ended, stop, final = state.get if state.exists else empty
         if state.hasTimedOut:
-            state.remove()
+            if final:
+                state.remove()
+                return
+            state.update((values, places, named, named_at, ended, stop, True))
+            state.setTimeoutDuration(REMEMBERED * timeout_ms)
             yield _row(key, values, named, ended, True)
             return
+        values, places, changed = list(values), list(places), False
         for batch in batches:
-            for event in batch.sort_values("seq").itertuples(index=False):
-                stopped = stopped or bool(event.oversized)
-                if stopped:
-                    break
-                for place, name in enumerate(FIELDS):
-                    value = getattr(event, name)
-                    if not pd.isna(value):
-                        values[place] = int(value)
-                    elif name in DETAILS and getattr(event, DETAILS[name]):
-                        values[place] = None
-                ended = ended or bool(event.ends)
-                named = event.response_id if isinstance(event.response_id, str) else named
-        state.update((values, named, ended, stopped))
-        state.setTimeoutDuration(timeout_ms)
-        yield _row(key, values, named, ended, ended)
+            if final:
+                continue
+            changed = True
+            large = batch.loc[batch["oversized"].astype(bool), "seq"]
+            stop = min(stop, int(large.min())) if len(large) else stop
+            read = batch[batch["seq"] < stop]
+            seqs = read["seq"].to_numpy()
+            for place, name in enumerate(FIELDS):
+                said = read[name].notna().to_numpy()
+                if name in DETAILS:
+                    said = said | read[DETAILS[name]].to_numpy(dtype=bool)
+                if said.any():
+                    at = int(seqs[said].max())
+                    if places[place] is None or at >= places[place]:
+                        value = read[name].to_numpy(dtype=object)[said][seqs[said].argmax()]
+                        values[place], places[place] = None if pd.isna(value) else int(value), at
+            known = read["response_id"].notna().to_numpy()
+            if known.any():
+                at = int(seqs[known].max())
+                if named_at is None or at >= named_at:
+                    named, named_at = read["response_id"].to_numpy(dtype=object)[known][seqs[known].argmax()], at
+            ended = ended or bool(read["ends"].astype(bool).any())
+        state.update((values, places, named, named_at, ended, stop, final))
+        state.setTimeoutDuration(REMEMBERED * timeout_ms if final else timeout_ms)
+        if changed:
+            yield _row(key, values, named, ended, ended)
 
     folded = read_frames(frames).groupBy("exchange_id", "protocol").applyInPandasWithState(
         fold, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
@@ -162,7 +185,7 @@ def fold_stream(frames: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
 
 
 def _row(key: tuple, values: list, named: str | None, ended: bool, final: bool) -> pd.DataFrame:
-    row = dict(zip(FIELDS, values))
+    row = {name: None if value is None or pd.isna(value) else int(value) for name, value in zip(FIELDS, values)}
     frame = pd.DataFrame([{"exchange_id": key[0], "protocol": key[1], **row, "response_id": named, "terminal": ended,
                            "final": final}])
     return frame.astype({f: "Int64" for f in FIELDS})
