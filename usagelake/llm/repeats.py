@@ -97,11 +97,18 @@ def anchors(hashes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.
     return value[fresh], first, np.r_[first[1:], runs]
 
 
+def small(batches: Iterable, rows: int = 1000) -> Iterator:
+    """Batches of so many rows at most, which bounds what Python holds at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _anchored(batches: Iterable, rule: Rule) -> Iterator:
     import pyarrow as pa
 
     known = WordHashes()
-    for batch in batches:
+    for batch in small(batches):
         found = [anchors(units((t or "").encode(), rule, known)[0], rule) for t in batch.column("text").to_pylist()]
         counts = [len(f[0]) for f in found]
         row = pa.array(np.repeat(np.arange(len(found)), counts))
@@ -118,7 +125,7 @@ def _packed(batches: Iterable) -> Iterator:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in small(batches):
         texts = [press((t or "").encode()) for t in batch.column("text").to_pylist()]
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(texts, pa.binary())], names=[*names, "packed"])
@@ -158,7 +165,7 @@ def _cut(batches: Iterable, rule: Rule, texts: bool) -> Iterator:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in small(batches):
         sizes, shas, packed, counts = [], [], [], []
         group, start, number, mark, content = [], [], [], [], []
         for raw, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist()):
@@ -269,7 +276,7 @@ def _final(batches: Iterable, rule: Rule, texts: bool) -> Iterator:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in small(batches):
         removed, spans, shas, kept = [], [], [], []
         for raw, size, sha, got in zip(*(batch.column(n).to_pylist() for n in ("packed", "size", "sha", "got"))):
             if sha is not None:  # nothing was a candidate
