@@ -194,7 +194,19 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
     hits = carry(offers.unionByName(asks), ["key"], "ord", {"previous": running_max(F.col("offer"))}, block,
                  keep=F.col("n").isNotNull()).where("previous IS NOT NULL")
     # A value may be met under two model variants; the later offer counts.
-    best = _verified(hits, found).groupBy("n", "value").agg(F.max("previous").alias("previous"))
+    met = hits.groupBy("n", "value", "method").agg(F.max("previous").alias("previous"))
+    if rank < 2:
+        best = met.select("n", "value", "previous")
+    else:
+        # Contexts are compared from the latest candidate back, until one is contained: mostly the first.
+        best, left = None, cut(met)
+        while not left.isEmpty():
+            tops = left.groupBy("n").agg(F.max(F.struct("previous", "value", "method")).alias("t")).select("n", "t.*")
+            sure = cut(_verified(tops.select("n", "value", "method", "previous"), found).select("n", "value", "previous"))
+            best = sure if best is None else best.unionByName(sure)
+            left = cut(left.join(sure.select("n"), "n", "left_anti").join(tops.select("n", "previous", "value"), ["n", "previous", "value"], "left_anti"))
+        if best is None:
+            best = met.select("n", "value", "previous")
     counted = best.groupBy("n", "previous").agg(F.count("*").alias("shared")).groupBy("n").agg(
         F.max(F.struct("previous", "shared")).alias("p"))
     names = found.nodes.select("n", "id")
