@@ -132,15 +132,15 @@ WITH w AS (
 ), least AS (
   SELECT seq, min(doc_id) AS least FROM starts GROUP BY seq HAVING min(doc_id) < max(doc_id)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS at
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS pos
   FROM starts JOIN least USING (seq) WHERE least < doc_id
 ), removed AS (
-  SELECT doc_id, list(at ORDER BY at) AS at FROM gone GROUP BY doc_id
+  SELECT doc_id, list(pos ORDER BY pos) AS pos FROM gone GROUP BY doc_id
 ), kept AS (
-  SELECT w.doc_id, words, coalesce(at, []) AS at FROM w LEFT JOIN removed USING (doc_id)
+  SELECT w.doc_id, words, coalesce(pos, []) AS pos FROM w LEFT JOIN removed USING (doc_id)
 )
-SELECT doc_id, len(words)::BIGINT AS n_words, len(at)::BIGINT AS n_removed,
-  sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(at, i)), ' ')) AS kept_sha256,
-  len(list_filter(at, lambda x: NOT list_contains(at, x - 1)))::BIGINT AS n_spans
+SELECT doc_id, len(words)::BIGINT AS n_words, len(pos)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(pos, i)), ' ')) AS kept_sha256,
+  len(list_filter(pos, lambda x: NOT list_contains(pos, x - 1)))::BIGINT AS n_spans
 FROM kept
 """

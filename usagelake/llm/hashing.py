@@ -1,9 +1,12 @@
-"""Word and window hashes that workers compute with numpy.  Equal input gives equal hashes in every process."""
+"""Word and window hashes that workers compute with numpy, and runs of equal keys.
+
+Equal input gives equal hashes in every process.
+"""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark import cloudpickle
@@ -64,3 +67,26 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """The set of ``n``-word shingles, sorted; a shorter text that has a word is one shingle of all its words."""
     return np.unique(windows(hashes, min(n, len(hashes)))) if len(hashes) else np.empty(0, np.uint64)
+
+
+def groups(batches: Iterable, keys: list[str]) -> Iterator[dict[str, list]]:
+    """Columns of each run of equal keys of a sorted partition, also where it spans batches."""
+    held, now = None, None
+    for batch in batches:
+        columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        marks = list(zip(*(columns[k] for k in keys)))
+        start = 0
+        for at in range(1, len(marks) + 1):
+            if at < len(marks) and marks[at] == marks[start]:
+                continue
+            part = {n: c[start:at] for n, c in columns.items()}
+            if held is not None and now == marks[start]:
+                for n, c in part.items():
+                    held[n] += c
+            else:
+                if held is not None:
+                    yield held
+                held, now = part, marks[start]
+            start = at
+    if held is not None:
+        yield held

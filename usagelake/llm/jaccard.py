@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from usagelake.llm.common import keep, table
 from usagelake.llm.graph import components
-from usagelake.llm.hashing import WordHashes, shingles
+from usagelake.llm.hashing import WordHashes, groups, shingles
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -145,29 +145,6 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(batches: Iterable, keys: list[str]) -> Iterator[dict[str, list]]:
-    """Columns of each run of equal keys of a sorted partition, also where it spans batches."""
-    held, now = None, None
-    for batch in batches:
-        columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        marks = list(zip(*(columns[k] for k in keys)))
-        start = 0
-        for at in range(1, len(marks) + 1):
-            if at < len(marks) and marks[at] == marks[start]:
-                continue
-            part = {n: c[start:at] for n, c in columns.items()}
-            if held is not None and now == marks[start]:
-                for n, c in part.items():
-                    held[n] += c
-            else:
-                if held is not None:
-                    yield held
-                held, now = part, marks[start]
-            start = at
-    if held is not None:
-        yield held
-
-
 def _sides(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray | None]:
     """Row numbers of a group's two blocks; the second is None for a block with itself."""
     if group["_p"][0] == group["_q"][0]:
@@ -188,7 +165,7 @@ def _candidates(batches: Iterable) -> Iterator:
 
     need, a, b = least_matches(), [], []
     made = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-    for group in _groups(batches, ["band", "_p", "_q"]):
+    for group in groups(batches, ["band", "_p", "_q"]):
         sids = group["sid"]
         for x, y in forest(len(sids), *_pairs(group, need)):
             a.append(sids[x])
@@ -249,7 +226,7 @@ def _links(batches: Iterable) -> Iterator:
         types = [pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["sid", "other", "links"])
 
-    for group in _groups(batches, ["comp", "_p", "_q"]):
+    for group in groups(batches, ["comp", "_p", "_q"]):
         sids, n = group["sid"], len(group["sid"])
         i, j = _pairs(group, need)
         i, j = verified([np.frombuffer(g, np.uint64) for g in group["grams"]], i, j, THRESHOLD)

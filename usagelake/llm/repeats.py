@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake.llm.common import keep
-from usagelake.llm.hashing import BASE, WordHashes, mixed, windows
+from usagelake.llm.hashing import BASE, WordHashes, groups, mixed, windows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -219,11 +219,9 @@ Engine = Callable[[list[list[tuple]]], list[list[tuple[np.ndarray, np.ndarray]]]
 def _worked(batches: Iterable, rule: Rule, engine: Engine) -> Iterator:
     import pyarrow as pa
 
-    from usagelake.llm.jaccard import _groups
-
-    def made(groups):
+    def made(blocks):
         rows = []
-        for group, done in zip(groups, engine([list(zip(*(g[c] for c in ("d", "content", "windows", "copies")))) for g in groups])):
+        for group, done in zip(blocks, engine([list(zip(*(g[c] for c in ("d", "content", "windows", "copies")))) for g in blocks])):
             for k, (gone, stands) in enumerate(done):
                 a, b, at = [], [], []
                 if group["blocks"][k] > 1:
@@ -240,7 +238,7 @@ def _worked(batches: Iterable, rule: Rule, engine: Engine) -> Iterator:
         )
 
     held, size = [], 0
-    for group in _groups(batches, ["g", "block"]):
+    for group in groups(batches, ["g", "block"]):
         held.append(group)
         size += sum(map(len, group["content"]))
         if size >= 2_000_000:
