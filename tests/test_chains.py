@@ -74,7 +74,7 @@ def check(spark, calls, **options):
     assert set(members) == set(want)
     for call, (root, place, method, previous) in want.items():
         assert (members[call].call, links[call].method, links[call].previous_id) == (place, method, previous)
-        assert members[call].chain_id == members[root].chain_id
+        assert members[call].root_id == root and members[call].chain_id == members[root].chain_id
     assert sorted(r.id for r in got.uncorrelated.collect()) == sorted(rest)
     return got
 
@@ -118,19 +118,33 @@ def test_chain_ids(spark):
 
 def test_chain_metrics(spark):
     def rows(chain, values):
-        return [(chain, i + 1, v, "estimated" if v is not None else None, v, "estimated" if v is not None else None,
+        return [(chain, "gwc-one-label", i + 1, v, "estimated" if v is not None else None, v, "estimated" if v is not None else None,
                  None, None, None, None, 1000 + i, "m", "p", "q") for i, v in enumerate(values)]
 
     schema = (
-        "chain_id string, call bigint, attributed bigint, attributed_kind string, tool_result bigint, "
+        "root_id string, chain_id string, call bigint, attributed bigint, attributed_kind string, tool_result bigint, "
         "tool_result_kind string, history bigint, history_kind string, tool_definition bigint, tool_definition_kind string, "
         "started_us bigint, model string, profile string, protocol string")
     calls = spark.createDataFrame(
         rows("a", [10, 7, 12, 12, 17]) + rows("b", [5, 4, 4]) + rows("c", [5, None, 9]) + rows("d", [3]), schema)
-    got = {r.chain_id: r for r in chains.chain_metrics(chains.context_deltas(calls, block=2)).collect()}
+    got = {r.root_id: r for r in chains.chain_metrics(chains.context_deltas(calls, block=2)).collect()}
     a, b, c, d = (got[x] for x in "abcd")
     assert (a.initial_context, a.final_context, a.peak_context, a.total_context, a.context_growth) == (10, 17, 17, 58, 7)
     assert (a.largest_growth, a.largest_growth_call, a.tool_result_growth, a.history_growth) == (5, 3, 7, None)
     assert (b.largest_growth, b.largest_growth_call) == (0, 0)
     assert (c.peak_context, c.total_context, c.largest_growth, c.context_growth) == (None, None, None, 4)
     assert (d.largest_growth, d.largest_growth_call, d.context_growth) == (None, 0, 0)
+
+
+def test_roots_of_one_tail_are_two_chains(spark):
+    def call(head, profile, at, previous=None):
+        return {"id": f"gw-{head}-12345678901{at}", "profile": profile, "protocol": "openai_responses", "started_us": at, "model": "m",
+                "start_shape": True, "response_id": f"r{profile}{at}", "previous_response_id": previous,
+                "tool_offers": [], "tool_asks": [], "lineage": None}
+
+    calls = [call("A", "p", 2), call("B", "q", 2), call("A", "p", 3, "rp2"), call("B", "q", 3, "rq2")]
+    got = check(spark, calls)
+    members = got.members.collect()
+    assert len({r.chain_id for r in members}) == 1
+    assert sorted((r.root_id, r.call) for r in members) == [
+        ("gw-A-123456789012", 1), ("gw-A-123456789012", 2), ("gw-B-123456789012", 1), ("gw-B-123456789012", 2)]
