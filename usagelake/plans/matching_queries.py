@@ -286,6 +286,34 @@ def p17_messages(spark, sf_dir):
         "total", "completeness")
 
 
+@query("p17_counter_session_observations", ("counters",), "WITH " + usage_queries.BEST + """
+SELECT 'codex:session:' || session_id AS id, session_id, CAST(NULL AS VARCHAR) AS turn_id, CAST(NULL AS BIGINT) AS started_us,
+       CASE WHEN input - cached >= 0 THEN input - cached END AS fresh_input, cached AS cached_input, input AS total_input, output,
+       reasoning AS reasoning_output, total,
+       CASE WHEN input IS NOT NULL AND output IS NOT NULL THEN 'complete' ELSE 'partial' END AS completeness FROM best""")
+def p17_counter_sessions(spark, sf_dir):
+    sessions = usage.counter_session_usage(twin(spark, sf_dir, "counters")).withColumns({
+        "model": F.lit(""), "started_us": F.lit(None).cast("long")})
+    return observations.from_counter_usage(sessions, "session").select(
+        "id", "session_id", "turn_id", "started_us", "fresh_input", "cached_input", "total_input", "output", "reasoning_output",
+        "total", "completeness")
+
+
+@query("p17_message_session_observations", ("messages",), "WITH " + usage_queries.BEARING + "," + usage_queries.TOTALS + """,
+v AS (SELECT *, CASE WHEN n > 0 AND ci = n THEN si END AS i, CASE WHEN n > 0 AND cr = n THEN sr END AS r,
+             CASE WHEN n > 0 AND cw = n THEN sw END AS w, CASE WHEN n > 0 AND co = n THEN so END AS o FROM t)
+SELECT 'claude:session:' || session_id AS id, session_id, CAST(i AS BIGINT) AS fresh_input, CAST(r AS BIGINT) AS cached_input,
+       CAST(w AS BIGINT) AS cache_creation_input, CAST(i + r + w AS BIGINT) AS total_input, CAST(o AS BIGINT) AS output,
+       CAST(i + r + w + o AS BIGINT) AS total,
+       CASE WHEN i + r + w + o IS NOT NULL THEN 'derived' END AS total_kind FROM v""")
+def p17_message_sessions(spark, sf_dir):
+    kept = usage.dedup_messages(usage.usage_bearing(twin(spark, sf_dir, "messages")))
+    sessions = usage.message_session_usage(kept).withColumns({
+        "model": F.lit(""), "started_us": F.lit(None).cast("long")})
+    return observations.from_message_usage(sessions, "session").select(
+        "id", "session_id", "fresh_input", "cached_input", "cache_creation_input", "total_input", "output", "total", "total_kind")
+
+
 @query("p18_observation_problems", ("ev",), """
 WITH o AS (SELECT 'o' || CAST(event_id - event_id % 400 % 2 AS VARCHAR) AS id, event_id AS e FROM ev)
 SELECT id, p AS problem FROM (
