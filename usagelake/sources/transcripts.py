@@ -12,8 +12,9 @@ from usagelake.functions.text import content_hash, token_estimate, token_estimat
 from usagelake.operators import context
 from usagelake.session import cut
 
-# Place of a component within its line: positions per line.
-SLOTS = 1 << 20
+# Place of a component within its line: positions per line.  A record of 64 MiB, the largest that is read, has
+# fewer blocks than this, as each takes three bytes or more.
+SLOTS = 1 << 25
 
 
 def _line_block(block: int) -> int:
