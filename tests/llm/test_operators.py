@@ -250,6 +250,23 @@ def test_boilerplate_lines(spark):
     assert all(left[k] == rows[k][1].split("\n", 1)[1] for k in range(30)) and left[50] == rows[50][1]
 
 
+@pytest.mark.parametrize("template, own, many", [(204, 34, 40), (304, 24, 150)])
+def test_documents_of_one_template_each_count(spark, template, own, many):
+    rng = random.Random(template)
+    shared = "\n".join(_prose(rng, 17, 2000) for _ in range(template // 17))
+    rows = [(k, shared + "\n" + _prose(rng, own, 2000), "h") for k in range(many)]
+    rows += [(500 + k, _prose(rng, 60, 2000), "h") for k in range(30)]
+    # Near copies, a word changed in each, are one document, and so are copies.
+    base = "\n".join(_prose(rng, 20, 2000) for _ in range(40))
+    rows += [(600 + k, base.replace(base.split("\n")[k], base.split("\n")[k] + "x"), "h") for k in range(30)]
+    rows += [(700 + k, base, "h") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.judge(docs).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(many))
+    flagged = {r.documents for r in quality.boilerplate(quality.classed(docs, common.keep(quality.measure(docs, [], "source")))).collect()}
+    assert flagged == {many}
+
+
 def _targets(sizes, weights, most):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     heft, total = {s: weights[k % 3] for k, s in enumerate(order)}, sum(sizes.values())

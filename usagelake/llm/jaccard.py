@@ -160,10 +160,10 @@ def _pairs(group: dict[str, list], need: list[int]) -> tuple[np.ndarray, np.ndar
     return left[i], (left if right is None else right)[j]
 
 
-def _candidates(batches: Iterable) -> Iterator:
+def _candidates(batches: Iterable, threshold: float) -> Iterator:
     import pyarrow as pa
 
-    need, a, b = least_matches(), [], []
+    need, a, b = least_matches(threshold), [], []
     made = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
     for group in groups(batches, ["band", "_p", "_q"]):
         sids = group["sid"]
@@ -216,10 +216,10 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return i[linked], j[linked]
 
 
-def _links(batches: Iterable) -> Iterator:
+def _links(batches: Iterable, threshold: float) -> Iterator:
     import pyarrow as pa
 
-    need, rows = least_matches(), []
+    need, rows = least_matches(threshold), []
 
     def made():
         columns = zip(*rows) if rows else [[]] * 3
@@ -229,7 +229,7 @@ def _links(batches: Iterable) -> Iterator:
     for group in groups(batches, ["comp", "_p", "_q"]):
         sids, n = group["sid"], len(group["sid"])
         i, j = _pairs(group, need)
-        i, j = verified([np.frombuffer(g, np.uint64) for g in group["grams"]], i, j, THRESHOLD)
+        i, j = verified([np.frombuffer(g, np.uint64) for g in group["grams"]], i, j, threshold)
         texts = np.array(group["texts"], np.int64)
         links = np.bincount(i, texts[j], n) + np.bincount(j, texts[i], n)
         rows += [(sids[x], None, int(links[x])) for x in np.flatnonzero(links)]
@@ -254,6 +254,11 @@ def _placed(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     slim = docs.select(F.col(id_column).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     kind = slim.schema["_id"].dataType.simpleString()
     rows = keep(slim.mapInArrow(_sketch, f"_id {kind}, _text long, sid binary, size long, signature binary"))
+    return rows, placed(slim, rows)
+
+
+def placed(slim: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Sets with their classes at ``threshold``, from (_id, _text, text) and the sketches of these rows."""
     first = F.struct(F.col("_id").isNull().cast("int").alias("_null"), "_id", "_text")
     texts = rows.groupBy("sid", "_text").agg(
         F.count("*").alias("n"), F.min(first).alias("first"),
@@ -275,7 +280,7 @@ def _placed(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     chosen = keep(banded.join(buckets, "band"))
     short = sets.where("size > 0").select("sid", F.concat(*[F.substring("signature", 4 * k + 1, 1) for k in range(HASHES)]).alias("short"))
     members = _blocked(chosen.join(short, "sid"), "band")
-    comps = components(members.mapInArrow(_candidates, "a binary, b binary"))
+    comps = components(members.mapInArrow(lambda b: _candidates(b, threshold), "a binary, b binary"))
     # Exact links inside the components.
     held = comps.select(F.col("node").alias("sid"), F.col("root").alias("comp"))
     spread = held.join(sets.select("sid", "size"), "sid").groupBy("comp").agg(
@@ -290,20 +295,20 @@ def _placed(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     whole = slim.join(asked, same).select("sid", "comp", "_blocks", "texts", "short", "text").dropDuplicates(["sid"])
     fields = "sid binary, comp binary, _blocks long, texts long, short binary, grams binary"
     pairs = _blocked(whole.mapInArrow(_shingled, fields), "comp")
-    links = keep(pairs.mapInArrow(_links, "sid binary, other binary, links long"))
+    links = keep(pairs.mapInArrow(lambda b: _links(b, threshold), "sid binary, other binary, links long"))
     classes = components(links.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")))
     counted = links.where("other is null").groupBy("sid").agg(F.sum("links").alias("links"))
     named = classes.select(F.col("node").alias("sid"), "root")
-    placed = sets.select("sid", "first", "_id", "texts", "copies", "size").join(named, "sid", "left").join(counted, "sid", "left")
-    return rows, keep(placed.withColumn("root", F.coalesce("root", "sid")))
+    all_ = sets.select("sid", "first", "_id", "texts", "copies", "size").join(named, "sid", "left").join(counted, "sid", "left")
+    return keep(all_.withColumn("root", F.coalesce("root", "sid")))
 
 
 def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row a document: its id, class_id (the least id of its class), n_links and n_copies."""
-    rows, placed = _placed(docs, id_column)
-    least = placed.groupBy("root").agg(F.min("_id").alias("class_id"))
+    rows, sets = _placed(docs, id_column)
+    least = sets.groupBy("root").agg(F.min("_id").alias("class_id"))
     own = F.when(F.col("size") > 0, F.col("texts") - 1).otherwise(0)
-    out = placed.join(least, "root").select(
+    out = sets.join(least, "root").select(
         "sid", "class_id", (F.coalesce("links", F.lit(0)) + own).cast("long").alias("n_links"),
         F.col("copies").alias("n_copies"),
     )
@@ -314,8 +319,8 @@ def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def representatives(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, text's xxhash64) of one document a class: that of the least id, then of the least hash."""
-    _, placed = _placed(docs, id_column)
-    first = placed.groupBy("root").agg(F.min("first").alias("f"))
+    _, sets = _placed(docs, id_column)
+    first = sets.groupBy("root").agg(F.min("first").alias("f"))
     return first.select(F.col("f._id").alias(id_column), F.col("f._text").alias("text_hash"))
 
 

@@ -5,8 +5,10 @@ looks across documents: lines are normalised and hashed, and each line's distinc
 host.  Lines above the limits are boilerplate of that host; a document that they deplete is rejected.
 
 The limits of a line of a host: more than ``min_documents`` distinct documents, and more than ``share`` of the
-host's distinct documents.  Copies are no sign of boilerplate: a document is counted by one min-wise hash of its
-five-word shingles, so copies count once and near copies of similarity J share their hash with probability J.
+host's distinct documents.  Copies are no sign of boilerplate: documents are counted by their class of near copies,
+whose links are exact Jaccard similarities of at least ``NEAR`` of five-word shingle sets (the join of
+``jaccard``; equal sets are one).  That is far above what documents of one template with a little own text have,
+so each of those counts: with 300 shingles of template and 20 own ones two documents are at 0.88.
 
 One Python pass turns texts into counts and line hashes, written once.  Counting goes by (host, line, document)
 and then (host, line), both with partial aggregation, so neither a hot host nor a hot line meets in one task.
@@ -26,6 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelake.llm import jaccard
 from usagelake.llm.common import keep, table
 from usagelake.llm.hashing import WordHashes, shingles, windows
 
@@ -37,13 +40,15 @@ REPEATED_PERCENT = 30
 #: A line is boilerplate of a host above both limits.
 MIN_DOCUMENTS = 10
 SHARE = 0.05
+#: Documents of this similarity are near copies and count as one.
+NEAR = 0.95
 #: A document is depleted if boilerplate lines hold more than this share of its words, or leave fewer than MIN_WORDS.
 DEPLETED = 0.5
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "sketch long, lines array<long>, line_words array<int>"
+    "sid binary, size long, signature binary, lines array<long>, line_words array<int>"
 )
 _NUMBER = re.compile(rb"[0-9]+")
 
@@ -85,11 +90,12 @@ def measured(text: str, known: WordHashes) -> tuple:
             lines.append(xxhash.xxh3_64_intdigest(normal(own)) - 2**63)
             line_words.append(len(own))
     hashes = known.of(words)
-    grams = shingles(hashes, 5)
+    grams = shingles(hashes, jaccard.SHINGLE)
     spaces = len(raw) - sum(map(len, words))
     return (
         len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), repeats, repeated_words(hashes),
-        int(grams[0]) - 2**63 if len(grams) else None, lines, line_words,
+        xxhash.xxh3_128_digest(grams.tobytes()), len(grams), jaccard.signature(grams).tobytes() if len(grams) else None,
+        lines, line_words,
     )
 
 
@@ -97,7 +103,7 @@ def _measure(batches: Iterable) -> Iterator:
     import pyarrow as pa
 
     known = WordHashes()
-    types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.binary()] + [pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [part.split()[0] for part in MEASURES.split(", ")]
     for batch in batches:
         rows = [measured(t or "", known) for t in batch.column("text").to_pylist()]
@@ -108,18 +114,26 @@ def _measure(batches: Iterable) -> Iterator:
 
 
 def measure(docs: DataFrame, keys: Sequence[str], host: str) -> DataFrame:
-    """``keys``, ``_host``, the base counts, one min-wise hash and the lines' hashes and words."""
-    slim = docs.select(*keys, F.col(host).alias("_host"), "text")
+    """``keys``, ``_host``, ``_text``, the base counts, the shingle set's sketch and the lines' hashes and words."""
+    slim = docs.select(*keys, F.col(host).alias("_host"), F.xxhash64("text").alias("_text"), "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
     return slim.mapInArrow(_measure, f"{fields}, {MEASURES}")
 
 
+def classed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of ``measure`` with ``_class``, the least set of the near copies."""
+    slim = docs.select(F.xxhash64("text").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    sketches = rows.select(F.col("_text").alias("_id"), "_text", "sid", "size", "signature")
+    sets = jaccard.placed(slim, sketches, NEAR).select("sid", F.col("root").alias("_class"))
+    return rows.drop("signature").join(sets, "sid")
+
+
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """(_host, _line, documents) of the lines above the limits, from rows of ``measure``."""
-    texts = rows.where("sketch is not null").groupBy("_host", "sketch").agg(F.lit(1).alias("one"))
+    """(_host, _line, documents) of the lines above the limits, from rows of ``classed``."""
+    texts = rows.where("size > 0").groupBy("_host", "_class").agg(F.lit(1).alias("one"))
     hosts = texts.groupBy("_host").agg(F.count("*").alias("of"))
-    seen = rows.select("_host", "sketch", F.explode(F.array_distinct("lines")).alias("_line"))
-    per_text = seen.groupBy("_host", "_line", "sketch").agg(F.lit(1).alias("one"))
+    seen = rows.select("_host", "_class", F.explode(F.array_distinct("lines")).alias("_line"))
+    per_text = seen.groupBy("_host", "_line", "_class").agg(F.lit(1).alias("one"))
     counts = per_text.groupBy("_host", "_line").agg(F.count("*").alias("documents"))
     many = counts.where(F.col("documents") > min_documents).alias("c")
     return many.join(hosts.alias("h"), F.expr("c._host <=> h._host")).where(
@@ -133,7 +147,7 @@ def judge(
 ) -> DataFrame:
     """One row a document: ``keys``, the counts, n_boilerplate_words, base_failed, kept."""
     rows = keep(measure(docs, keys, host).withColumn("_row", F.monotonically_increasing_id()))
-    bad = keep(boilerplate(rows, min_documents, share)).alias("b")
+    bad = keep(boilerplate(classed(docs, rows), min_documents, share)).alias("b")
     lines = rows.select("_row", "_host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     lines = lines.select("_row", "_host", F.col("l.lines").alias("_line"), F.col("l.line_words").alias("_n")).alias("l")
     hit = lines.join(bad, F.expr("l._host <=> b._host and l._line = b._line"), "left_semi")
@@ -143,7 +157,7 @@ def judge(
     left = F.col("n_words") - F.col("n_boilerplate_words")
     depleted = (left < MIN_WORDS) | (F.col("n_boilerplate_words") > DEPLETED * F.col("n_words"))
     return (
-        rows.drop("lines", "line_words", "sketch", "_host")
+        rows.drop("lines", "line_words", "sid", "size", "signature", "_text", "_host")
         .join(lost, "_row", "left")
         .withColumn("n_boilerplate_words", lost_words)
         .withColumn("base_failed", failed)
@@ -154,7 +168,7 @@ def judge(
 
 def stripped(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of their texts; nothing else changes."""
-    bad = boilerplate(keep(measure(docs, [], host)), min_documents, share)
+    bad = boilerplate(classed(docs, keep(measure(docs, [], host))), min_documents, share)
     # A flagged line is in more than ``share`` of a host's documents: a host has at most lines per document / share.
     per_host = bad.groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
     joined = docs.join(per_host, docs[host].eqNullSafe(per_host["_host"]), "left")
