@@ -152,6 +152,30 @@ def test_edits_are_located(spark):
     assert len(set(rows.a) ^ set(rows.b)) <= 4 and len(rows.a) > 10  # one section, or two where a border falls and 0.98 < rows.near < 1
 
 
+def test_likeness_counts_repeats_and_overlong_paragraphs_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    plain = _prose(rng, 3000)  # no mark that ends a sentence
+    wide = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(4000)) + "𝒜" * 1500
+    cases = [
+        ("Hello. " * 1000, "Hello. "), ("a. b. a. c. ", "a. a. a. b. "), ("Same line.\n" * 40, "Same line.\n" * 20 + "Other.\n" * 20),
+        (plain, plain[:9000] + "!" + plain[9001:]), (wide, "x" + wide), ("", ""),
+    ]
+    leaves = lambda c: fingerprints.paragraphs(F.col(c))
+    got = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string").select(
+        "k", fingerprints._paragraph_texts(F.col("a")).alias("texts"), leaves("a").alias("la"), leaves("b").alias("lb"),
+        fingerprints.likeness(leaves("a"), leaves("b")).alias("near"),
+    ).orderBy("k").collect()
+    for r, (a, b) in zip(got, cases):
+        assert "".join(r.texts) == a and all(0 < len(t) <= 512 for t in r.texts)
+        size = lambda x: sum(int(p.split(".")[-1]) * n for p, n in x.items())
+        both = size(Counter(r.la)) + size(Counter(r.lb))
+        assert r.near == pytest.approx(2 * size(Counter(r.la) & Counter(r.lb)) / both if both else 1)
+    assert got[0].near < 0.01 and got[2].near == pytest.approx(0.55)  # 2 * 220 of 440 + 360 characters
+    assert 0.9 < got[3].near < 1 and 0.9 < got[4].near < 1
+
+
 def _sets(rows):
     out = []
     for _, t, *_ in rows:

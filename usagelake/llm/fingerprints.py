@@ -2,13 +2,14 @@
 
 A text is cut, without loss, after every line end and every mark that ends sentences; these paragraphs are the leaves.
 A section is a run of paragraphs that ends where a paragraph's own hash says so, about every eighth time, so an
-edit moves no section border beyond its neighbourhood.  A section's hash covers its paragraphs' hashes, the root
+edit moves no section border beyond its neighbourhood.  A paragraph of more than ``LONG`` characters is cut on where a hash
+of ``SEEN`` neighbouring characters says so, about every ``PIECE``, and after ``LONG`` characters at the latest.  A section's hash covers its paragraphs' hashes, the root
 covers the sections' hashes.  Equal roots mean equal texts; below unequal roots the unequal sections, and in them
 the unequal paragraphs, locate the edits.
 
 The fingerprint is one string, ``root|sections|paragraphs``: the root's SHA-256 in hex, eight hex digits for each
 section, and ``hash.length`` for each paragraph.  Two fingerprints give a likeness without their texts: twice the
-characters in shared paragraphs over all characters of both, a paragraph that a text repeats counting once.
+characters in shared paragraphs over all characters of both, paragraphs counted with repeats.
 
 Only built-in functions are used.  :func:`edited_pairs` brings each document together with its successor in
 doc_id order: documents are dealt to blocks of neighbouring ids at approximate quantiles, the first documents of a
@@ -28,6 +29,10 @@ from usagelake.llm.common import table
 
 #: A paragraph: up to a line end or a mark that ends sentences, with the few blanks and marks behind it.
 PARAGRAPH = r"[^.!?\n]*+[.!?\n][^\p{L}\p{N}\n]{0,4}\n?|[^.!?\n]++"
+#: Characters of a paragraph at most.
+LONG = 512
+#: A longer one is cut behind characters whose hash, with those before them, is 0 modulo PIECE.
+SEEN, PIECE = 6, 64
 #: Hex digits of a paragraph's hash in the tree.
 DIGITS = 24
 #: A section ends after a paragraph whose hash is 0 modulo this.
@@ -42,10 +47,38 @@ def _hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, the value being worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _cut(paragraph: Column) -> Column:
+    """The pieces of an overlong paragraph."""
+    def pieces(chars):
+        seen = lambda i: F.xxhash64(*[F.get(chars, i - k - 1) for k in range(SEEN)])
+        last = F.size(chars)
+        borders = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | (F.pmod(seen(i), F.lit(PIECE)) == 0))
+        before = lambda at, k: F.coalesce(F.get(at, k - 1), F.lit(0))
+        return _let(borders, lambda at: F.transform(
+            at, lambda end, k: F.array_join(F.slice(chars, before(at, k) + 1, end - before(at, k)), "")
+        ))
+
+    whole = _let(F.regexp_extract_all(paragraph, F.lit("(?s)."), F.lit(0)), pieces)
+    return F.flatten(F.transform(whole, lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LONG}}}"), F.lit(0))))
+
+
+def _paragraph_texts(text: Column) -> Column:
+    def bounded(found):
+        cut = F.transform(found, lambda p: F.when(F.length(p) > LONG, _cut(p)).otherwise(F.array(p)))
+        return F.when(F.exists(found, lambda p: F.length(p) > LONG), F.flatten(cut)).otherwise(found)
+
+    return _let(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), bounded)
+
+
 def paragraphs(text: Column) -> Column:
     """``hash.length`` of a text's paragraphs in order; none for an empty text."""
     return F.transform(
-        F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)),
+        _paragraph_texts(text),
         lambda p: F.concat(F.substring(_hash(p), 1, DIGITS), F.lit("."), F.length(p)),
     )
 
@@ -76,16 +109,34 @@ def parsed(print_: Column) -> Column:
 
 
 def length(leaves: Column) -> Column:
-    """Characters of distinct paragraphs."""
+    """Characters of paragraphs."""
     return F.aggregate(leaves, F.lit(0).cast("long"), lambda s, x: s + F.substring_index(x, ".", -1).cast("long"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1: the share of characters that two lists of distinct paragraphs have in common; 1 for two empty ones."""
+def numbered(leaves: Column) -> Column:
+    """The paragraphs as a set: the second ``x`` of a list is ``2:x``, the third ``3:x``."""
+    def runs(ordered):
+        n = F.size(ordered)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        number = lambda x, k: F.when(k == 1, x).otherwise(F.concat(k.cast("string"), F.lit(":"), x))
+        return _let(firsts, lambda at: F.flatten(F.transform(at, lambda i, j: F.transform(
+            F.sequence(F.lit(1), F.coalesce(F.get(at, j + 1), n) - i), lambda k: number(F.get(ordered, i), k)
+        ))))
+
+    return F.when(F.size(F.array_distinct(leaves)) == F.size(leaves), leaves).otherwise(_let(F.sort_array(leaves), runs))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """``likeness`` of numbered lists."""
     both = length(a) + length(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * length(F.array_intersect(a, b)) / both)
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1: the share of characters that two lists of paragraphs have in common, repeats counted; 1 for two empty ones."""
+    return alike(numbered(a), numbered(b))
+
+
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, text, leaves, next_text, next_leaves): each document with its successor; the last one's is the first."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -135,10 +186,10 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nodes = leaves.withColumns({
         "na": sections(F.col("a")), "nb": sections(F.col("b")),
-        "da": F.array_distinct("a"), "db": F.array_distinct("b"), "dc": F.array_distinct("c"),
+        "da": numbered(F.col("a")), "db": numbered(F.col("b")), "dc": numbered(F.col("c")),
     })
     return nodes.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a"), F.col("na"), F.col("n_chars")).alias("fingerprint"),
         fingerprint(F.col("b"), F.col("nb"), F.col("m")).alias("edited_fingerprint"),
-        likeness(F.col("da"), F.col("db")).alias("near_edited"), likeness(F.col("da"), F.col("dc")).alias("near_next"),
+        alike(F.col("da"), F.col("db")).alias("near_edited"), alike(F.col("da"), F.col("dc")).alias("near_next"),
     )
