@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from usagelake.llm import automata, brown, content, fingerprints, jaccard, mixing, packing, quality, transforms, urls
+from usagelake.llm import automata, brown, classifier, content, fingerprints, jaccard, mixing, packing, quality, transforms, urls
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_shortest_pack_first, fingerprints.op2_merkle_fingerprints, jaccard.op3_bayesian_jaccard_join,
     automata.op4_suffix_automata, quality.op5_line_frequency, urls.op6_path_templates, content.op7_random_field,
     mixing.op8_entropy_mix, transforms.op9_merged_transforms,
-    brown.op10_brown_classes,
+    brown.op10_brown_classes, classifier.op11_fourier_classifier,
 )}
 ORACLES: dict[str, str] = {automata.op4_suffix_automata.__name__: automata.ORACLE}
