@@ -40,9 +40,9 @@ from usagelake.llm.hashing import BASE, WordHashes, mixed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Occurrences of suffixes that one task holds at a time.
-BUDGET = 1_000_000
+BUDGET = 500_000
 #: Bytes of text that are counted together before they are sent.
-STRETCH = 16_000_000
+STRETCH = 8_000_000
 LEAST_BITS, MOST_BITS = 10, 20
 #: The table of frequent words has 2**FILTER_BITS bits.
 FILTER_BITS = 25
@@ -222,25 +222,26 @@ class Subtree:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, words: list[str], suffixes: np.ndarray) -> None:
-        """``suffixes`` has lines a, b, c (numbers of ``words``, c may be -1) and n."""
+    def add(self, words: list[str], suffixes: np.ndarray, n: np.ndarray) -> None:
+        """``suffixes`` has lines a, b, c: numbers of ``words``, c may be -1."""
         number = self.number
-        to = np.array([number.setdefault(w, len(number)) for w in words] + [-1], np.int64)
-        self.parts.append(np.vstack([to[suffixes[:3]], suffixes[3]]))
-        self.held += suffixes.shape[1]
-
-    def leaves(self) -> np.ndarray:
-        """Lines a, b, c, total of the leaves in order; equal suffixes become one leaf."""
-        a, b, c, n = np.concatenate(self.parts, 1)
+        to = np.array([number.setdefault(w, len(number)) for w in words] + [-1], np.int32)
+        self.parts.append((*to[suffixes], n))
+        self.held += len(n)
+
+    def leaves(self) -> tuple[np.ndarray, ...]:
+        """a, b, c, total of the leaves in order; equal suffixes become one leaf."""
+        a, b, c, n = map(np.concatenate, zip(*self.parts))
+        self.parts.clear()
         order = np.lexsort((c, b, a))
         a, b, c, n = a[order], b[order], c[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
-        out = np.vstack([a[new], b[new], c[new], np.add.reduceat(n, new)])
-        self.parts, self.held = [out], out.shape[1]
-        return out
+        self.parts.append((a[new], b[new], c[new], np.add.reduceat(n, new)))
+        self.held = len(new)
+        return self.parts[0]
 
     def nodes(self, least: int, partial: bool) -> Iterator[tuple[np.ndarray, ...]]:
         """(a, b, c or -1, total) of the nodes of two and three words; ``partial`` totals of two words go on whatever they are."""
@@ -278,8 +279,8 @@ def _built(batches: Iterable, least: int) -> Iterator:
                 yield from drained()
                 now = group
             tree = held.setdefault((columns["lang"][k].as_py(), columns["split"][k].as_py()), Subtree())
-            lines = [columns[x][k].values.to_numpy().astype(np.int64) for x in "abcn"]
-            tree.add(columns["words"][k].as_py(), np.vstack(lines))
+            *lines, n = (columns[x][k].values.to_numpy() for x in "abcn")
+            tree.add(columns["words"][k].as_py(), np.vstack(lines), n)
             if tree.held > 2 * BUDGET:
                 tree.leaves()
     yield from drained()
