@@ -39,8 +39,10 @@ from usagelake.llm.hashing import BASE, WordHashes, mixed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Occurrences of suffixes that one task holds at a time.
+#: Occurrences of suffixes that one task holds at a time, and the part of all words that it does at most: no task
+#: gets more than its share of the work, however small the corpus.
 BUDGET = 500_000
+SHARES = 200
 #: Bytes of text that are counted together before they are sent.
 STRETCH = 8_000_000
 LEAST_BITS, MOST_BITS = 10, 20
@@ -61,7 +63,9 @@ _CODES = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 e
 
 COUNTS = "lang string, word string, h long, n long"
 PAIRS = "lang string, first string, second string, h long, n long"
-SUFFIXES = "grp int, split boolean, lang string, words array<string>, a array<int>, b array<int>, c array<int>, n array<long>"
+#: Suffixes of a row, so that 16 bits number their words; words stand one on a line.
+ROW = 10_000
+SUFFIXES = "grp int, split boolean, lang string, words string, a array<smallint>, b array<smallint>, c array<smallint>, n array<int>"
 NODES = "lang string, w1 string, w2 string, w3 string, n long"
 
 
@@ -202,16 +206,19 @@ def _suffixes(batches: Iterable, plan: Plan) -> Iterator:
             third = np.where(c[split] >= 0, got.hashes[c[split]], np.uint64(0))
             group[split] = plan.group(_pair_hash(h[of[split]], third))
         a, b = first[of], second[of]
-        order = np.lexsort((c, b, a, split, group))
+        # The suffixes are in order; sorting by group keeps it inside a group.
+        order = np.argsort(group * 2 + split, kind="stable")
         a, b, c, n, group, split = (x[order] for x in (a, b, c, n, group, split))
-        edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (split[1:] != split[:-1]), [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (split[1:] != split[:-1])]))
+        edges = [y for x, z in zip(edges, [*edges[1:], len(a)]) for y in range(x, z, ROW)]
+        spelled = np.array(got.words.to_pylist(), object)
         rows: list[tuple] = []
-        for x, y in zip(edges[:-1], edges[1:]):
+        for x, y in zip(edges, [*edges[1:], len(a)]):
             used, number = np.unique(np.concatenate([a[x:y], b[x:y], c[x:y]]), return_inverse=True)
             none = int(used[0] == -1)
-            number = (number - none).astype(np.int32).reshape(3, -1)
-            rows.append((group[x], split[x], got.words.take(pa.array(used[none:])).to_pylist(), *number, n[x:y]))
-        kinds = [pa.int32(), pa.bool_(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64())]
+            number = (number - none).astype(np.int16).reshape(3, -1)
+            rows.append((group[x], split[x], "\n".join(spelled[used[none:]]), *number, n[x:y]))
+        kinds = [pa.int32(), pa.bool_(), pa.string(), *[pa.list_(pa.int16())] * 3, pa.list_(pa.int32())]
         arrays = [pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)]
         arrays.insert(2, pa.array([lang] * len(rows)))
         yield pa.RecordBatch.from_arrays(arrays, names=["grp", "split", "lang", "words", "a", "b", "c", "n"])
@@ -223,7 +230,7 @@ class Subtree:
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
+        self.held = self.kept = 0
 
     def add(self, words: list[str], suffixes: np.ndarray, n: np.ndarray) -> None:
         """``suffixes`` has lines a, b, c: numbers of ``words``, c may be -1."""
@@ -240,7 +247,7 @@ class Subtree:
         a, b, c, n = a[order], b[order], c[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
         self.parts.append((a[new], b[new], c[new], np.add.reduceat(n, new)))
-        self.held = len(new)
+        self.held = self.kept = len(new)
         return self.parts[0]
 
     def nodes(self, least: int, partial: bool) -> Iterator[tuple[np.ndarray, ...]]:
@@ -280,8 +287,8 @@ def _built(batches: Iterable, least: int) -> Iterator:
                 now = group
             tree = held.setdefault((columns["lang"][k].as_py(), columns["split"][k].as_py()), Subtree())
             *lines, n = (columns[x][k].values.to_numpy() for x in "abcn")
-            tree.add(columns["words"][k].as_py(), np.vstack(lines), n)
-            if tree.held > 2 * BUDGET:
+            tree.add(columns["words"][k].as_py().split("\n"), np.vstack(lines), n.astype(np.int64))
+            if tree.held > BUDGET + tree.kept:
                 tree.leaves()
     yield from drained()
 
@@ -323,6 +330,7 @@ def counted(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) -> tuple[
     slim = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = keep(slim.mapInArrow(_count, COUNTS).groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("n").alias("n")))
     frequent = words.where(F.col("n") >= least)
+    budget = max(1, min(budget, (frequent.agg(F.sum("n")).head()[0] or 0) // SHARES))
     none = np.empty(0, np.uint64)
     plan = Plan(_bits(frequent), _hashes(frequent.where(F.col("n") > budget)), none, none)
     prefixes = frequent.where(F.col("n") <= budget).select("h", "n")
