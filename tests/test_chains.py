@@ -84,6 +84,60 @@ def test_random_captures(spark, seed):
     check(spark, random_calls(random.Random(seed), 60), block=5)
 
 
+def test_large_contested_groups_take_steps_instead(spark):
+    check(spark, random_calls(random.Random(5), 60), group_calls=0)
+
+
+def _call(i, shape=True, previous=None, lineage=None, **more):
+    return {"id": f"c{i:04d}", "profile": "p", "protocol": "openai_responses", "started_us": i, "model": "m", "start_shape": shape,
+            "response_id": f"r{i}", "previous_response_id": previous, "tool_offers": [], "tool_asks": [], "lineage": lineage, **more}
+
+
+def _frame(spark, calls):
+    return spark.createDataFrame([tuple(c[n] for n in NAMES) for c in calls], SCHEMA)
+
+
+def test_asks_follow_hashes(spark):
+    """A growing conversation, and many contexts over few hashes, which mostly contain each other."""
+    for n in (50, 100, 200):
+        grown = [_call(i, lineage=[f"h{k}" for k in range(i + 1)]) for i in range(n)]
+        rng = random.Random(n)
+        few = [_call(1000 + i, lineage=rng.sample("abcdefghijkl", 6), profile="q") for i in range(n)]
+        found = chains.lineage(_frame(spark, grown + few))
+        hashes = sum(len(set(c["lineage"])) for c in grown + few)
+        # Each under two model variants.
+        assert found.asks.where("method = 2").count() == 2 * hashes
+        assert found.offers.where("method = 2").count() == 4 * n
+
+
+@pytest.mark.parametrize("letters, size", [("abcdefgh", 4), ("abcdefghijklmnopqrstuvwxyz", 9)])
+def test_latest_context_over_few_hashes(spark, letters, size):
+    rng = random.Random(size)
+    calls = [_call(i, lineage=rng.sample(letters, rng.randrange(1, size + 1)), model=rng.choice(["", "m", "k"])) for i in range(150)]
+    got = {r.id: r.previous_id for r in chains.latest_predecessor(_frame(spark, calls), "context_lineage", block=40).collect()}
+    want = {}
+    for i, c in enumerate(calls):
+        for p in calls[:i]:
+            if set(p["lineage"]) < set(c["lineage"]) and (not p["model"] or not c["model"] or p["model"] == c["model"]):
+                want[c["id"]] = p["id"]
+    assert got == want
+
+
+def test_contested_links_do_not_add_steps(spark):
+    """Each pair of calls asks for one predecessor, and each pair's fate hangs on the pair before."""
+    calls = [_call(0)]
+    for k in range(1, 25):
+        calls += [_call(2 * k, k % 3 > 0, f"r{2 * k - 2}"), _call(2 * k + 1, k % 2 > 0, f"r{2 * k - 2}")]
+    got = check(spark, calls)
+    assert got.rounds <= 2
+
+
+def test_repeated_starts_are_told_apart_by_set(spark):
+    calls = [_call(i, lineage=["p", "u"]) for i in range(30)] + [_call(40, lineage=["p", "u", "v"]), _call(41, lineage=["q"]),
+             _call(42, False, lineage=["q", "v"]), _call(43, False, lineage=["p", "u", "v", "w"])]
+    check(spark, calls)
+
+
 def test_long_path_without_a_start(spark):
     """A run whose first calls are not starts: the chain begins where one is."""
     calls = [{

@@ -63,9 +63,9 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     assert {r.key: r.ord for r in first.collect()} == want
 
 
-def test_salted_lookup_is_a_left_join(spark):
+def test_lookup_is_a_left_join(spark):
     df = _rows(spark)
     names = spark.createDataFrame([("hot", "H"), ("k1", "one")], "key string, name string")
-    got = ordered.salted_lookup(df, names, ["key"], ["ord"])
+    got = ordered.lookup_join(df, names, ["key"])
     want = df.join(names, "key", "left").select("key", "ord", "v", "flag", "name")
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))

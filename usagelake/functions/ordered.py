@@ -114,13 +114,28 @@ def carry(
     values: dict[str, Running],
     block: int = BLOCK,
     keep: Column | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """Add running values over the earlier rows of the same keys.
 
     ``keys`` must not be NULL.  ``keep`` drops rows after the scan (for rows
-    that only feed it).
+    that only feed it).  ``top`` is the greatest order value, where it is known:
+    if that leaves a single block (and no order is negative), nothing has to be
+    brought across blocks and one window does it.
     """
     keys = list(keys)
+    if top is not None and top < block:
+        inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        scanned = df.select(
+            "*", *[value.in_block(inside).alias(f"_i_{name}") for name, value in values.items()],
+            (F.count(F.lit(1)).over(inside) > 0).alias("_i__any"),
+        )
+        if keep is not None:
+            scanned = scanned.where(keep)
+        return scanned.select(
+            *[F.col(name) for name in df.columns],
+            *[value.combine(F.lit(None), F.col(f"_i_{name}")).alias(name) for name, value in values.items()],
+        )
     rows = df.withColumn("_blk", block_of(order, block))
     summary = rows.groupBy(*keys, "_blk").agg(
         *[value.of_block(F.col(order)).alias(f"_c_{name}") for name, value in values.items()]
@@ -181,18 +196,14 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return limited.withColumn(rank, F.col(rank).cast("long"))
 
 
-def salted_lookup(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],
-    how: str = "left", salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join many rows to one lookup row per key when a key may be hot.
 
-    The lookup (one row per key) is repeated ``salts`` times; the rows of a hot
-    key are spread over as many tasks by the hash of their ``spread`` columns.
+    A small lookup is broadcast after a look at its size.  Else both sides meet by key, and adaptive execution splits
+    the partitions that turn out too large by the tasks that wrote them, repeating only their lookup rows:
+    ``build_session`` lets it do so even where that costs another shuffle.  Nothing is copied for keys that are not hot.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return rows.join(lookup, list(on), how)
 
 
 def number(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:

@@ -13,7 +13,8 @@ a start; else it stays uncorrelated.  It is computed here set-wise:
   the rule for all calls at once.
 * The rule has exactly one labelling that reproduces itself, because a call's
   label depends only on earlier calls.  Starting from "continues the latest call
-  it shares a key with", a few steps reach it; the loop stops only there.
+  it shares a key with", mostly one step confirms it; contested groups of calls are
+  settled in order, and the loop stops only where a step changes nothing.
 * Chain roots and positions come from pointer doubling, in as many rounds as the
   logarithm of the longest chain.
 """
@@ -30,12 +31,13 @@ from usagelake.functions.ordered import (
     BLOCK,
     carry,
     last_value,
+    lookup_join,
     number,
     running_max,
     running_sum,
     running_xor,
-    salted_lookup,
 )
+from usagelake.operators import chain_order
 from usagelake.operators.gateway import MESSAGES, PROTOCOLS, RESPONSES, coverage_percent, is_model_call
 from usagelake.session import cut
 
@@ -105,12 +107,16 @@ def calls_from_exchanges(exchanges: DataFrame) -> DataFrame:
 
 @dataclass
 class Lineage:
-    """Numbered calls, the keys they offer and ask for, and their context sets."""
+    """Numbered calls and the keys they offer and ask for.
+
+    ``nodes`` has each call's context set, its digest ``sig`` and the hash that the set is ``filed`` under.
+    """
 
     nodes: DataFrame
     offers: DataFrame
     asks: DataFrame
-    contexts: DataFrame
+    #: Numbers of calls are below this.
+    total: int
 
 
 def _variants(offering: bool) -> Column:
@@ -134,49 +140,76 @@ def _keys(calls: DataFrame, offering: bool, method: str, values: Column) -> Data
 def lineage(calls: DataFrame, context: bool = True) -> Lineage:
     """Number the calls in time order and spell out their lineage keys.
 
-    A context extends another when it holds all its hashes and more.  Contexts
-    are compared as sets: each distinct set is filed under its rarest hash, and
-    a set asks for what is filed under its own hashes.
+    A context extends another when it holds all its hashes and more.  Each distinct set is filed under its rarest
+    hash, which every set that extends it holds too: a call offers the hash that its set is filed under and asks for
+    each of its own.  So asks are as many as hashes, however many sets contain each other; whether the set that an
+    ask meets is really contained is looked at where one is met.
     """
     scoped = number(calls.where(F.col("protocol").isin(*PROTOCOLS)).select(*CALL_COLUMNS), ["started_us", "id"], "n")
     sets = F.array_sort(F.array_distinct(F.filter(
         F.coalesce("lineage", F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit("")) != "")))
-    nodes = cut(scoped.withColumns({
+    nodes = scoped.withColumns({
         "scope": F.concat_ws("|", "protocol", "profile"), "model": F.coalesce("model", F.lit("")), "lineage": sets,
-        "sig": F.when(F.size(sets) > 0, F.sha2(F.array_join(sets, "\n"), 256))}))
+        "sig": F.when(F.size(sets) > 0, F.sha2(F.array_join(sets, "\n"), 256))})
+    if context:
+        nodes = cut(nodes)
+        held = nodes.where("sig IS NOT NULL").groupBy("scope", "sig").agg(F.first("lineage").alias("lineage"))
+        members = held.select("scope", "sig", F.explode("lineage").alias("h"))
+        uses = members.groupBy("scope", "h").agg(F.count("*").alias("uses"))
+        rarest = lookup_join(members, uses, ["scope", "h"]).groupBy("scope", "sig").agg(
+            F.min_by("h", F.struct("uses", "h")).alias("filed"))
+        nodes = cut(lookup_join(nodes, rarest, ["scope", "sig"]))
+    else:
+        nodes = cut(nodes.withColumn("filed", F.lit(None).cast("string")))
     text = F.array().cast("array<string>")
-    offers = _keys(nodes, True, METHODS[0], F.array(F.coalesce("response_id", F.lit("")))).unionByName(
+    one = lambda c: F.array(F.coalesce(c, F.lit("")))
+    offers = _keys(nodes, True, METHODS[0], one("response_id")).unionByName(
         _keys(nodes, True, METHODS[1], F.coalesce("tool_offers", text)))
-    asks = _keys(nodes, False, METHODS[0], F.array(F.coalesce("previous_response_id", F.lit("")))).unionByName(
+    asks = _keys(nodes, False, METHODS[0], one("previous_response_id")).unionByName(
         _keys(nodes, False, METHODS[1], F.coalesce("tool_asks", text)))
-    contexts = nodes.where("sig IS NOT NULL").groupBy("scope", "sig").agg(F.first("lineage").alias("lineage"))
     if context:
-        contexts = cut(contexts)
-        members = contexts.select("scope", "sig", F.size("lineage").alias("size"), F.explode("lineage").alias("h"))
-        uses = members.groupBy("scope", "h").agg(F.count("*").alias("uses"))
-        rarest = salted_lookup(members, uses, ["scope", "h"], ["sig"]).groupBy("scope", "sig").agg(
-            F.min_by("h", F.struct("uses", "h")).alias("h"), F.first("size").alias("held"))
-        filed = rarest.select("scope", "h", "held", F.col("sig").alias("value"))
-        asked = salted_lookup(members, filed, ["scope", "h"], ["sig"], "inner").where("held < size").select(
-            "scope", "sig", "value")
-        holders = nodes.where("sig IS NOT NULL").select("n", "scope", "model", "sig")
-        offers = offers.unionByName(_keys(holders, True, METHODS[2], F.array("sig")))
-        # Calls with one set share what it asks for; a crowded set is spread.
-        wanting = salted_lookup(holders, asked, ["scope", "sig"], ["n"], "inner")
-        asks = asks.unionByName(_keys(wanting, False, METHODS[2], F.array("value")))
-    return Lineage(nodes, cut(offers.distinct()), cut(asks.distinct()), contexts)
-
-
-def _verified(hits: DataFrame, found: Lineage) -> DataFrame:
-    """Drop context hits whose set is not really contained."""
-    rank = METHODS.index("context_lineage")
-    sure = hits.where(F.col("method") != rank)
-    mine = found.nodes.select("n", "scope", F.col("lineage").alias("_have"))
-    held = found.contexts.select("scope", F.col("sig").alias("value"), F.col("lineage").alias("_need"))
-    checked = salted_lookup(
-        hits.where(F.col("method") == rank).join(mine, "n"), held, ["scope", "value"], ["n"], "inner"
-    ).where(F.size(F.array_except("_need", "_have")) == 0)
-    return sure.unionByName(checked.select(*hits.columns))
+        offers = offers.unionByName(_keys(nodes, True, METHODS[2], one("filed")))
+        asks = asks.unionByName(_keys(nodes, False, METHODS[2], F.col("lineage")))
+    return Lineage(nodes, cut(offers), cut(asks), nodes.count())
+
+
+CONTEXT = METHODS.index("context_lineage")
+
+
+def _contained(pairs: DataFrame, found: Lineage) -> DataFrame:
+    """The (n, other) whose call ``n`` holds all hashes of the call ``other`` and more."""
+    mine = found.nodes.select("n", F.col("lineage").alias("_have"))
+    theirs = found.nodes.select(F.col("n").alias("other"), F.col("lineage").alias("_need"))
+    both = lookup_join(lookup_join(pairs, mine, ["n"], "inner"), theirs, ["other"], "inner")
+    inside = (F.size("_need") < F.size("_have")) & (F.size(F.array_except("_need", "_have")) == 0)
+    return both.where(inside).drop("_have", "_need")
+
+
+def _by_set(asked: DataFrame, found: Lineage) -> tuple[DataFrame, DataFrame]:
+    """Offers and asks by whole sets, for the few asks (n, value: a hash) whose hash does not settle the matter.
+
+    The sets filed under the hash are looked at one by one; an ask is left for each that is really contained.
+    """
+    holders = found.nodes.where("filed IS NOT NULL")
+    rows = asked.select("n", F.col("value").alias("filed")).distinct().join(found.nodes.select("n", "scope"), "n")
+    filed = holders.groupBy("scope", "filed", "sig").agg(F.min("n").alias("other"))
+    wanted = _contained(lookup_join(rows, filed, ["scope", "filed"], "inner").select("n", "other", "sig"), found)
+    calls = found.nodes.select("n", "scope", "model")
+    asks = _keys(wanted.select("n", F.col("sig").alias("_sig")).join(calls, "n"), False, METHODS[2], F.array("_sig"))
+    offering = lookup_join(holders.select("n", "scope", "model", "sig"), wanted.select("sig").distinct(), ["sig"], "left_semi")
+    return _keys(offering, True, METHODS[2], F.array("sig")), asks
+
+
+def _latest(offers: DataFrame, asks: DataFrame, total: int, block: int) -> DataFrame:
+    """(n, value, previous): the latest earlier call that offers a value asked for."""
+    none = F.lit(None)
+    born = offers.select("key", (F.col("n") * 2 + 1).alias("ord"), F.col("n").alias("offer"), none.cast("long").alias("n"),
+                         none.cast("string").alias("value"))
+    asked = asks.select("key", (F.col("n") * 2).alias("ord"), none.cast("long").alias("offer"), "n", "value")
+    hits = carry(born.unionByName(asked), ["key"], "ord", {"previous": running_max(F.col("offer"))}, block,
+                 keep=F.col("n").isNotNull(), top=2 * total).where("previous IS NOT NULL")
+    # A value may be met under two model variants; the later offer counts.
+    return hits.groupBy("n", "value").agg(F.max("previous").alias("previous"))
 
 
 def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> DataFrame:
@@ -185,28 +218,19 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
     ``shared`` counts the keys (response id, tool ids or contexts) that lead to it.
     """
     rank = METHODS.index(method)
-    found = lineage(calls, context=rank == 2)
-    offers = found.offers.where(F.col("method") == rank).select(
-        "key", (F.col("n") * 2 + 1).alias("ord"), F.col("n").alias("offer"), F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("string").alias("value"), "method")
-    asks = found.asks.where(F.col("method") == rank).select(
-        "key", (F.col("n") * 2).alias("ord"), F.lit(None).cast("long").alias("offer"), "n", "value", "method")
-    hits = carry(offers.unionByName(asks), ["key"], "ord", {"previous": running_max(F.col("offer"))}, block,
-                 keep=F.col("n").isNotNull()).where("previous IS NOT NULL")
-    # A value may be met under two model variants; the later offer counts.
-    met = hits.groupBy("n", "value", "method").agg(F.max("previous").alias("previous"))
-    if rank < 2:
-        best = met.select("n", "value", "previous")
+    found = lineage(calls, context=rank == CONTEXT)
+    of = F.col("method") == rank
+    met = _latest(found.offers.where(of), found.asks.where(of), found.total, block)
+    if rank < CONTEXT:
+        best = met
     else:
-        # Contexts are compared from the latest candidate back, until one is contained: mostly the first.
-        best, left = None, cut(met)
-        while not left.isEmpty():
-            tops = left.groupBy("n").agg(F.max(F.struct("previous", "value", "method")).alias("t")).select("n", "t.*")
-            sure = cut(_verified(tops.select("n", "value", "method", "previous"), found).select("n", "value", "previous"))
-            best = sure if best is None else best.unionByName(sure)
-            left = cut(left.join(sure.select("n"), "n", "left_anti").join(tops.select("n", "previous", "value"), ["n", "previous", "value"], "left_anti"))
-        if best is None:
-            best = met.select("n", "value", "previous")
+        # The latest call filed under a hash mostly is contained.  Where it is not, the sets filed there are asked for.
+        met = cut(met)
+        sure = cut(_contained(met.withColumn("other", F.col("previous")), found).drop("other"))
+        rest = cut(met.join(sure.select("n", "value"), ["n", "value"], "left_anti"))
+        best = sure
+        if not rest.isEmpty():
+            best = sure.unionByName(_latest(*_by_set(rest, found), found.total, block))
     counted = best.groupBy("n", "previous").agg(F.count("*").alias("shared")).groupBy("n").agg(
         F.max(F.struct("previous", "shared")).alias("p"))
     names = found.nodes.select("n", "id")
@@ -218,12 +242,7 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
 # ------------------------------------------------------------ chain building
 
 def _guess(found: Lineage, block: int) -> DataFrame:
-    offers = found.offers.select("key", (F.col("n") * 2 + 1).alias("ord"), F.col("n").alias("offer"),
-                                 F.lit(None).cast("long").alias("n"))
-    asks = found.asks.select("key", (F.col("n") * 2).alias("ord"), F.lit(None).cast("long").alias("offer"), "n")
-    hits = carry(offers.unionByName(asks), ["key"], "ord", {"p": running_max(F.col("offer"))}, block,
-                 keep=F.col("n").isNotNull()).where("p IS NOT NULL")
-    best = hits.groupBy("n").agg(F.max("p").alias("parent"))
+    best = _latest(found.offers, found.asks, found.total, block).groupBy("n").agg(F.max("previous").alias("parent"))
     return found.nodes.select("n", "start_shape").join(best, "n", "left").withColumn("torn", F.lit(False))
 
 
@@ -258,25 +277,82 @@ def _paths(labels: DataFrame) -> DataFrame:
     return state
 
 
+def _alive(offers: DataFrame, asks: DataFrame, living: DataFrame, total: int, block: int) -> DataFrame:
+    """Asks that meet a live offer: (n, method, value, alive, which), ``which`` being the call if it is one."""
+    none = F.lit(None).cast("long")
+    mine = offers.select("n", "key").join(living, "n")
+    births = mine.select("key", (F.col("n") * 3 + 2).alias("ord"), F.lit(1).cast("long").alias("d"),
+                         F.col("n").alias("x"), none.alias("n"))
+    ends = mine.where("death IS NOT NULL").select(
+        "key", (F.col("death") * 3 + 1).alias("ord"), F.lit(-1).cast("long").alias("d"), F.col("n").alias("x"), none.alias("n"))
+    moves = births.unionByName(ends).withColumns({"method": F.lit(None).cast("int"), "value": F.lit(None).cast("string")})
+    asked = asks.select("key", (F.col("n") * 3).alias("ord"), F.lit(0).cast("long").alias("d"),
+                        F.lit(0).cast("long").alias("x"), "n", "method", "value")
+    return carry(moves.unionByName(asked), ["key"], "ord",
+                 {"alive": running_sum(F.col("d")), "which": running_xor(F.col("x"))}, block,
+                 keep=F.col("n").isNotNull(), top=3 * total).where("alive > 0").select("n", "method", "value", "alive", "which")
+
+
+def _components(found: Lineage) -> DataFrame:
+    """(n, comp): calls that lineage keys may join, by their least call; others are left out.
+
+    A key joins its calls to its first one.  Each round every call steps to its least neighbour and the links are
+    drawn again between the places stepped to, so rounds are few whatever the shape of a group.
+    """
+    both = found.offers.select("n", "key", F.lit(1).alias("o")).unionByName(found.asks.select("n", "key", F.lit(0).alias("o")))
+    first = both.groupBy("key").agg(F.min("n").alias("m"), F.max("o").alias("_any"), F.min("o").alias("_all")).where("_any > _all")
+    links = cut(lookup_join(both.select("n", "key").distinct(), first.select("key", "m"), ["key"], "inner").where("n <> m").select(
+        F.col("m").alias("a"), F.col("n").alias("b")).distinct())
+    labels = None
+    while not links.isEmpty():
+        least = links.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("to"))
+        lone = links.select(F.col("a").alias("n")).distinct().withColumn("to", F.col("n"))
+        step = cut(least.unionByName(lone).groupBy("n").agg(F.min("to").alias("to")))
+        if labels is None:
+            labels = step.select("n", F.col("to").alias("comp"))
+        else:
+            moved = lookup_join(labels, step.select(F.col("n").alias("comp"), "to"), ["comp"])
+            labels = cut(moved.select("n", F.coalesce("to", "comp").alias("comp")))
+        one = lookup_join(links, step.select(F.col("n").alias("a"), F.col("to").alias("_a")), ["a"], "inner")
+        two = lookup_join(one, step.select(F.col("n").alias("b"), F.col("to").alias("_b")), ["b"], "inner")
+        links = cut(two.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    if labels is None:
+        return links.select(F.col("a").alias("n"), F.col("b").alias("comp"))
+    return labels
+
+
+#: Calls of a contested group that one task may settle in order.
+GROUP_CALLS = 50_000
+
+
+def _settled(found: Lineage, groups: DataFrame, contested: DataFrame, limit: int) -> DataFrame:
+    """Labels of the calls of contested groups of at most ``limit`` calls, by the sequential rule.
+
+    Groups share no key, so each is a world of its own.
+    """
+    torn = contested.join(groups, "n").select("comp").distinct()
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") <= limit)
+    chosen = sizes.join(torn, "comp").select("comp")
+    rows = lookup_join(groups, chosen, ["comp"], "left_semi").join(found.nodes, "n").select(
+        "comp", "n", "model", "start_shape", "response_id", "previous_response_id", "tool_offers", "tool_asks", "lineage", "filed")
+    return rows.repartition("comp").sortWithinPartitions("comp", "n").mapInArrow(chain_order.in_order, chain_order.LABELS)
+
+
 def _step(found: Lineage, paths: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Apply the rule once: new labels, and the live offers they rest on."""
     chained = paths.where("root IS NOT NULL").select("n", "parent", "dist")
     # The root of a chain claims nobody, whatever its pointer says.
     deaths = chained.where("parent IS NOT NULL AND dist > 0").select(F.col("parent").alias("n"), F.col("n").alias("death"))
     living = chained.select("n").join(deaths, "n", "left")
-    offers = found.offers.select("n", "key").join(living, "n")
-    none = F.lit(None).cast("long")
-    births = offers.select("key", (F.col("n") * 3 + 2).alias("ord"), F.lit(1).cast("long").alias("d"),
-                           F.col("n").alias("x"), none.alias("n"))
-    ends = offers.where("death IS NOT NULL").select(
-        "key", (F.col("death") * 3 + 1).alias("ord"), F.lit(-1).cast("long").alias("d"), F.col("n").alias("x"), none.alias("n"))
-    moves = births.unionByName(ends).withColumns({"method": F.lit(None).cast("int"), "value": F.lit(None).cast("string")})
-    asks = found.asks.select("key", (F.col("n") * 3).alias("ord"), F.lit(0).cast("long").alias("d"),
-                             F.lit(0).cast("long").alias("x"), "n", "method", "value")
-    scanned = carry(moves.unionByName(asks), ["key"], "ord",
-                    {"alive": running_sum(F.col("d")), "which": running_xor(F.col("x"))}, block,
-                    keep=F.col("n").isNotNull())
-    hits = cut(_verified(scanned.where("alive > 0").select("n", "method", "value", "alive", "which"), found))
+    scanned = cut(_alive(found.offers, found.asks, living, found.total, block))
+    single = (F.col("method") < CONTEXT) | (F.col("alive") == 1)
+    known = scanned.where(F.col("method") < CONTEXT).unionByName(
+        _contained(scanned.where((F.col("method") == CONTEXT) & single).withColumn("other", F.col("which")), found).drop("other"))
+    crowded = scanned.where(~single)
+    if not crowded.isEmpty():
+        # Several live calls are filed under one hash: which of their sets are contained?
+        known = known.unionByName(_alive(*_by_set(crowded, found), living, found.total, block))
+    hits = cut(known)
     judged = hits.groupBy("n").agg(
         ((F.max("alive") > 1) | (F.min("which") != F.max("which"))).alias("torn"), F.min("which").alias("parent"))
     labels = found.nodes.select("n", "start_shape").join(judged, "n", "left").select(
@@ -297,6 +373,8 @@ class Chains:
     links: DataFrame
     evidence: DataFrame
     uncorrelated: DataFrame
+    #: Steps taken until the labelling reproduced itself.
+    rounds: int = 0
 
 
 def chain_id(root: Column) -> Column:
@@ -305,18 +383,31 @@ def chain_id(root: Column) -> Column:
     return F.concat(F.lit("gwc-"), F.when(tail == "", "unknown").otherwise(tail))
 
 
-def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True) -> Chains:
-    """Chains of model calls.  Call ids must be unique."""
+def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, group_calls: int = GROUP_CALLS) -> Chains:
+    """Chains of model calls.  Call ids must be unique.
+
+    Where the first labelling does not reproduce itself, the groups of calls that keys may join are found, and each
+    contested one of at most ``group_calls`` is settled in one ordered pass; the second step then confirms it.  Only
+    larger groups take further steps, at least one earlier call of each being settled for good in each.
+    """
     found = lineage(calls, context)
     paths = _paths(_guess(found, block))
+    groups, rounds = None, 0
     while True:
         labels, hits = _step(found, paths, block)
+        rounds += 1
         settled = paths.select(
             "n", F.when(F.col("dist") > 0, F.col("parent")).alias("_was"), F.col("torn").alias("_torn"))
         changed = labels.join(settled, "n").where(
             ~(F.col("parent").eqNullSafe(F.col("_was")) & (F.col("torn") == F.col("_torn"))))
+        changed = cut(changed.select("n"))
         if changed.isEmpty():
             break
+        if groups is None:
+            groups = _components(found)
+            sure = cut(_settled(found, groups, changed, group_calls))
+            rest = labels.join(sure.select("n"), "n", "left_anti")
+            labels = cut(rest.unionByName(sure.join(found.nodes.select("n", "start_shape"), "n")))
         paths = _paths(labels)
     names = found.nodes.select("n", "id", "profile", "protocol", "started_us", "model")
     begun = paths.where("dist = 0").select("n")
@@ -324,7 +415,7 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True) ->
     chained = paths.where("root IS NOT NULL").join(names, "n")
     # The calls of one long chain all look up one root: spread them.
     starts = chained.where("dist = 0").withColumn("root_id", F.col("id"))
-    later = salted_lookup(chained.where("dist > 0"), roots, ["root"], ["n"], "inner")
+    later = lookup_join(chained.where("dist > 0"), roots, ["root"], "inner")
     members = starts.unionByName(later).select(
         "root_id", chain_id(F.col("root_id")).alias("chain_id"), (F.col("dist") + 1).alias("call"), "id", "profile", "protocol", "started_us", "model", "n",
         F.when(F.col("dist") > 0, F.col("parent")).alias("parent"))
@@ -345,7 +436,7 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True) ->
         "id", "previous_id", kind.alias("kind"),
         F.when(F.col("method") < 2, F.col("value")).otherwise("component_hashes").alias("value")).distinct()
     rest = paths.where("root IS NULL").select("n").join(names, "n").drop("n")
-    return Chains(members.drop("n", "parent"), links, evidence, rest)
+    return Chains(members.drop("n", "parent"), links, evidence, rest, rounds)
 
 
 # ------------------------------------------------------------- chain reports

@@ -22,7 +22,7 @@ from usagelake.functions.ordered import (
     first_per_key,
     last_value,
     running_count,
-    salted_lookup,
+    lookup_join,
     top_per_key,
 )
 from usagelake.functions.text import clean_path
@@ -48,7 +48,7 @@ def assign_turns(records: DataFrame, keys: Sequence[str] = ("session_id",), orde
     """
     counted = carry(records, keys, order, {"_closed": running_count(F.col(closes))}, block)
     totals = records.groupBy(*keys).agg(F.count_if(F.col(closes)).alias("_turns"))
-    placed = salted_lookup(counted, totals, keys, [order])
+    placed = lookup_join(counted, totals, keys)
     turn = F.coalesce("_closed", F.lit(0)) + 1
     return placed.withColumn("turn_sequence", F.when(turn <= F.col("_turns"), turn)).drop("_closed", "_turns")
 

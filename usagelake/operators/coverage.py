@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.measure import authoritative, ratio
-from usagelake.functions.ordered import carry, running_sum, salted_lookup
+from usagelake.functions.ordered import carry, running_sum, lookup_join
 from usagelake.operators.context import turn_fresh_input
 
 # Sources whose tool output is captured, and the percentiles shown.
@@ -34,7 +34,7 @@ def nearest_rank(values: DataFrame, keys: Sequence[str], value: str,
     )
     low = F.coalesce("_before", F.lit(0))
     # The totals are one row per key; the distinct values of a key are spread.
-    placed = salted_lookup(ranked, totals, keys, [value])
+    placed = lookup_join(ranked, totals, keys)
     picks = []
     for p in percentiles:
         rank = F.greatest(F.expr(f"(samples * {p} + 99) div 100"), F.lit(1))
@@ -49,7 +49,7 @@ def scan_rows(turns: DataFrame, components: DataFrame) -> DataFrame:
     """Components with the fact whether their turn has trusted fresh input."""
     keys = ["source", "session_id", "turn_sequence"]
     linked = turn_fresh_input(turns).select(*keys, authoritative("fresh").alias("linked"))
-    return salted_lookup(components, linked, keys, ["ord"]).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    return lookup_join(components, linked, keys).withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
 def coverage(turns: DataFrame, components: DataFrame, sessions: DataFrame, scope: str) -> DataFrame:

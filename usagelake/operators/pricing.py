@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.measure import available
-from usagelake.functions.ordered import salted_lookup
+from usagelake.functions.ordered import lookup_join
 from usagelake.functions.text import model_of, provider_of
 from usagelake.sources.catalog import price_index
 
@@ -44,7 +44,7 @@ def resolve_prices(turns: DataFrame, profiles: DataFrame) -> DataFrame:
         found = named.join(F.broadcast(index), "alias", "left")
     else:
         # A model everyone uses would be one key: spread its turns.
-        found = salted_lookup(named, index, ["alias"], ["session_id", "sequence"])
+        found = lookup_join(named, index, ["alias"])
     in_force = F.filter(
         "candidates",
         lambda c: c.getField("effective_us").isNull() | F.col("ts_us").isNull()

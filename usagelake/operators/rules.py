@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.measure import available, kind_of
-from usagelake.functions.ordered import first_per_key, salted_lookup
+from usagelake.functions.ordered import first_per_key, lookup_join
 
 # Thresholds in bytes and the least number of repeats.
 MAX_OUTPUT_BYTES = 64 * 1024
@@ -133,7 +133,7 @@ def repeated_call_evidence(components: DataFrame, keys: Sequence[str] = ("sessio
     seen = _occurrences(components, keys)
     groups = seen.groupBy(*group).agg(F.count("*").alias("_n"), F.min("ord").alias("finding_ord")).where(
         F.col("_n") >= MIN_OCCURRENCES)
-    return salted_lookup(seen, groups, group, ["ord"], "inner").select(
+    return lookup_join(seen, groups, group, "inner").select(
         *keys, F.lit(REPEATED[0]).alias("rule_id"), "tool_name", "finding_ord", "turn_id", "turn_sequence", "ord", "tool_call_id",
         "content_bytes", "tokens", "tokens_kind", "completeness",
     )

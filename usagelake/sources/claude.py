@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.functions.ordered import BLOCK, carry, last_value, running_count, running_sum, salted_lookup
+from usagelake.functions.ordered import BLOCK, carry, last_value, running_count, running_sum, lookup_join
 from usagelake.functions.text import parse_time
 from usagelake.operators import usage
 from usagelake.session import cut
@@ -104,14 +104,14 @@ def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
         F.col("items").isNotNull(), results).otherwise(0)})
     # The first record of a message id closes a turn; repeats close nothing.
     firsts = marked.where("_bearing AND message_id <> ''").groupBy("file", "message_id").agg(F.min("line").alias("_first"))
-    joined = salted_lookup(marked, firsts, ["file", "message_id"], ["line"])
+    joined = lookup_join(marked, firsts, ["file", "message_id"])
     closing = F.col("_bearing") & ((F.col("message_id") == "") | (F.col("line") == F.col("_first")))
     counts = (
         F.when(~F.col("_assistant"), F.col("role") != "")
         .otherwise(~(F.col("model") == usage.SYNTHETIC_MODEL) & (~F.col("_bearing") | closing)))
     state = joined.withColumns({"_closes": closing, "_counts": counts}).drop("_first")
     begins = state.where("_counts").groupBy("file").agg(F.min("line").alias("_history_from"))
-    state = salted_lookup(state, begins, ["file"], ["line"])
+    state = lookup_join(state, begins, ["file"])
     speaks = F.when(F.col("_assistant"), F.col("_counts")).otherwise(F.col("role") == "assistant")
     state = state.withColumns({
         # The first message of a file has no history before it to be part of.
@@ -170,9 +170,9 @@ def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
         F.coalesce(F.unix_micros(parse_time(F.col("updated"))), F.col("mtime_us")).alias("updated_us"),
         *[c for c in totals.columns if c != "file"])
     turns = usage.message_turns(kept, ["file"], "ord", block).drop("turn_id")
-    turns = salted_lookup(turns, sessions.select("file", "session_id"), ["file"], ["ord"], "inner").withColumns({
+    turns = lookup_join(turns, sessions.select("file", "session_id"), ["file"], "inner").withColumns({
         "source": F.lit(AGENT),
         "turn_id": F.when(F.col("message_id") != "", F.col("message_id")).otherwise(F.concat_ws("#", "session_id", "sequence"))})
-    finished = salted_lookup(
-        finish_components(components, closes, calls, block), sessions.select("file"), ["file"], ["ord"], "inner")
+    finished = lookup_join(
+        finish_components(components, closes, calls, block), sessions.select("file"), ["file"], "inner")
     return Transcripts(sessions, turns, finished)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.functions.measure import USAGE_METRICS
-from usagelake.functions.ordered import BLOCK, salted_lookup
+from usagelake.functions.ordered import BLOCK, lookup_join
 from usagelake.functions.text import parse_time
 from usagelake.operators import context, usage
 from usagelake.session import cut
@@ -176,8 +176,8 @@ def read(lines: DataFrame, block: int = BLOCK) -> Transcripts:
         F.coalesce(F.unix_micros(parse_time(F.col("updated"))), F.col("mtime_us")).alias("updated_us"),
         *[c for m in USAGE_METRICS for c in (F.col(m), F.col(f"{m}_kind"))])
     # One session row per file meets many turns: spread them.
-    turns = salted_lookup(
-        usage.counter_deltas(counters, ["file"], "ord", block), sessions.select("file", "session_id", "model"), ["file"], ["ord"],
+    turns = lookup_join(
+        usage.counter_deltas(counters, ["file"], "ord", block), sessions.select("file", "session_id", "model"), ["file"],
         "inner",
     ).withColumns({
         "source": F.lit(AGENT), "turn_id": F.concat_ws("#", "session_id", "sequence"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from usagelake.functions.ordered import salted_lookup
+from usagelake.functions.ordered import lookup_join
 from usagelake.operators.gateway import MESSAGES, RESPONSES
 from usagelake.sources.records import get, integers_ok, objects_ok, parsed, strings_ok, text, typed
 
@@ -103,7 +103,7 @@ def fold_frames(frames: DataFrame) -> DataFrame:
     read = read_frames(frames)
     # Nothing after an event that is too large is read.
     limits = read.where("oversized").groupBy("exchange_id").agg(F.min("seq").alias("_limit"))
-    kept = salted_lookup(read, limits, ["exchange_id"], ["seq"]).withColumn(
+    kept = lookup_join(read, limits, ["exchange_id"]).withColumn(
         "_read", F.col("_limit").isNull() | (F.col("seq") < F.col("_limit")))
 
     def last(name: str) -> Column:
