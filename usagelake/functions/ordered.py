@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from usagelake.session import cut
 
 BLOCK = 1 << 20
-SALTS = 16
 
 
 def block_of(order: str | Column, block: int = BLOCK) -> Column:

@@ -190,15 +190,14 @@ def g5_calls(spark, sf_dir):
 
 
 # Two chains whose first calls' ids end alike: every call again under another profile, with another head of its id.
-@query("g1_roots_of_one_tail", ("calls",), "WITH " + ISLANDS + """,
-b AS (SELECT * FROM members WHERE variant = 0)
-SELECT root_id, CAST(call AS BIGINT) AS call, id FROM b
-UNION ALL SELECT 'other-chain-' || substr(root_id, 4), CAST(call AS BIGINT), 'other-chain-' || substr(id, 4) FROM b""")
+@query("g1_roots_of_one_tail", ("calls",), "WITH " + ISLANDS + """
+SELECT root_id, CAST(call AS BIGINT) AS call, id FROM members
+UNION ALL SELECT 'other-chain-' || substr(root_id, 4), CAST(call AS BIGINT), 'other-chain-' || substr(id, 4) FROM members""")
 def g1_one_tail(spark, sf_dir):
-    calls = twin(spark, sf_dir, "calls").where("variant = 0")
+    calls = twin(spark, sf_dir, "calls")
     other = calls.withColumns({
         "id": F.concat(F.lit("other-chain-"), F.substr("id", F.lit(4))), "profile": F.concat(F.lit("other-"), F.col("profile"))})
-    return chains.build_chains(calls.unionByName(other), context=False).members.select("root_id", "call", "id")
+    return chains.build_chains(calls.unionByName(other)).members.select("root_id", "call", "id")
 
 
 @query("t6_newest_chains_first", ("calls",), "WITH " + ISLANDS + """
