@@ -270,27 +270,66 @@ def test_boilerplate_lines(spark):
     assert {d for d, r in got.items() if r.n_boilerplate_words} == set(range(30))
     assert {d for d, r in got.items() if not r.kept} == {0, 1, 2, 3} - {d for d in range(4) if got[d].n_words - got[d].n_boilerplate_words >= 20 and 2 * got[d].n_boilerplate_words <= got[d].n_words}
     assert all(got[100 + k].kept for k in range(40))
-    left = {r.doc_id: r.text for r in quality.stripped(docs, min_documents=10, share=0.05).collect()}
-    assert all(left[k] == rows[k][1].split("\n", 1)[1] for k in range(30)) and left[50] == rows[50][1]
+    left = {r.doc_id: r.text for r in quality.cleaned(docs, min_documents=10, share=0.05).collect()}
+    assert set(left) == {d for d, r in got.items() if r.kept}
+    assert all(left[k] == rows[k][1].split("\n", 1)[1] for k in range(4, 30)) and left[50] == rows[50][1]
 
 
-@pytest.mark.parametrize("template, own, many", [(204, 34, 40), (304, 24, 150)])
+@pytest.mark.parametrize("template, own, many", [(204, 34, 40), (304, 24, 150), (720, 8, 60)])
 def test_documents_of_one_template_each_count(spark, template, own, many):
     rng = random.Random(template)
     shared = "\n".join(_prose(rng, 17, 2000) for _ in range(template // 17))
     rows = [(k, shared + "\n" + _prose(rng, own, 2000), "h") for k in range(many)]
     rows += [(500 + k, _prose(rng, 60, 2000), "h") for k in range(30)]
-    # Near copies, a word changed in each, are one document, and so are copies.
+    # Exact copies are one document.
     base = "\n".join(_prose(rng, 20, 2000) for _ in range(40))
-    rows += [(600 + k, base.replace(base.split("\n")[k], base.split("\n")[k] + "x"), "h") for k in range(30)]
     rows += [(700 + k, base, "h") for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = quality.judge(docs).collect()
     assert {r.doc_id for r in got if not r.kept} == set(range(many))
-    flagged = {r.documents for r in quality.boilerplate(quality.classed(docs, common.keep(quality.measure(docs, [], "source")))).collect()}
+    flagged = {r.documents for r in quality.boilerplate(common.keep(quality.measure(docs, [], "source"))).collect()}
     assert flagged == {many}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_kept_by_brute_force(spark, seed):
+    import re
+
+    rng = random.Random(seed)
+    menu = [f"Menu {_prose(rng, 6)} 17" for _ in range(5)]
+    rows = []
+    for k in range(120):
+        lines = [_prose(rng, rng.randint(3, 14)) for _ in range(rng.randint(0, 6))]
+        lines += [line.replace("17", str(rng.randrange(99))).swapcase() if rng.random() < 0.3 else line for line in menu if rng.random() < 0.4]
+        rng.shuffle(lines)
+        rows.append((k, rng.choice(["\n", "\n\n", " \n"]).join(lines), rng.choice(["a", "a", "b", None])))
+    rows += [(200 + k, rows[2][1], "a") for k in range(40)] + [rows[3], rows[3], (None, rows[4][1], None), (300, None, "a"), (301, "", None)]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    normal = lambda line: re.sub("[0-9]+", "0", " ".join(words(line)).translate({c: c + 32 for c in range(65, 91)}))
+    seen, of = defaultdict(set), defaultdict(set)
+    for _, t, h in rows:
+        if words(t):
+            of[h].add(t)
+            for line in t.split("\n"):
+                if words(line):
+                    seen[h, normal(line)].add(t)
+    bad = {x for x, texts in seen.items() if len(texts) > 10 and len(texts) > 0.05 * len(of[x[0]])}
+    want, left = Counter(), Counter()
+    for d, t, h in rows:
+        n, lost = len(words(t)), sum(len(words(line)) for line in (t or "").split("\n") if (h, normal(line)) in bad)
+        grams = Counter(tuple(words(t)[k : k + 8]) for k in range(n - 7))
+        assert max(grams.values(), default=0) <= 1
+        kept = n >= 20 and n - lost >= 20 and 2 * lost <= n
+        want[d, h, lost, kept] += 1
+        if kept:
+            left[d, h, "\n".join(line for line in t.split("\n") if not words(line) or (h, normal(line)) not in bad)] += 1
+    assert bad
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = quality.judge(docs, ["doc_id", "source"]).collect()
+    assert Counter((r.doc_id, r.source, r.n_boilerplate_words, r.kept) for r in got) == want
+    assert Counter((r.doc_id, r.source, r.text) for r in quality.cleaned(docs).collect()) == left
+
+
 def _targets(sizes, weights, most):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     heft, total = {s: weights[k % 3] for k, s in enumerate(order)}, sum(sizes.values())
@@ -439,6 +478,9 @@ def test_pipeline(spark, docs, empty):
             assert at.columns == columns
     good = [r for r in quality.judge(docs).collect() if r.kept]
     assert Counter(r.doc_id for r in kept["quality"]) == Counter(r.doc_id for r in good)
+    cleaned = Counter((r.doc_id, r.source, r.text) for r in quality.cleaned(docs).collect())
+    assert Counter((r.doc_id, r.source, r.text) for r in kept["quality"]) == cleaned
+    assert all(r.n_chars == len(r.text) for r in kept["quality"])
     _, _, group = _classes(rows := [(r.doc_id, r.text) for r in kept["quality"]])
     assert len(kept["near_duplicates"]) == len(set(group))
     of = {r: g for r, g in zip(rows, group)}

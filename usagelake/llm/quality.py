@@ -5,10 +5,8 @@ looks across documents: lines are normalised and hashed, and each line's distinc
 host.  Lines above the limits are boilerplate of that host; a document that they deplete is rejected.
 
 The limits of a line of a host: more than ``min_documents`` distinct documents, and more than ``share`` of the
-host's distinct documents.  Copies are no sign of boilerplate: documents are counted by their class of near copies,
-whose links are exact Jaccard similarities of at least ``NEAR`` of five-word shingle sets (the join of
-``jaccard``; equal sets are one).  That is far above what documents of one template with a little own text have,
-so each of those counts: with 300 shingles of template and 20 own ones two documents are at 0.88.
+host's distinct documents.  Exact copies of a text are one document (told apart by a 64-bit hash); documents of one
+template each count, however little of their own they have.
 
 One Python pass turns texts into counts and line hashes, written once.  Counting goes by (host, line, document)
 and then (host, line), both with partial aggregation, so neither a hot host nor a hot line meets in one task.
@@ -25,12 +23,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelake.llm import jaccard
 from usagelake.llm.common import keep, table
-from usagelake.llm.hashing import WordHashes, shingles, windows
+from usagelake.llm.hashing import WordHashes, windows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,15 +37,13 @@ REPEATED_PERCENT = 30
 #: A line is boilerplate of a host above both limits.
 MIN_DOCUMENTS = 10
 SHARE = 0.05
-#: Documents of this similarity are near copies and count as one.
-NEAR = 0.95
 #: A document is depleted if boilerplate lines hold more than this share of its words, or leave fewer than MIN_WORDS.
 DEPLETED = 0.5
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "sid binary, size long, signature binary, lines array<long>, line_words array<int>"
+    "lines array<long>, line_words array<int>"
 )
 _NUMBER = re.compile(rb"[0-9]+")
 
@@ -90,12 +85,9 @@ def measured(text: str, known: WordHashes) -> tuple:
             lines.append(xxhash.xxh3_64_intdigest(normal(own)) - 2**63)
             line_words.append(len(own))
     hashes = known.of(words)
-    grams = shingles(hashes, jaccard.SHINGLE)
     spaces = len(raw) - sum(map(len, words))
     return (
-        len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), repeats, repeated_words(hashes),
-        xxhash.xxh3_128_digest(grams.tobytes()), len(grams), jaccard.signature(grams).tobytes() if len(grams) else None,
-        lines, line_words,
+        len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), repeats, repeated_words(hashes), lines, line_words,
     )
 
 
@@ -103,7 +95,7 @@ def _measure(batches: Iterable) -> Iterator:
     import pyarrow as pa
 
     known = WordHashes()
-    types = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.binary()] + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [part.split()[0] for part in MEASURES.split(", ")]
     for batch in batches:
         rows = [measured(t or "", known) for t in batch.column("text").to_pylist()]
@@ -114,26 +106,18 @@ def _measure(batches: Iterable) -> Iterator:
 
 
 def measure(docs: DataFrame, keys: Sequence[str], host: str) -> DataFrame:
-    """``keys``, ``_host``, ``_text``, the base counts, the shingle set's sketch and the lines' hashes and words."""
+    """``keys``, ``_host``, ``_text``, the base counts, and the lines' hashes and words."""
     slim = docs.select(*keys, F.col(host).alias("_host"), F.xxhash64("text").alias("_text"), "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
     return slim.mapInArrow(_measure, f"{fields}, {MEASURES}")
 
 
-def classed(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` of ``measure`` with ``_class``, the least set of the near copies."""
-    slim = docs.select(F.xxhash64("text").alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    sketches = rows.select(F.col("_text").alias("_id"), "_text", "sid", "size", "signature")
-    sets = jaccard.placed(slim, sketches, NEAR).select("sid", F.col("root").alias("_class"))
-    return rows.drop("signature").join(sets, "sid")
-
-
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """(_host, _line, documents) of the lines above the limits, from rows of ``classed``."""
-    texts = rows.where("size > 0").groupBy("_host", "_class").agg(F.lit(1).alias("one"))
+    """(_host, _line, documents) of the lines above the limits, from rows of ``measure``."""
+    texts = rows.where("n_words > 0").groupBy("_host", "_text").agg(F.lit(1).alias("one"))
     hosts = texts.groupBy("_host").agg(F.count("*").alias("of"))
-    seen = rows.select("_host", "_class", F.explode(F.array_distinct("lines")).alias("_line"))
-    per_text = seen.groupBy("_host", "_line", "_class").agg(F.lit(1).alias("one"))
+    seen = rows.select("_host", "_text", F.explode(F.array_distinct("lines")).alias("_line"))
+    per_text = seen.groupBy("_host", "_line", "_text").agg(F.lit(1).alias("one"))
     counts = per_text.groupBy("_host", "_line").agg(F.count("*").alias("documents"))
     many = counts.where(F.col("documents") > min_documents).alias("c")
     return many.join(hosts.alias("h"), F.expr("c._host <=> h._host")).where(
@@ -143,21 +127,26 @@ def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: floa
 
 def judge(
     docs: DataFrame, keys: Sequence[str] = ("doc_id",), host: str = "source",
-    min_documents: int = MIN_DOCUMENTS, share: float = SHARE,
+    min_documents: int = MIN_DOCUMENTS, share: float = SHARE, lines: bool = False,
 ) -> DataFrame:
-    """One row a document: ``keys``, the counts, n_boilerplate_words, base_failed, kept."""
+    """One row a document: ``keys``, the counts, n_boilerplate_words, base_failed, kept.
+
+    With ``lines`` also ``boilerplate``, the hashes of its own lines that are above the limits (null if none).
+    """
     rows = keep(measure(docs, keys, host).withColumn("_row", F.monotonically_increasing_id()))
-    bad = keep(boilerplate(classed(docs, rows), min_documents, share)).alias("b")
-    lines = rows.select("_row", "_host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
-    lines = lines.select("_row", "_host", F.col("l.lines").alias("_line"), F.col("l.line_words").alias("_n")).alias("l")
-    hit = lines.join(bad, F.expr("l._host <=> b._host and l._line = b._line"), "left_semi")
-    lost = hit.groupBy("_row").agg(F.sum("_n").alias("n_boilerplate_words"))
+    bad = keep(boilerplate(rows, min_documents, share)).alias("b")
+    each = rows.select("_row", "_host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    each = each.select("_row", "_host", F.col("l.lines").alias("_line"), F.col("l.line_words").alias("_n")).alias("l")
+    hit = each.join(bad, F.expr("l._host <=> b._host and l._line = b._line"), "left_semi")
+    # A document's own flagged lines are no more than its lines.
+    own = [F.collect_set("_line").alias("boilerplate")] if lines else []
+    lost = hit.groupBy("_row").agg(F.sum("_n").alias("n_boilerplate_words"), *own)
     lost_words = F.coalesce("n_boilerplate_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     depleted = (left < MIN_WORDS) | (F.col("n_boilerplate_words") > DEPLETED * F.col("n_words"))
     return (
-        rows.drop("lines", "line_words", "sid", "size", "signature", "_text", "_host")
+        rows.drop("lines", "line_words", "_text", "_host")
         .join(lost, "_row", "left")
         .withColumn("n_boilerplate_words", lost_words)
         .withColumn("base_failed", failed)
@@ -166,33 +155,52 @@ def judge(
     )
 
 
-def stripped(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """``docs`` with the boilerplate lines taken out of their texts; nothing else changes."""
-    bad = boilerplate(classed(docs, keep(measure(docs, [], host))), min_documents, share)
-    # A flagged line is in more than ``share`` of a host's documents: a host has at most lines per document / share.
-    per_host = bad.groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
-    joined = docs.join(per_host, docs[host].eqNullSafe(per_host["_host"]), "left")
+def _without(batches: Iterable) -> Iterator:
+    import pyarrow as pa
+    import xxhash
 
-    names = docs.columns
+    def one(text: str | None, lines: list[int] | None) -> str | None:
+        if text is None or not lines:
+            return text
+        gone = set(lines)
+        kept = (x for x in text.split("\n") if not (own := x.encode().split()) or xxhash.xxh3_64_intdigest(normal(own)) - 2**63 not in gone)
+        return "\n".join(kept)
 
-    def strip(batches: Iterable) -> Iterator:
-        import xxhash
+    for batch in batches:
+        names = [n for n in batch.schema.names if n != "_boilerplate"]
+        pairs = zip(batch.column("text").to_pylist(), batch.column("_boilerplate").to_pylist())
+        new = pa.array([one(*x) for x in pairs], batch.schema.field("text").type)
+        yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in names], names=names)
 
-        def one(text, lines):
-            if text is None or lines is None or not len(lines):
-                return text
-            gone, out = set(lines), []
-            for line in text.split("\n"):
-                own = line.encode().split()
-                if not own or xxhash.xxh3_64_intdigest(normal(own)) - 2**63 not in gone:
-                    out.append(line)
-            return "\n".join(out)
 
-        for batch in batches:
-            batch["text"] = [one(*x) for x in zip(batch["text"], batch["_lines"])]
-            yield batch[names]
+def without_lines(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` less ``column``, the lines whose hashes it lists taken out of ``text``; nothing else changes."""
+    rest = docs.drop(column)
+    return docs.withColumnRenamed(column, "_boilerplate").select(*[f"`{c}`" for c in rest.columns], "_boilerplate").mapInArrow(_without, rest.schema)
 
-    return joined.select(*names, "_lines").mapInPandas(strip, docs.schema)
+
+def _same(left: str, right: str, *columns: str) -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`_k_{c}`"))
+    return same
+
+
+def cleaned(
+    docs: DataFrame, keys: Sequence[str] = ("doc_id",), host: str = "source",
+    min_documents: int = MIN_DOCUMENTS, share: float = SHARE,
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, without the lines above the limits in their texts; other columns as they are.
+
+    Rows are told apart by ``keys``, ``host`` and the text's hash; rows alike in these get one verdict.
+    """
+    by = list(dict.fromkeys([*keys, host]))
+    slim = docs.select(*by, "text", F.xxhash64("text").alias("_t"))
+    judged = judge(slim, [*by, "_t"], host, min_documents, share, lines=True).where("kept")
+    verdict = judged.groupBy(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_t"]]).agg(F.first("boilerplate").alias("_gone")).alias("k")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *by, F.xxhash64("text").alias("_t")).alias("d")
+    kept = own.join(verdict, _same("d", "k", *by, "_t")).select("row.*", F.col("_gone").alias("_boilerplate"))
+    return without_lines(kept, "_boilerplate")
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
