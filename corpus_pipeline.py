@@ -3,7 +3,8 @@
 quality rules -> n-gram Jaccard join -> substring dedup -> mixing -> packing.  A stage judges all rows that its
 predecessor kept.  All but the last return the columns of ``documents``, in their order:
 
-* ``quality``: documents that the rules reject go; the others stay as they are.
+* ``quality``: documents that the rules reject go; from the texts of the others the lines above the limits go, and
+  ``n_chars`` follows.
 * ``near_duplicates``: of each class of near copies the document of least id stays, once.
 * ``substrings``: windows of 13 words that a document of smaller id has go out of the text; ``n_chars`` follows.
   A document may become empty; it stays.
@@ -16,27 +17,15 @@ along, whatever their names.  An empty table gives an empty result at every stag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.llm import automata, jaccard, mixing, packing, quality
 from usagelake.llm.common import keep, table
 
 
-def _same(left: str, right: str, *columns: str) -> Column:
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return same
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(
-        docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_t")), ["doc_id", "source", "_t"], "source"
-    )
-    kept = judged.where("kept").select("doc_id", "source", "_t").alias("k")
-    own = docs.alias("d")
-    return own.join(kept, _same("d", "k", "doc_id", "source") & (F.xxhash64("d.text") == F.col("k._t")), "left_semi")
+    return quality.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
