@@ -88,8 +88,7 @@ class _Seen(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows: list[tuple[int, int, int]] = []  # hash, symbol, count or -1
-        self.columns = np.empty((0, 3), np.int64)
+        self.columns = np.empty((1024, 3), np.int64)  # hash, symbol, count or -1; grows in place
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -99,25 +98,18 @@ class _Seen(dict):
         symbol, count = -1, -1
         if at < len(self.hashes) and self.hashes[at] == h:
             symbol, count = int(self.symbols[at]), int(self.known[at])
-        self.rows.append((h, symbol if symbol >= 0 else CLUSTERED + ending(word), count))
-        self[word] = got = len(self.columns) + len(self.rows) - 1
+        got = len(self)
+        if got == len(self.columns):
+            self.columns = np.concatenate([self.columns, np.empty_like(self.columns)])
+        self.columns[got] = h, symbol if symbol >= 0 else CLUSTERED + ending(word), count
+        self[word] = got
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > HELD:
             self.reset()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.rows) > 4096 or (self.rows and not len(self.columns)):
-            self.columns = np.concatenate([self.columns, np.array(self.rows, np.int64)])
-            self.rows = []
-        if not self.rows:
-            return self.columns[ids]
-        new = np.array(self.rows, np.int64)
-        old = ids < len(self.columns)
-        out = np.empty((len(ids), 3), np.int64)
-        out[old] = self.columns[ids[old]]
-        out[~old] = new[ids[~old] - len(self.columns)]
-        return out
+        return self.columns[ids]
 
 
 def _symbols(batches: Iterable, lookup) -> Iterator:
