@@ -53,6 +53,20 @@ def test_fold_batch(spark):
     assert facts(frames.fold_frames(spark.createDataFrame(rows(), SCHEMA).repartition(3)).collect()) == WANT
 
 
+def test_names_with_escapes_are_read_and_text_says_nothing(spark):
+    bare = [
+        ("a", 1, MESSAGES, r'{"type":"\u006dessage_start","message":{"id":"m","usage":{"input_tokens":3}}}'),
+        ("a", 2, MESSAGES, '{"type":"content_block_delta","delta":{"text":"usage"},"usage":{"output_tokens":50}}'),
+        ("a", 3, MESSAGES, '{"type":"message_stop"}'),
+        ("b", 1, RESPONSES, r'{"type":"x","\u0075sage":{"input_tokens":4}}'),
+        ("b", 2, RESPONSES, '{"type":"response.output_text.delta","delta":"response"}'),
+        ("b", 3, RESPONSES, '{"type":"response.done"}'),
+        ("c", 1, "other", '{"type":"message_start","usage":{"input_tokens":4}}'),
+    ]
+    got = {r.exchange_id: (r.input_tokens, r.output_tokens, r.terminal) for r in frames.fold_frames(spark.createDataFrame(bare, SCHEMA)).collect()}
+    assert got == {"a": (3, None, True), "b": (4, None, True), "c": (None, None, False)}
+
+
 def test_fold_stream(spark, tmp_path):
     source = tmp_path / "in"
     data = rows()

@@ -39,6 +39,21 @@ FIELDS = (
 DETAILS = {"cache_read_input_tokens": "has_input_details", "reasoning_output_tokens": "has_output_details"}
 
 
+def _may_say() -> Column:
+    """False only for events that say nothing: most of a stream is text, and need not be parsed.
+
+    Names may be written with escapes, so a payload with a backslash may say anything.
+    """
+    def holds(*parts: str) -> Column:
+        found = F.contains("payload", F.lit("\\"))
+        for part in parts:
+            found = found | F.contains("payload", F.lit(part))
+        return found
+
+    return F.when(F.col("protocol") == MESSAGES, holds("message_")).when(
+        F.col("protocol") == RESPONSES, holds('"usage"', '"response"', *ENDS)).otherwise(False)
+
+
 def read_frames(frames: DataFrame) -> DataFrame:
     """What each event says: usage fields, end, response id.  Other events say nothing.
 
@@ -46,7 +61,7 @@ def read_frames(frames: DataFrame) -> DataFrame:
     """
     read = frames.withColumns({
         "oversized": F.octet_length("payload") > MAX_EVENT_BYTES,
-        "v": F.when(F.octet_length("payload") <= MAX_EVENT_BYTES, parsed("payload"))})
+        "v": F.when((F.octet_length("payload") <= MAX_EVENT_BYTES) & _may_say(), parsed("payload"))})
     messages = F.col("protocol") == MESSAGES
     kind = text(".type")
     start, delta, stop = kind == "message_start", kind == "message_delta", kind == "message_stop"
