@@ -69,3 +69,18 @@ def test_lookup_is_a_left_join(spark):
     got = ordered.lookup_join(df, names, ["key"])
     want = df.join(names, "key", "left").select("key", "ord", "v", "flag", "name")
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_one_block_in_all_needs_no_blocks(spark):
+    df = _rows(spark)
+    values = {"s": Running("sum", F.col("v")), "p": previous_row(F.col("v")), "x": running_xor(F.coalesce("v", F.lit(0)))}
+    known = carry(df, ["key"], "ord", values, top=400)
+    assert sorted(map(str, known.collect())) == sorted(map(str, carry(df, ["key"], "ord", values, block=7).collect()))
+    assert "_blk" not in known._jdf.queryExecution().toString()
+
+
+def test_top_of_many_is_the_same_however_often_dealt(spark):
+    df = spark.range(9000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 9001).alias("v"))
+    got = ordered.top_per_key(df, ["k"], [F.col("v").desc()], 1500)
+    want = [sorted((i * 7919 % 9001 for i in range(k, 9000, 2)), reverse=True)[:1500] for k in (0, 1)]
+    assert [[r.v for r in got.where(F.col("k") == k).orderBy("_rn").collect()] for k in (0, 1)] == want

@@ -188,7 +188,9 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     """
     if n > GROUP_LIMIT:
         part = Window.partitionBy(*keys, "_part").orderBy(*order)
-        dealt = df.withColumn("_part", F.floor(F.rand(7) * 64))
+        # By the row's own values: a task that runs again deals its rows alike.
+        plain = [F.col(f.name) for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+        dealt = df.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(64)))
         df = dealt.withColumn("_rp", F.row_number().over(part)).where(F.col("_rp") <= n).drop("_rp", "_part")
     window = Window.partitionBy(*keys).orderBy(*order)
     limited = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
