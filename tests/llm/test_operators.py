@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from usagelake.llm import brown, common, content, fingerprints, jaccard, mixing, packing, quality, urls
@@ -426,6 +427,47 @@ def test_field_learns_layouts(spark):
     assert content.extract(frame.where("false")).collect() == []
 
 
+def test_formulas_objects_and_script_notes_keep_their_text():
+    page = (
+        "<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> then <object data=a><param name=b>a plan"
+        "</object> holds <noscript>as drawn </noscript>here.</p><noscript><p>A table stands here.</p></noscript>"
+        "<p>See <picture><source srcset=x><img src=y></picture>it.</p></article>"
+    )
+    assert [b.text for b in content.blocks(page)] == ["If x=2 then a plan holds as drawn here.", "A table stands here.", "See it."]
+    field = content.train([f"<nav><a href=/>Home</a></nav><article><h1>T</h1><p>{_prose(random.Random(k), 20)}.</p></article>" for k in range(40)])
+    menu = "<body><nav><a href=/>Home</a></nav>"
+    assert content.main_text(menu + page, field).count("\n\n") == 2
+    note = "<noscript>Please enable JavaScript.</noscript>"
+    assert content.main_text(note + menu + page, field) == content.main_text(menu + page, field)
+
+
+def test_tables_without_marked_pages_are_not_emptied(spark):
+    rng = random.Random(8)
+    mains = [[_prose(rng, rng.randint(15, 60)).capitalize() + "." for _ in range(rng.randint(2, 6))] for _ in range(60)]
+    html = [
+        "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>About</a></li></ul></nav><div class=\"content\">"
+        + "".join(f"<p>{t}</p>" for t in body) + f"</div><footer>© {k} all rights reserved</footer></body></html>"
+        for k, body in enumerate(mains)]
+    rows = [(k if k % 2 else None, f"u{k}", h) for k, h in enumerate(html)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.url: r.text for r in content.extract(frame).collect()}
+    assert sum(got[f"u{k}"] == "\n\n".join(body) for k, body in enumerate(mains)) >= 57
+    assert all(got.values())
+    # Rows without any id, and one page alone.
+    nameless = content.extract(frame.withColumn("page_id", F.lit(None).cast("long"))).collect()
+    assert len(nameless) == 60 and all(r.text for r in nameless)
+    short = spark.createDataFrame([(1, "u", "<div><p>Hi there, this is all.</p></div>"), (2, "v", ""), (3, "w", None)], frame.schema)
+    assert {r.url: r.text for r in content.extract(short).collect()} == {"u": "Hi there, this is all.", "v": "", "w": ""}
+
+
+def test_very_long_page():
+    rng = random.Random(9)
+    body = [_prose(rng, 30).capitalize() + "." for _ in range(20_000)]
+    field = content.train([f"<nav><a href=/>Home</a></nav><article><h1>T</h1><p>{_prose(random.Random(k), 20)}.</p></article>" for k in range(40)])
+    page = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in body) + "</article>"
+    assert content.main_text(page, field) == "\n\n".join(body)
+
+
 def test_viterbi_is_the_best_path_and_marginals_sum(spark):
     rng = random.Random(6)
     field = content.Field()

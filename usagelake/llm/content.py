@@ -7,13 +7,17 @@ tells main text from the rest.
 
 It is trained by gradient ascent on the likelihood of labelled pages: a bounded sample of ``SAMPLE`` pages that
 mark their main text themselves (``article`` or ``main``), and ``LAYOUTS`` other layouts of each, in which the same
-blocks stand in other containers and among other furniture, so that no single tag is what is learnt.
+blocks stand in other containers and among other furniture, so that no single tag is what is learnt.  Where fewer
+pages mark their main text, unmarked ones fill the sample: of these the prose is set in such layouts, and their own
+layout teaches nothing.
 
 Pages are independent rows: no shuffle, and the model is a few thousand numbers.
 
 Defined cases: a null or empty page has an empty text; broken markup is read as browsers do, roughly: unclosed
 paragraphs end where the next begins, stray end tags mean nothing, and an unfinished tag is dropped; repeated rows
-get equal texts; an empty table gives an empty result.
+get equal texts; an empty table gives an empty result; a table without any marked page is learnt from layouts alone.
+Text of ``math``, ``object`` and ``noscript`` is text like other; a formula does not end its sentence, nor does what
+stands for an ``object`` or, in a paragraph, for a script.
 """
 
 from __future__ import annotations
@@ -38,13 +42,16 @@ LAYOUTS = 5
 ROUNDS = 10
 RATE = 0.3
 DECAY = 1e-3
+PROSE = 12
 
 #: Elements of HTML whose text is no text of the page.
-RAW = frozenset("script style noscript template textarea select option svg math iframe object title head".split())
+RAW = frozenset("script style template textarea select option svg iframe annotation annotation-xml title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym area audio b bdi bdo big br canvas cite code data del dfn em embed font i img ins kbd label link map "
+    "mark meta object param picture q rp rt ruby s samp small source span strike strong sub sup time track tt u var video wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: Elements that hold a block; the next such one in the same container has the same parent.
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th pre blockquote figcaption caption label legend summary".split())
@@ -79,7 +86,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple, int]] = []  # tag, parts of class and id names, number of the element
+    stack: list[tuple[str, tuple, int]] = []  # tag, parts of class and id names, number of the block element or 0
     parts: list[str] = []
     at = number = links = linked = 0
 
@@ -88,7 +95,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                held = [s for s in stack if s[0] not in INLINE]
+                held = [s for s in stack if s[2]]
                 out.append(Block(
                     text, tuple(s[0] for s in held), frozenset(n for s in held for n in s[1]),
                     held[-2][2] if len(held) > 1 and held[-1][0] in LEAVES else held[-1][2] if held else 0, linked / max(len(text), 1),
@@ -96,6 +103,9 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def in_leaf(held):
+        return any(s[0] in LEAVES for s in held)
+
     def put(raw):
         nonlocal linked
         text = entities.unescape(raw) if "&" in raw else raw
@@ -121,7 +131,8 @@ def blocks(page: str) -> list[Block]:
             if tag == "p" and not any(s[0] == "p" for s in stack):
                 flush()
                 continue
-            if tag not in INLINE:
+            inline = tag in INLINE or tag == "noscript" and (tag, (), 0) in stack and in_leaf(stack[: stack.index((tag, (), 0))])
+            if not inline:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -129,7 +140,7 @@ def blocks(page: str) -> list[Block]:
                         links -= gone[0] == "a"
                     del stack[k:]
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if inline and stack[k][2]:
                     break
             continue
         if tag in RAW and not attributes.endswith("/"):
@@ -137,14 +148,16 @@ def blocks(page: str) -> list[Block]:
                 stop = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
             else:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag not in ("svg", "math", "option", "select", "iframe"):
+            if tag not in ("svg", "annotation", "annotation-xml", "option", "select", "iframe"):
                 flush()
             at = stop.end() if stop else end
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in INLINE:
+        if tag == "noscript" and not in_leaf(stack):
+            flush()
+        if tag in INLINE or tag == "noscript":  # what stands for a script belongs where the script does
             if tag not in VOID:
                 stack.append((tag, (), 0))
                 links += tag == "a"
@@ -158,7 +171,7 @@ def blocks(page: str) -> list[Block]:
                     links -= gone[0] == "a"
                 del stack[k:]
                 break
-            if stack[k][0] not in INLINE and stack[k][0] != "p":
+            if stack[k][2] and stack[k][0] != "p":
                 break
         number += 1
         words = set()
@@ -173,7 +186,7 @@ def blocks(page: str) -> list[Block]:
 #: Words that tell furniture; a fixed list of common English web terms.
 TELLING = frozenset(
     "cookie cookies subscribe newsletter copyright privacy terms login register share tweet comment comments reply "
-    "advertisement sponsored related menu search sitemap rights reserved contact sign follow".split()
+    "advertisement sponsored related menu search sitemap rights reserved contact sign follow enable javascript".split()
 )
 
 
@@ -287,16 +300,16 @@ class Field:
 
 #: Containers that never hold main text, inside an article too.
 ASIDE = frozenset("nav aside form footer".split())
-MAIN_NAMES = (("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("section", "article-text"), ("div", "story"), ("td", "main-content"), ("article", "post"))
+MAIN_NAMES = (("article", ""), ("main", ""), ("div", ""), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("section", "article-text"), ("div", "story"), ("td", "main-content"), ("article", "post"))
 #: Furniture: tag, class or id name, tag of its blocks.
 FURNITURE = (
-    ("nav", "", "li"), ("nav", "menu", "li"), ("div", "menu", "li"), ("ul", "breadcrumb", "li"), ("header", "", "p"), ("header", "site-header", "div"),
+    ("noscript", "", ""), ("nav", "", "li"), ("nav", "menu", "li"), ("div", "menu", "li"), ("ul", "breadcrumb", "li"), ("header", "", "p"), ("header", "site-header", "div"),
     ("div", "header", "p"), ("aside", "", "p"), ("aside", "sidebar", "li"), ("div", "sidebar", "p"), ("div", "related", "li"), ("div", "ad", "p"), ("div", "ad", ""),
     ("div", "ads banner", "p"), ("div", "advert", "p"), ("div", "sponsored promo", "p"), ("div", "cookie-notice", "p"), ("div", "cookie banner", ""),
     ("div", "notice", "p"), ("div", "alert consent", "p"), ("form", "", "p"), ("form", "search", "label"), ("form", "newsletter subscribe", "p"), ("div", "share social", "li"),
     ("div", "comments", "p"), ("section", "comments", "p"), ("div", "comment", "p"), ("ul", "comment-list", "li"), ("div", "footer", "p"), ("footer", "", "p"), ("footer", "site-footer", ""),
 )
-FRONT = 20  # of FURNITURE, those that may stand before the main text
+FRONT = 21  # of FURNITURE, those that may stand before the main text
 
 
 def labelled(page: str) -> tuple[list[Block], list[int]]:
@@ -306,6 +319,16 @@ def labelled(page: str) -> tuple[list[Block], list[int]]:
     return found, [int(x) for x in main]
 
 
+def prose(found: list[Block]) -> list[int]:
+    """Labels by a rule for pages that mark nothing: blocks of ``PROSE`` words outside furniture, else the longest one."""
+    free = [not FURNITURE_TAGS.intersection(b.path) and FURNITURE_NAMES.isdisjoint(b.names) and b.linked < 0.5 for b in found]
+    long = [int(ok and len(b.text.split()) >= PROSE) for b, ok in zip(found, free)]
+    if found and not any(long):
+        best = max(range(len(found)), key=lambda k: (free[k], len(found[k].text), -k))
+        long[best] = 1
+    return long
+
+
 def layout(main: list[tuple[str, str]], other: list[str], rng: random.Random) -> tuple[str, list[int]]:
     """Another page of the same main blocks (tag, text), and its blocks' labels."""
     labels: list[int] = []
@@ -335,7 +358,7 @@ def layout(main: list[tuple[str, str]], other: list[str], rng: random.Random) ->
     out.append(("<table><tr>" if tag == "td" else "") + f"<{tag}" + (f' class="{name}"' if name else "") + ">")
     for kind, text in main:
         if rng.random() < 0.08:
-            out.append(furniture([f for f in FURNITURE[7:FRONT]]))
+            out.append(furniture([f for f in FURNITURE[8:FRONT]]))
         kind = rng.choice(("p", "p", "p", "p", "li", "blockquote", "h2")) if kind not in ("h1",) else kind
         labels.append(1)
         out.append(f"<ul><li>{esc(text)}</li></ul>" if kind == "li" else f"<{kind}>{esc(text)}</{kind}>")
@@ -349,11 +372,14 @@ def layout(main: list[tuple[str, str]], other: list[str], rng: random.Random) ->
 
 def train(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> Field:
     rng, examples, mains = random.Random(seed), [], []
-    pool = ["Home", "About us", "Contact", "All rights reserved.", "We use cookies.", "Subscribe to our newsletter.", "Advertisement"]
+    pool = ["Home", "About us", "Contact", "All rights reserved.", "We use cookies.", "Subscribe to our newsletter.", "Advertisement", "Please enable JavaScript."]
     for page in pages:
         found, labels = labelled(page)
-        if found:
+        if not any(labels):
+            labels = prose(found)
+        else:
             examples.append((features(found), steps(found), labels))
+        if found:
             mains.append([(b.path[-1] if b.path else "p", b.text) for b, y in zip(found, labels) if y][:40])
             pool += [b.text[:300] for b, y in zip(found, labels) if not y][:4]
     for main in mains:
@@ -374,11 +400,14 @@ def main_text(page: str, field: Field) -> str:
 
 
 def sample(pages: DataFrame, id_column: str, most: int = SAMPLE) -> list[str]:
-    """Pages that mark their main text, at most ``most``, chosen by the hash of their ids."""
-    marked = pages.where(F.lower("html").rlike("<(article|main)[ >]"))
-    ids = [r[0] for r in marked.select(id_column, F.xxhash64(F.col(id_column)).alias("_h")).orderBy("_h", id_column).limit(most).collect()]
-    chosen = marked.where(F.col(id_column).isin([i for i in ids if i is not None])).select(id_column, "html").limit(most)
-    return [r["html"] for r in sorted(chosen.collect(), key=lambda r: (r[0], r["html"]))]
+    """At most ``most`` pages, those that mark their main text first, chosen by the hash of their ids."""
+    spare = ~F.lower("html").rlike("<(article|main)[ >]")
+    key, whole = F.xxhash64(id_column), F.xxhash64(id_column, "html")
+    slim = pages.where("html <> ''").select(spare.alias("_s"), key.alias("_h"), F.col(id_column).alias("_i"), whole.alias("_w"))
+    ids = {r["_w"] for r in slim.orderBy("_s", "_h", "_i", "_w").limit(most).collect()}
+    chosen = pages.select(key.alias("_h"), whole.alias("_w"), "html").where(F.col("_w").isin(list(ids)))
+    rows = chosen.groupBy("_h", "_w").agg(F.min("html").alias("html")).collect() if ids else []
+    return [r["html"] for r in sorted(rows, key=lambda r: (r["_h"], r["_w"]))]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", field: Field | None = None) -> DataFrame:
