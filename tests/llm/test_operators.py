@@ -401,13 +401,14 @@ def test_blocks_and_text():
         content.blocks(broken)
 
 
+def _page(rng, k):
+    body = "".join(f"<p>{_prose(rng, rng.randint(5, 60)).capitalize()}.</p>" for _ in range(rng.randint(1, 6)))
+    return f"<html><body><nav><ul><li><a href='/'>{WORDS[k]}</a></li></ul></nav><article><h1>{_prose(rng, 6)}</h1>{body}</article><footer>© {_prose(rng, 4)}</footer></body></html>"
+
+
 def test_field_learns_layouts(spark):
     rng = random.Random(3)
-    def page(k):
-        body = "".join(f"<p>{_prose(rng, rng.randint(5, 60)).capitalize()}.</p>" for _ in range(rng.randint(1, 6)))
-        return f"<html><body><nav><ul><li><a href='/'>{WORDS[k]}</a></li></ul></nav><article><h1>{_prose(rng, 6)}</h1>{body}</article><footer>© {_prose(rng, 4)}</footer></body></html>"
-
-    pages = [page(k) for k in range(80)]
+    pages = [_page(rng, k) for k in range(80)]
     field = content.train(pages[:60])
     right = total = 0
     for p in pages[60:]:
@@ -434,7 +435,7 @@ def test_formulas_objects_and_script_notes_keep_their_text():
         "<p>See <picture><source srcset=x><img src=y></picture>it.</p></article>"
     )
     assert [b.text for b in content.blocks(page)] == ["If x=2 then a plan holds as drawn here.", "A table stands here.", "See it."]
-    field = content.train([f"<nav><a href=/>Home</a></nav><article><h1>T</h1><p>{_prose(random.Random(k), 20)}.</p></article>" for k in range(40)])
+    field = content.train([_page(random.Random(k), k) for k in range(60)])
     menu = "<body><nav><a href=/>Home</a></nav>"
     assert content.main_text(menu + page, field).count("\n\n") == 2
     note = "<noscript>Please enable JavaScript.</noscript>"
@@ -463,7 +464,7 @@ def test_tables_without_marked_pages_are_not_emptied(spark):
 def test_very_long_page():
     rng = random.Random(9)
     body = [_prose(rng, 30).capitalize() + "." for _ in range(20_000)]
-    field = content.train([f"<nav><a href=/>Home</a></nav><article><h1>T</h1><p>{_prose(random.Random(k), 20)}.</p></article>" for k in range(40)])
+    field = content.train([_page(random.Random(k), k) for k in range(60)])
     page = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in body) + "</article>"
     assert content.main_text(page, field) == "\n\n".join(body)
 
