@@ -162,6 +162,29 @@ def test_ingest_append_and_purge(spark, tmp_path):
     assert {(r.input_tokens, r.usage_source) for r in flat} == {(0, MESSAGES), (1, MESSAGES), (2, MESSAGES)}
 
 
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    """A run that dies between the write and its commit writes the same batch again."""
+    source, table, state = tmp_path / "cap", str(tmp_path / "table"), tmp_path / "ck"
+    source.mkdir()
+
+    def run():
+        ingest.ingest(ingest.capture_stream(spark, str(source)), table, str(state)).awaitTermination(120)
+
+    (source / "a.jsonl").write_text("\n".join([capture(0, "p1"), capture(1, "p2")]) + "\n")
+    run()
+    (source / "b.jsonl").write_text(capture(2, "p1") + "\n")
+    run()
+    want = sorted(r.id for r in spark.read.parquet(table).collect())
+    assert want == ["gw-0", "gw-1", "gw-2"]
+    last = max((p for p in (state / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    for crc in (state / "commits").glob(".*.crc"):
+        if crc.name == f".{last.name}.crc":
+            crc.unlink()
+    run()
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == want
+
+
 def test_bad_capture_lines(spark, tmp_path):
     import pytest
 

@@ -61,11 +61,36 @@ def test_lines_are_numbered_across_splits(spark, write_lines):
 def test_newest_files(spark, write_lines):
     import os
 
-    root = write_lines("old.jsonl", ["{}"])
-    write_lines("new.jsonl", ["{}"])
-    os.utime(root + "/old.jsonl", (1, 1))
-    lines = jsonl.newest_files(jsonl.read_lines(spark, root), 1)
-    assert [r.file.split("/")[-1] for r in lines.collect()] == ["new.jsonl"]
+    root = write_lines("old one.jsonl", ["{}"])
+    write_lines("deep/er/new é.jsonl", ["{}", "", "[1]"])
+    write_lines("deep/tie.jsonl", ["{}"])
+    write_lines("skip.txt", ["x"])
+    for name, at in (("old one.jsonl", 1), ("deep/er/new é.jsonl", 9), ("deep/tie.jsonl", 9)):
+        os.utime(f"{root}/{name}", (at, at))
+    listed = jsonl.list_files(spark, root)
+    assert sorted((r.mtime_us, r.bytes) for r in listed.collect()) == [(1_000_000, 3), (9_000_000, 3), (9_000_000, 8)]
+    assert [r.mtime_us for r in jsonl.newest_files(listed, 2).collect()] == [9_000_000] * 2
+    everything = jsonl.read_lines(spark, root)
+    assert {r.file for r in everything.collect()} == {r.file for r in listed.collect()}
+    lines = jsonl.read_lines(spark, root, newest=1)
+    assert sorted((r.line, r.raw) for r in lines.collect()) == [(1, "{}"), (2, ""), (3, "[1]")]
+    assert jsonl.read_lines(spark, root, newest=0).collect() == []
+    assert jsonl.read_lines(spark, root, newest=9).count() == 5
+
+
+def test_files_that_are_not_chosen_are_not_opened(spark, write_lines):
+    import os
+
+    root = write_lines("small.jsonl", ["{}"])
+    with open(f"{root}/huge.jsonl", "wb") as f:
+        f.truncate(3 << 30)  # one record that no string can hold
+    os.utime(f"{root}/huge.jsonl", (1, 1))
+    try:
+        listed = {r.file.split("/")[-1]: r.bytes for r in jsonl.list_files(spark, root).collect()}
+        assert listed == {"small.jsonl": 3, "huge.jsonl": 3 << 30}
+        assert [r.raw for r in jsonl.read_lines(spark, root, newest=1).collect()] == ["{}"]
+    finally:
+        os.remove(f"{root}/huge.jsonl")
 
 
 def test_codex_session(spark, write_lines):
