@@ -387,6 +387,47 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages.where("page_id < 40"), labels.where("false")).collect()} == {"allow"}
 
 
+def test_differing_branches_locate_edits(spark):
+    rng = random.Random(12)
+    rows = [("", ""), ("", "One. Two."), ("One. Two.", ""), ("Same. Same. Same.", "Same. Same."), ("A. B. C.", "A. B. C."), ("x" * 5000, "x" * 4000 + "y")]
+    for _ in range(30):
+        parts = [f"{_prose(rng, rng.randint(2, 9))}{rng.choice(('.', '!', chr(10)))} " for _ in range(rng.randint(1, 120))]
+        other = list(parts)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(other) + 1)
+            other[k : k + rng.randint(0, 2)] = rng.choice(([], ["An edit. "], ["An edit. ", parts[0]]))
+        rows.append(("".join(parts), "".join(other)))
+    whole = ["".join(f"Sentence {k} of {j}. " for k in range(3000)) for j in (1, 2)]
+    rows += [(whole[0], whole[0].replace("Sentence 1500 of 1.", "Sentence edited.")), (whole[0], whole[1])]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, x string, y string").repartition(4)
+    leaves = frame.select("*", fingerprints.paragraphs(F.col("x")).alias("a"), fingerprints.paragraphs(F.col("y")).alias("b"))
+    got = leaves.select(
+        "*", fingerprints.differing(F.col("a"), F.col("b")).alias("ab"), fingerprints.differing(F.col("b"), F.col("a")).alias("ba")
+    ).select("*", fingerprints.paragraph_texts(F.col("x"), F.col("ab")).alias("old"), fingerprints.paragraph_texts(F.col("y"), F.col("ba")).alias("new"))
+
+    def tree(leaves):
+        out, section = [], []
+        for x in leaves:
+            section.append(x)
+            if x[0] in "01":
+                out.append(tuple(section))
+                section = []
+        return out + [tuple(section)] * bool(section)
+
+    def only(a, b):
+        left = Counter(tree(a)) - Counter(tree(b)), Counter(tree(b)) - Counter(tree(a))
+        count = lambda c: Counter(x for s, n in c.items() for x in s * n)
+        return count(left[0]) - count(left[1])
+
+    for r in got.collect():
+        assert Counter(x.leaf for x in r.ab) == only(r.a, r.b) and Counter(x.leaf for x in r.ba) == only(r.b, r.a), r.id
+        assert all(r.a[x.paragraph] == x.leaf for x in r.ab) and len(r.old) == len(r.ab) and None not in r.old
+        assert all(x.section < len(tree(r.a)) and x.leaf in tree(r.a)[x.section] for x in r.ab)
+        assert (r.x == r.y) == (not r.ab and not r.ba) or sorted(r.a) == sorted(r.b)
+        if r.id == len(rows) - 2:
+            assert (r.old, r.new) == (["Sentence 1500 of 1. "], ["Sentence edited. "])
+
+
 PAGE = (
     "<html><head><title>T &amp; x</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>"
     "<article><h1>A  title</h1><p><b>One\n two &eacute;&#33;.<br>three.<p>Four &lt;five&gt;, six and seven.</p>"

@@ -5,7 +5,7 @@ A section is a run of paragraphs that ends where a paragraph's own hash says so,
 edit moves no section border beyond its neighbourhood.  A paragraph of more than ``LONG`` characters is cut on where a hash
 of ``SEEN`` neighbouring characters says so, about every ``PIECE``, and after ``LONG`` characters at the latest.  A section's hash covers its paragraphs' hashes, the root
 covers the sections' hashes.  Equal roots mean equal texts; below unequal roots the unequal sections, and in them
-the unequal paragraphs, locate the edits.
+the unequal paragraphs, locate the edits (:func:`differing`).
 
 The fingerprint is one string, ``root|sections|paragraphs``: the root's SHA-256 in hex, eight hex digits for each
 section, and ``hash.length`` for each paragraph.  Two fingerprints give a likeness without their texts: twice the
@@ -137,6 +137,68 @@ def likeness(a: Column, b: Column) -> Column:
     return alike(numbered(a), numbered(b))
 
 
+def _branches(leaves: Column) -> Column:
+    """array<struct<hash, section, first, leaves>> of the tree's sections, ``first`` the number of its first paragraph."""
+    def cut(hashes):
+        n = F.size(leaves)
+        last = F.lit("0123456789abcdef"[: 16 // SECTION])
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.contains(last, F.substring(F.get(leaves, i - 1), 1, 1)))
+        first = lambda at, j: F.coalesce(F.get(at, j - 1), F.lit(0))
+        return _let(ends, lambda at: F.transform(at, lambda end, j: F.struct(
+            F.get(hashes, j).alias("hash"), j.alias("section"), first(at, j).alias("first"),
+            F.slice(leaves, first(at, j) + 1, end - first(at, j)).alias("leaves"),
+        )))
+
+    return F.when(F.size(leaves) > 0, _let(sections(leaves), cut)).otherwise(
+        F.array().cast("array<struct<hash: string, section: int, first: int, leaves: array<string>>>")
+    )
+
+
+def _unmatched(a: Column, b: Column) -> Column:
+    """Positions in ``a`` of the entries beyond those of ``b``; of equal ones the last.  One sort of both lists."""
+    side = lambda x, which: F.transform(x, lambda h, i: F.struct(h.alias("h"), F.lit(which).alias("s"), i.alias("i")))
+
+    def runs(both):
+        n = F.size(both)
+        changes = lambda i: (i == 0) | (F.get(both, i)["h"] != F.get(both, i - 1)["h"])
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), changes)
+
+        def rest(run):
+            others = F.size(F.filter(run, lambda x: x["s"] == 1))
+            return F.slice(run, others + 1, F.greatest(F.size(run) - 2 * others, F.lit(0)))
+
+        return _let(firsts, lambda at: F.flatten(F.transform(
+            at, lambda i, j: _let(F.slice(both, i + 1, F.coalesce(F.get(at, j + 1), n) - i), rest)
+        )))
+
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    return F.when(F.size(a) > 0, F.sort_array(F.transform(_let(both, runs), lambda x: x["i"]))).otherwise(F.array().cast("array<int>"))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Where the tree over paragraphs ``a`` departs from ``b``'s: array<struct<section, paragraph, leaf>>, numbered from 0.
+
+    From the root down: equal section lists settle all; a section that ``b`` has too, as often, settles its paragraphs;
+    only the other sections' paragraphs are compared.  What ``b`` has and ``a`` has not is ``differing(b, a)``.
+    A section or paragraph that only moved is no difference.
+    """
+    def below(here, there):
+        odd = lambda x, y: F.transform(_unmatched(x["hash"], y["hash"]), lambda i: F.get(x, i))
+        spread = lambda found: F.flatten(F.transform(found, lambda s: F.transform(s["leaves"], lambda leaf, k: F.struct(
+            s["section"].alias("section"), (s["first"] + k).alias("paragraph"), leaf.alias("leaf")
+        ))))
+        mine, other = spread(odd(here, there)), spread(odd(there, here))
+        return _let(mine, lambda m: F.transform(_unmatched(m["leaf"], other["leaf"]), lambda i: F.get(m, i)))
+
+    none = F.array().cast("array<struct<section: int, paragraph: int, leaf: string>>")
+    return F.when(a == b, none).otherwise(_let(_branches(a), lambda x: _let(_branches(b), lambda y: below(x, y))))
+
+
+def paragraph_texts(text: Column, found: Column) -> Column:
+    """The texts of the paragraphs that :func:`differing` names."""
+    return _let(_paragraph_texts(text), lambda all_: F.transform(found, lambda x: F.get(all_, x["paragraph"])))
+
+
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, text, leaves, next_text, next_leaves): each document with its successor; the last one's is the first."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
