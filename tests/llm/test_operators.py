@@ -543,6 +543,71 @@ def test_brown(docs, empty):
     assert brown.score(empty, passes=1).collect() == []
 
 
+def test_brown_scores_by_their_formula(docs):
+    """Transitions and emissions by hand, under the classes that stand before any exchange."""
+    import xxhash
+
+    rows = [(d, t) for d, t, _ in ROWS]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    words = lambda t: (t or "").encode().lower().split()
+    counts = Counter(w for d, t in rows if not held(d) for w in words(t))
+    assert 0 < len(counts) < brown.CLUSTERED
+    ranked = sorted(counts, key=lambda w: (-counts[w], xxhash.xxh3_64_intdigest(w)))
+    end = brown.CLASSES - 1
+    own = {w: k % end for k, w in enumerate(ranked)}
+    kind = lambda w: own[w] if w in own else (brown.CLUSTERED + brown.ending(w)) % end
+    pairs, rowsum, size, distinct = Counter(), Counter(), Counter(), Counter(own.values())
+    for d, t in rows:
+        path = [end, *map(kind, words(t)), end]
+        if not held(d):
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += 1
+                rowsum[a] += 1
+                size[b] += 1
+    total = sum(size.values())
+
+    def expected(t):
+        path = [end, *map(kind, words(t)), end]
+        steps = sum(math.log10((pairs[a, b] + brown.BACKOFF * (size[b] + 1) / (total + brown.CLASSES)) / (rowsum[a] + brown.BACKOFF))
+                    for a, b in zip(path, path[1:]))
+        return steps + sum(math.log10((counts[w] + brown.DELTA) / (size[kind(w)] + brown.DELTA * (distinct[kind(w)] + 1))) for w in words(t))
+
+    got = sorted(((str(r.doc_id), r.score) for r in brown.score(docs, passes=0).collect()))
+    want = sorted((str(d), expected(t)) for d, t in rows)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9)
+
+
+def test_exchange_takes_the_best_class(monkeypatch):
+    """The first symbol goes where the likelihood of the class bigrams, summed anew for each choice, is greatest."""
+    import numpy as np
+
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    monkeypatch.setattr(brown, "END", 9)
+    for seed in range(20):
+        rng = random.Random(seed)
+        line = [9]
+        for _ in range(300):
+            line.append(rng.choice([x for x in (*range(9), 9) if x != line[-1]] + [(line[-1] + 1) % 9] * 4))
+        line += [9] * (line[-1] != 9)
+        line = [x for k, x in enumerate(line) if k == 0 or x != line[k - 1]]
+        kind = np.array([rng.randrange(3) for _ in range(9)] + [3])
+        seen = np.zeros((2, 10, 4), np.int64)
+        for a, b in zip(line, line[1:]):
+            seen[0, b, kind[a]] += 1
+            seen[1, a, kind[b]] += 1
+
+        def likelihood(of):
+            pairs = Counter((of[a], of[b]) for a, b in zip(line, line[1:]))
+            sizes = Counter(of[b] for b in line[1:])
+            return sum(n * math.log(n) for n in pairs.values()) - 2 * sum(n * math.log(n) for n in sizes.values())
+
+        mass = Counter(line[1:])
+        first = min(range(9), key=lambda x: (-mass[x], x))
+        choices = [likelihood([c if x == first else k for x, k in enumerate(kind)]) for c in range(3)]
+        assert choices[brown.exchange(kind, seen)[first]] == pytest.approx(max(choices))
+
+
 def test_brown_beats_single_words_on_held_out_text(spark):
     rng = random.Random(2)
     kinds = [WORDS[:300], WORDS[300:600]]  # two languages whose words do not mix

@@ -220,6 +220,8 @@ def exchange(kind: np.ndarray, seen: np.ndarray) -> np.ndarray:
         np.maximum(pairs, 0.0, out=pairs)
         sizes[a] -= n
         gain = (f(pairs + left[s][:, None]) - f(pairs)).sum(axis=0) + (f(pairs + right[s][None, :]) - f(pairs)).sum(axis=1)
+        own = np.diag(pairs)  # a class's own cell gets both sides at once
+        gain += f(own + left[s] + right[s]) - f(own + left[s]) - f(own + right[s]) + f(own)
         gain -= 2 * (f(sizes + n) - f(sizes))
         gain[kind[END]] = -np.inf  # the end keeps a class of its own
         b = int(np.argmax(gain))
