@@ -164,19 +164,23 @@ def dedup_messages(messages: DataFrame, keys: Sequence[str] = ("session_id",), o
                    passthrough: Sequence[str] = ("model", "ts_us")) -> DataFrame:
     """One row per message: the first of each id, marked when a repeat differs.
 
-    A record without an id is never a repeat.  Both facts are plain aggregates,
-    so a message id that is repeated without end is combined before the shuffle.
+    A record without an id is never a repeat.  All facts are plain aggregates, so a message id that is repeated
+    without end is combined before the shuffle.  The usage fields travel as numbers, not as a struct: where no
+    passthrough string is read either, Spark combines them in a hash table and sorts nothing.
     """
     keyed = messages.withColumn(
         "_own", F.when(F.coalesce(F.col("message_id"), F.lit("")) == "", F.col(order))
     ).withColumn("message_id", F.coalesce("message_id", F.lit("")))
-    fields = F.struct(*MESSAGE_FIELDS)
+    copies = F.count("*")
+    differs = F.lit(False)
+    for name in MESSAGE_FIELDS:
+        reported = F.count(name)
+        differs = differs | F.coalesce(F.min(name) != F.max(name), F.lit(False)) | ((reported > 0) & (reported < copies))
+    firsts = [n for n in dict.fromkeys([*passthrough, *MESSAGE_FIELDS]) if n != order]
     grouped = keyed.groupBy(*keys, "message_id", "_own").agg(
-        F.min_by(F.struct(order, *passthrough, *MESSAGE_FIELDS), F.col(order)).alias("_first"),
-        (~F.min(fields).eqNullSafe(F.max(fields))).alias("conflict"),
-        F.count("*").alias("copies"),
-    )
-    return grouped.select(*keys, "message_id", "conflict", "copies", "_first.*")
+        F.min(order).alias(order), differs.alias("conflict"), copies.alias("copies"),
+        *[F.min_by(name, order).alias(name) for name in firsts])
+    return grouped.select(*keys, "message_id", "conflict", "copies", order, *firsts)
 
 
 def message_turns(kept: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "ord",
