@@ -1,6 +1,7 @@
 """Edge cases of usage, pricing, coverage and rules."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,26 @@ def test_message_usage_is_all_or_nothing(spark):
     assert (b.input, b.input_kind, b.cached_kind, b.has_reported_usage) == (None, "unknown", None, False)
 
 
+def test_dedup_equals_a_walk_in_order(spark):
+    draw = random.Random(5)
+    some = lambda: draw.choice([None, 0, 1, 1, 1])
+    rows = [(draw.choice("ab"), i, draw.choice([None, "", "m1", "m2", "m3", "m4", "m5"]), draw.choice([None, "x", "y"]),
+             draw.choice([None, i]), some(), 1, some() if i % 2 else None, 3) for i in draw.sample(range(200), 60)]
+    want = {}
+    for session, at, message, model, ts, *fields in sorted(rows, key=lambda r: r[1]):
+        first = want.setdefault((session, message or "", None if message else at), [at, model, ts, fields, False, 0])
+        first[4] |= fields != first[3]
+        first[5] += 1
+    kept = usage.dedup_messages(spark.createDataFrame(rows, MESSAGES))
+    got = sorted((r.session_id, r.message_id, r.ord, r.model, r.ts_us, r.input, r.cache_read, r.cache_write, r.output,
+                  r.conflict, r.copies) for r in kept.collect())
+    assert got == sorted((s, m, at, model, ts, *fields, conflict, copies)
+                         for (s, m, _), (at, model, ts, fields, conflict, copies) in want.items())
+    assert {r[9] for r in got} == {True, False}
+    plan = kept.drop("model")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame([("x", i) for i in range(1, 11)] + [("one", 7), ("none", None)], "k string, v bigint")
     rows = {r.k: r for r in coverage.nearest_rank(df, ["k"], "v", block=2).collect()}
