@@ -202,3 +202,18 @@ def test_roots_of_one_tail_are_two_chains(spark):
     assert len({r.chain_id for r in members}) == 1
     assert sorted((r.root_id, r.call) for r in members) == [
         ("gw-A-123456789012", 1), ("gw-A-123456789012", 2), ("gw-B-123456789012", 1), ("gw-B-123456789012", 2)]
+
+
+def test_calls_of_one_model_are_scanned_once_a_key(spark, monkeypatch):
+    scanned, carry = [], chains.carry
+
+    def counted(rows, *rest, **more):
+        scanned.append(rows.count())
+        return carry(rows, *rest, **more)
+
+    monkeypatch.setattr(chains, "carry", counted)
+    calls = [_call(i, previous=f"r{i - 1}") for i in range(30)]
+    found = chains.build_chains(_frame(spark, calls), context=False)
+    assert sorted((r.id, r.call) for r in found.members.collect()) == [(f"c{i:04d}", i + 1) for i in range(30)]
+    # An offer and an ask a call for the guess, and the end of the offer besides for the step.
+    assert scanned == [60, 89] and found.longest == 30

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from usagelake.functions.measure import available, kind_from_rank, kind_of, rank_of
 from usagelake.functions.ordered import (
     BLOCK,
+    Running,
     carry,
     last_value,
     lookup_join,
@@ -105,22 +106,70 @@ def calls_from_exchanges(exchanges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- lineage keys
 
+#: A lineage key: evidence, protocol and profile, and the id or hash itself.
+KEY = ("method", "scope", "value")
+
+#: Keys are dealt into so many parts, to learn at little cost that no key has more rows than a block.
+PARTS = 1 << 16
+
+
+def part_of() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(PARTS))
+
+
 @dataclass
 class Lineage:
     """Numbered calls and the keys they offer and ask for.
 
-    ``nodes`` has each call's context set, its digest ``sig`` and the hash that the set is ``filed`` under.
+    ``nodes`` has each call's context set, its digest ``sig`` and the hash that the set is ``filed`` under.  Keys are
+    spelled out where they are scanned and not kept.
     """
 
     nodes: DataFrame
-    offers: DataFrame
-    asks: DataFrame
-    #: Numbers of calls are below this.
-    total: int
+    context: bool
+
+    def offered(self, nodes: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        nodes = self.nodes if nodes is None else nodes
+        every = [_one("response_id"), _list("tool_offers"), _one("filed")]
+        return self._every(nodes, every[:3 - (not self.context)], keep)
+
+    def asked(self) -> DataFrame:
+        every = [_one("previous_response_id"), _list("tool_asks"), F.col("lineage")]
+        return self._every(self.nodes, every[:3 - (not self.context)], ())
+
+    @property
+    def offers(self) -> DataFrame:
+        """Offers under each of their marks, ``_v``: those of calls that fit share key and mark."""
+        return self.offered().withColumn("_v", F.explode(_variants(True)))
+
+    @property
+    def asks(self) -> DataFrame:
+        return self.asked().withColumn("_v", F.explode(_variants(False)))
+
+    @staticmethod
+    def _every(nodes: DataFrame, values: list[Column], keep: tuple[str, ...]) -> DataFrame:
+        out = _keys(nodes, METHODS[0], values[0], keep)
+        for method, value in zip(METHODS[1:], values[1:], strict=False):
+            out = out.unionByName(_keys(nodes, method, value, keep))
+        return out
+
+    def crowded(self, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame | None:
+        """Parts of the keys in which a key may have more rows than a block, if there are any."""
+        rows = offers.select(*KEY, F.lit(2).alias("_w")).unionByName(asks.select(*KEY, F.lit(1).alias("_w")))
+        large = cut(rows.groupBy(part_of().alias("_part")).agg(F.sum("_w").alias("_w")).where(F.col("_w") > block).select("_part"))
+        return None if large.isEmpty() else large
+
+
+def _one(name: str) -> Column:
+    return F.array(F.coalesce(F.col(name), F.lit("")))
+
+
+def _list(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
 def _variants(offering: bool) -> Column:
-    """Keys by model, so that calls of different named models never share one."""
+    """Marks by model, so that calls of different named models never share a key and a mark."""
     named = F.concat(F.lit("="), F.col("model"))
     blank = F.col("model") == ""
     if offering:
@@ -128,13 +177,16 @@ def _variants(offering: bool) -> Column:
     return F.when(blank, F.array(F.lit("*"), F.lit("-"))).otherwise(F.array(named, F.lit("-")))
 
 
-def _keys(calls: DataFrame, offering: bool, method: str, values: Column) -> DataFrame:
-    rows = calls.select("n", "scope", F.explode(_variants(offering)).alias("_v"), values.alias("_values")).select(
-        "n", "scope", "_v", F.explode(F.array_distinct("_values")).alias("value"))
-    rank = METHODS.index(method)
-    return rows.where("value <> ''").select(
-        "n", F.lit(rank).alias("method"), "value",
-        F.concat_ws("|", F.lit(str(rank)), "scope", "_v", "value").alias("key"))
+def _varied(offers: DataFrame, asks: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Offers and asks under each of their marks, of the given keys only."""
+    if keys is not None:
+        offers = lookup_join(offers, keys, KEY, "left_semi")
+    return (offers.withColumn("_v", F.explode(_variants(True))), asks.withColumn("_v", F.explode(_variants(False))))
+
+
+def _keys(calls: DataFrame, method: str, values: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = calls.select("n", "model", "scope", *keep, F.explode(F.array_distinct(values)).alias("value"))
+    return rows.where("value <> ''").withColumn("method", F.lit(METHODS.index(method)))
 
 
 def lineage(calls: DataFrame, context: bool = True) -> Lineage:
@@ -161,16 +213,7 @@ def lineage(calls: DataFrame, context: bool = True) -> Lineage:
         nodes = cut(lookup_join(nodes, rarest, ["scope", "sig"]))
     else:
         nodes = cut(nodes.withColumn("filed", F.lit(None).cast("string")))
-    text = F.array().cast("array<string>")
-    one = lambda c: F.array(F.coalesce(c, F.lit("")))
-    offers = _keys(nodes, True, METHODS[0], one("response_id")).unionByName(
-        _keys(nodes, True, METHODS[1], F.coalesce("tool_offers", text)))
-    asks = _keys(nodes, False, METHODS[0], one("previous_response_id")).unionByName(
-        _keys(nodes, False, METHODS[1], F.coalesce("tool_asks", text)))
-    if context:
-        offers = offers.unionByName(_keys(nodes, True, METHODS[2], one("filed")))
-        asks = asks.unionByName(_keys(nodes, False, METHODS[2], F.col("lineage")))
-    return Lineage(nodes, cut(offers), cut(asks), nodes.count())
+    return Lineage(nodes, context)
 
 
 CONTEXT = METHODS.index("context_lineage")
@@ -195,21 +238,43 @@ def _by_set(asked: DataFrame, found: Lineage) -> tuple[DataFrame, DataFrame]:
     filed = holders.groupBy("scope", "filed", "sig").agg(F.min("n").alias("other"))
     wanted = _contained(lookup_join(rows, filed, ["scope", "filed"], "inner").select("n", "other", "sig"), found)
     calls = found.nodes.select("n", "scope", "model")
-    asks = _keys(wanted.select("n", F.col("sig").alias("_sig")).join(calls, "n"), False, METHODS[2], F.array("_sig"))
+    asks = _keys(wanted.select("n", F.col("sig").alias("_sig")).join(calls, "n"), METHODS[2], F.array("_sig"))
     offering = lookup_join(holders.select("n", "scope", "model", "sig"), wanted.select("sig").distinct(), ["sig"], "left_semi")
-    return _keys(offering, True, METHODS[2], F.array("sig")), asks
+    return _keys(offering, METHODS[2], F.array("sig")), asks
+
+
+def _scan(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Running], block: int, large: DataFrame | None,
+          ) -> DataFrame:
+    """``carry`` for asks among offers: by blocks only in the parts where a key may have more rows than one."""
+    of_ask = {"keep": F.col("n").isNotNull()}
+    if large is None:
+        return carry(rows, keys, "ord", values, block, top=0, **of_ask)
+    dealt = rows.withColumn("_part", part_of()).join(F.broadcast(large.withColumn("_large", F.lit(True))), "_part", "left")
+    few = dealt.where("_large IS NULL").select(*rows.columns)
+    many = dealt.where("_large").select(*rows.columns)
+    return carry(few, keys, "ord", values, block, top=0, **of_ask).unionByName(carry(many, keys, "ord", values, block, **of_ask))
 
 
-def _latest(offers: DataFrame, asks: DataFrame, total: int, block: int) -> DataFrame:
+def _latest(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame:
     """(n, value, previous): the latest earlier call that offers a value asked for."""
-    none = F.lit(None)
-    born = offers.select("key", (F.col("n") * 2 + 1).alias("ord"), F.col("n").alias("offer"), none.cast("long").alias("n"),
-                         none.cast("string").alias("value"))
-    asked = asks.select("key", (F.col("n") * 2).alias("ord"), none.cast("long").alias("offer"), "n", "value")
-    hits = carry(born.unionByName(asked), ["key"], "ord", {"previous": running_max(F.col("offer"))}, block,
-                 keep=F.col("n").isNotNull(), top=2 * total).where("previous IS NOT NULL")
-    # A value may be met under two model variants; the later offer counts.
-    return hits.groupBy("n", "value").agg(F.max("previous").alias("previous"))
+    large = found.crowded(offers, asks, block)
+    none = F.lit(None).cast("long")
+
+    def scanned(offers: DataFrame, asks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        born = offers.select(*keys, "model", (F.col("n") * 2 + 1).alias("ord"), F.col("n").alias("offer"), none.alias("n"))
+        asked = asks.select(*keys, "model", (F.col("n") * 2).alias("ord"), none.alias("offer"), "n")
+        last = F.when(F.col("offer").isNotNull(), F.struct(F.col("offer").alias("n"), F.col("model").alias("model")))
+        return _scan(born.unionByName(asked), keys, {"_last": last_value(last)}, block, large).where("_last IS NOT NULL").select(
+            *KEY, "n", "model", F.col("_last.n").alias("previous"), F.col("_last.model").alias("_model"))
+
+    hits = cut(scanned(offers, asks, KEY))
+    # The latest offer of any model mostly fits; where it does not, calls meet under marks of their models.
+    fits = (F.col("model") == "") | (F.col("_model") == "") | (F.col("model") == F.col("_model"))
+    sure, unsure = hits.where(fits), hits.where(~fits)
+    if not unsure.isEmpty():
+        sure = sure.unionByName(scanned(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v")))
+    # A value may be met under two marks; the later offer counts.
+    return sure.groupBy("n", "value").agg(F.max("previous").alias("previous"))
 
 
 def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> DataFrame:
@@ -220,7 +285,7 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
     rank = METHODS.index(method)
     found = lineage(calls, context=rank == CONTEXT)
     of = F.col("method") == rank
-    met = _latest(found.offers.where(of), found.asks.where(of), found.total, block)
+    met = _latest(found, found.offered().where(of), found.asked().where(of), block)
     if rank < CONTEXT:
         best = met
     else:
@@ -230,7 +295,7 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
         rest = cut(met.join(sure.select("n", "value"), ["n", "value"], "left_anti"))
         best = sure
         if not rest.isEmpty():
-            best = sure.unionByName(_latest(*_by_set(rest, found), found.total, block))
+            best = sure.unionByName(_latest(found, *_by_set(rest, found), block))
     counted = best.groupBy("n", "previous").agg(F.count("*").alias("shared")).groupBy("n").agg(
         F.max(F.struct("previous", "shared")).alias("p"))
     names = found.nodes.select("n", "id")
@@ -242,7 +307,7 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
 # ------------------------------------------------------------ chain building
 
 def _guess(found: Lineage, block: int) -> DataFrame:
-    best = _latest(found.offers, found.asks, found.total, block).groupBy("n").agg(F.max("previous").alias("parent"))
+    best = _latest(found, found.offered(), found.asked(), block).groupBy("n").agg(F.max("previous").alias("parent"))
     return found.nodes.select("n", "start_shape").join(best, "n", "left").withColumn("torn", F.lit(False))
 
 
@@ -277,20 +342,36 @@ def _paths(labels: DataFrame) -> DataFrame:
     return state
 
 
-def _alive(offers: DataFrame, asks: DataFrame, living: DataFrame, total: int, block: int) -> DataFrame:
-    """Asks that meet a live offer: (n, method, value, alive, which), ``which`` being the call if it is one."""
+def _alive(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame:
+    """Asks that meet a live offer: (n, method, value, alive, which), ``which`` being the call if it is one.
+
+    ``offers`` are those of living calls, with their ``death``.
+    """
+    large = found.crowded(offers, asks, block)
     none = F.lit(None).cast("long")
-    mine = offers.select("n", "key").join(living, "n")
-    births = mine.select("key", (F.col("n") * 3 + 2).alias("ord"), F.lit(1).cast("long").alias("d"),
-                         F.col("n").alias("x"), none.alias("n"))
-    ends = mine.where("death IS NOT NULL").select(
-        "key", (F.col("death") * 3 + 1).alias("ord"), F.lit(-1).cast("long").alias("d"), F.col("n").alias("x"), none.alias("n"))
-    moves = births.unionByName(ends).withColumns({"method": F.lit(None).cast("int"), "value": F.lit(None).cast("string")})
-    asked = asks.select("key", (F.col("n") * 3).alias("ord"), F.lit(0).cast("long").alias("d"),
-                        F.lit(0).cast("long").alias("x"), "n", "method", "value")
-    return carry(moves.unionByName(asked), ["key"], "ord",
-                 {"alive": running_sum(F.col("d")), "which": running_xor(F.col("x"))}, block,
-                 keep=F.col("n").isNotNull(), top=3 * total).where("alive > 0").select("n", "method", "value", "alive", "which")
+
+    def scanned(offers: DataFrame, asks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        lives = F.array(F.struct((F.col("n") * 3 + 2).alias("ord"), F.lit(1).cast("long").alias("d")),
+                        F.struct((F.col("death") * 3 + 1).alias("ord"), F.lit(-1).cast("long").alias("d")))
+        moves = offers.select(*keys, F.col("n").alias("x"), "model", F.explode(lives).alias("e")).where("e.ord IS NOT NULL").select(
+            *keys, "e.ord", "e.d", "x", "model", none.alias("n"))
+        asked = asks.select(*keys, (F.col("n") * 3).alias("ord"), F.lit(0).cast("long").alias("d"),
+                            F.lit(0).cast("long").alias("x"), "model", "n")
+        named = F.when(F.col("n").isNull() & (F.col("model") != ""), F.col("model"))
+        return _scan(moves.unionByName(asked), keys, {
+            "alive": running_sum(F.col("d")), "which": running_xor(F.col("x")), "_least": Running("min", named),
+            "_most": running_max(named)}, block, large).where("alive > 0")
+
+    hits = cut(scanned(offers, asks, KEY).select(*KEY, "n", "model", "alive", "which", "_least", "_most"))
+    # Calls of one model, or of none, all fit each other; where models differ, calls meet under marks of their models.
+    fits = (F.col("model") == "") | F.col("_least").isNull() | (
+        (F.col("_least") == F.col("model")) & (F.col("_most") == F.col("model")))
+    shown = ("n", "method", "value", "alive", "which")
+    sure, unsure = hits.where(fits).select(*shown), hits.where(~fits)
+    if unsure.isEmpty():
+        return sure
+    again = scanned(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v"))
+    return sure.unionByName(again.select(*shown))
 
 
 def _components(found: Lineage) -> DataFrame:
@@ -299,7 +380,8 @@ def _components(found: Lineage) -> DataFrame:
     A key joins its calls to its first one.  Each round every call steps to its least neighbour and the links are
     drawn again between the places stepped to, so rounds are few whatever the shape of a group.
     """
-    both = found.offers.select("n", "key", F.lit(1).alias("o")).unionByName(found.asks.select("n", "key", F.lit(0).alias("o")))
+    key = F.struct(*KEY, "_v").alias("key")
+    both = found.offers.select("n", key, F.lit(1).alias("o")).unionByName(found.asks.select("n", key, F.lit(0).alias("o")))
     first = both.groupBy("key").agg(F.min("n").alias("m"), F.max("o").alias("_any"), F.min("o").alias("_all")).where("_any > _all")
     links = cut(lookup_join(both.select("n", "key").distinct(), first.select("key", "m"), ["key"], "inner").where("n <> m").select(
         F.col("m").alias("a"), F.col("n").alias("b")).distinct())
@@ -344,14 +426,16 @@ def _step(found: Lineage, paths: DataFrame, block: int) -> tuple[DataFrame, Data
     # The root of a chain claims nobody, whatever its pointer says.
     deaths = chained.where("parent IS NOT NULL AND dist > 0").select(F.col("parent").alias("n"), F.col("n").alias("death"))
     living = chained.select("n").join(deaths, "n", "left")
-    scanned = cut(_alive(found.offers, found.asks, living, found.total, block))
+    offers = found.offered(found.nodes.join(living, "n"), ("death",))
+    scanned = cut(_alive(found, offers, found.asked(), block))
     single = (F.col("method") < CONTEXT) | (F.col("alive") == 1)
     known = scanned.where(F.col("method") < CONTEXT).unionByName(
         _contained(scanned.where((F.col("method") == CONTEXT) & single).withColumn("other", F.col("which")), found).drop("other"))
     crowded = scanned.where(~single)
     if not crowded.isEmpty():
         # Several live calls are filed under one hash: which of their sets are contained?
-        known = known.unionByName(_alive(*_by_set(crowded, found), living, found.total, block))
+        by_set, asks = _by_set(crowded, found)
+        known = known.unionByName(_alive(found, by_set.join(living, "n"), asks, block))
     hits = cut(known)
     judged = hits.groupBy("n").agg(
         ((F.max("alive") > 1) | (F.min("which") != F.max("which"))).alias("torn"), F.min("which").alias("parent"))
@@ -375,6 +459,8 @@ class Chains:
     uncorrelated: DataFrame
     #: Steps taken until the labelling reproduced itself.
     rounds: int = 0
+    #: Calls of the longest chain.
+    longest: int = 0
 
 
 def chain_id(root: Column) -> Column:
@@ -436,19 +522,21 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, gro
         "id", "previous_id", kind.alias("kind"),
         F.when(F.col("method") < 2, F.col("value")).otherwise("component_hashes").alias("value")).distinct()
     rest = paths.where("root IS NULL").select("n").join(names, "n").drop("n")
-    return Chains(members.drop("n", "parent"), links, evidence, rest, rounds)
+    longest = (paths.agg(F.max("dist")).head()[0] or 0) + 1
+    return Chains(members.drop("n", "parent"), links, evidence, rest, rounds, longest)
 
 
 # ------------------------------------------------------------- chain reports
 
-def context_deltas(calls: DataFrame, block: int = BLOCK) -> DataFrame:
+def context_deltas(calls: DataFrame, block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """Context of each call less that of the call before it in its chain.
 
     ``calls`` has root_id, chain_id, call (1, 2, ...), attributed and its kind.  The first
-    call's delta is unknown; falls and zeros are kept.
+    call's delta is unknown; falls and zeros are kept.  ``longest``, where known, is the length of the longest
+    chain: one shorter than a block is scanned whole.
     """
     with_before = carry(calls, ["root_id"], "call", {
-        "_p": last_value(F.struct(F.col("attributed").alias("value"), F.col("attributed_kind").alias("kind")))}, block)
+        "_p": last_value(F.struct(F.col("attributed").alias("value"), F.col("attributed_kind").alias("kind")))}, block, top=longest)
     before = with_before.withColumns({"before": F.col("_p.value"), "before_kind": F.col("_p.kind")})
     both = available("attributed") & available("before")
     weaker = kind_from_rank(F.greatest(rank_of(kind_of("attributed")), rank_of(kind_of("before"))))
@@ -518,9 +606,9 @@ def chain_metrics(deltas: DataFrame) -> DataFrame:
         *[(known(f"_last_{g}") - known(f"_first_{g}")).alias(f"{g}_growth") for g in GROWTH])
 
 
-def call_report(calls: DataFrame, block: int = BLOCK) -> DataFrame:
+def call_report(calls: DataFrame, block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """One row per call of a chain: its context, step, provider usage, gap and coverage."""
-    deltas = context_deltas(calls, block)
+    deltas = context_deltas(calls, block, longest)
     both = F.col("total_input").isNotNull() & available("attributed")
     return deltas.withColumns({
         "attribution_gap": F.when(both, F.col("total_input") - F.col("attributed")),
@@ -528,9 +616,9 @@ def call_report(calls: DataFrame, block: int = BLOCK) -> DataFrame:
     })
 
 
-def chain_report(calls: DataFrame, block: int = BLOCK) -> DataFrame:
+def chain_report(calls: DataFrame, block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """One row per chain: context metrics, provider usage, gap and coverage; newest first."""
-    metrics = chain_metrics(context_deltas(calls, block))
+    metrics = chain_metrics(context_deltas(calls, block, longest))
     joined = metrics.join(chain_usage(calls), "root_id")
     both = F.col("provider_total_input").isNotNull() & F.col("total_context").isNotNull()
     return joined.withColumns({

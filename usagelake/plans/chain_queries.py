@@ -109,14 +109,15 @@ d AS (SELECT *, CASE WHEN call > 1 THEN attributed - lag(attributed) OVER (PARTI
 
 
 def _chain_calls(spark, sf_dir):
-    members = chains.build_chains(twin(spark, sf_dir, "calls")).members
-    return members.join(twin(spark, sf_dir, "call_facts"), "id")
+    found = chains.build_chains(twin(spark, sf_dir, "calls"))
+    return found.members.join(twin(spark, sf_dir, "call_facts"), "id"), found.longest
 
 
 @query("w2_context_delta", ("calls", "call_facts"), "WITH " + FACTS + """
 SELECT root_id, CAST(call AS BIGINT) AS call, delta AS context_delta FROM d""")
 def w2(spark, sf_dir):
-    return chains.context_deltas(_chain_calls(spark, sf_dir)).select("root_id", "call", "context_delta")
+    calls, longest = _chain_calls(spark, sf_dir)
+    return chains.context_deltas(calls, longest=longest).select("root_id", "call", "context_delta")
 
 
 @query("w3_chain_metrics", ("calls", "call_facts"), "WITH " + FACTS + """,
@@ -132,7 +133,8 @@ SELECT g.root_id, n AS model_calls, a AS initial_context, l.attributed AS final_
     AS BIGINT) AS largest_growth_call, hg AS history_growth, l.tool_result - q.tool_result AS tool_result_growth
 FROM g JOIN d l ON l.root_id = g.root_id AND l.call = g.z JOIN d q ON q.root_id = g.root_id AND q.call = 1""")
 def w3(spark, sf_dir):
-    return chains.chain_metrics(chains.context_deltas(_chain_calls(spark, sf_dir))).select(
+    calls, longest = _chain_calls(spark, sf_dir)
+    return chains.chain_metrics(chains.context_deltas(calls, longest=longest)).select(
         "root_id", "model_calls", "initial_context", "final_context", "peak_context", "total_context", "context_growth",
         "largest_growth", "largest_growth_call", "history_growth", "tool_result_growth")
 
@@ -153,7 +155,7 @@ u AS (SELECT root_id, count(*) AS usage_total_calls,
 @query("a23_chain_usage", ("calls", "call_facts"), "WITH " + FACTS + "," + USAGE + """
 SELECT * EXCLUDE (total_context) FROM u""")
 def a23(spark, sf_dir):
-    return chains.chain_usage(_chain_calls(spark, sf_dir)).select(
+    return chains.chain_usage(_chain_calls(spark, sf_dir)[0]).select(
         "root_id", "usage_total_calls", "usage_observed_calls", "provider_total_input", "provider_cached_input", "provider_output",
         "provider_fresh_input", "provider_reasoning_output")
 
@@ -177,7 +179,8 @@ SELECT g.root_id, g.chain_id, g.profile, g.protocol, g.model, g.started_us, n AS
   CASE WHEN provider_total_input <> 0 THEN CAST(total_context AS DOUBLE) / provider_total_input * 100 END AS coverage_percent
 FROM g JOIN u USING (root_id) JOIN d l ON l.root_id = g.root_id AND l.call = g.z JOIN d q ON q.root_id = g.root_id AND q.call = 1""")
 def g5(spark, sf_dir):
-    return chains.chain_report(_chain_calls(spark, sf_dir))
+    calls, longest = _chain_calls(spark, sf_dir)
+    return chains.chain_report(calls, longest=longest)
 
 
 @query("g5_call_report", ("calls", "call_facts"), "WITH " + FACTS + """
@@ -185,7 +188,8 @@ SELECT root_id, CAST(call AS BIGINT) AS call, id, attributed, delta AS context_d
   total_input - attributed AS attribution_gap,
   CASE WHEN total_input <> 0 THEN CAST(attributed AS DOUBLE) / total_input * 100 END AS coverage_percent FROM d""")
 def g5_calls(spark, sf_dir):
-    return chains.call_report(_chain_calls(spark, sf_dir)).select(
+    calls, longest = _chain_calls(spark, sf_dir)
+    return chains.call_report(calls, longest=longest).select(
         "root_id", "call", "id", "attributed", "context_delta", "total_input", "attribution_gap", "coverage_percent")
 
 
