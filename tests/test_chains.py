@@ -217,3 +217,28 @@ def test_calls_of_one_model_are_scanned_once_a_key(spark, monkeypatch):
     assert sorted((r.id, r.call) for r in found.members.collect()) == [(f"c{i:04d}", i + 1) for i in range(30)]
     # An offer and an ask a call for the guess, and the end of the offer besides for the step.
     assert scanned == [60, 89] and found.longest == 30
+
+
+def test_steps_after_the_first_read_contested_groups_only(spark, monkeypatch):
+    """Six quiet chains and a contested group: after the first step only the latter is read again."""
+    calls = []
+    for c in range(6):
+        for j in range(5):
+            calls.append(_call(len(calls), tool_offers=[f"q{c}-{j}"], tool_asks=[f"q{c}-{j - 1}"] if j else [], start_shape=j == 0))
+    # Two calls offer one id, so the one that asks for it is torn; what follows it depends on that.
+    first = len(calls)
+    for offers, asks, start in ((["x"], [], True), (["x"], [], True), (["y"], ["x"], True), (["z"], ["y"], True)):
+        calls.append(_call(len(calls), tool_offers=offers, tool_asks=asks, start_shape=start))
+    seen, step = [], chains._step
+
+    def counted(found, paths, block):
+        seen.append(found.nodes.count())
+        return step(found, paths, block)
+
+    monkeypatch.setattr(chains, "_step", counted)
+    got = chains.build_chains(_frame(spark, calls))
+    assert seen[0] == len(calls) and len(seen) > 1 and max(seen[1:]) == len(calls) - first
+    built, rest = by_rule(calls)
+    want = sorted((chain[0][0]["id"], k + 1, call["id"]) for chain in built for k, (call, _) in enumerate(chain))
+    assert sorted(map(tuple, got.members.select("root_id", "call", "id").collect())) == want
+    assert sorted(r.id for r in got.uncorrelated.collect()) == sorted(rest)

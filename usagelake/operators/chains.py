@@ -37,6 +37,7 @@ from usagelake.functions.ordered import (
     running_max,
     running_sum,
     running_xor,
+    small,
 )
 from usagelake.operators import chain_order
 from usagelake.operators.gateway import MESSAGES, PROTOCOLS, RESPONSES, coverage_percent, is_model_call
@@ -133,9 +134,10 @@ class Lineage:
         every = [_one("response_id"), _list("tool_offers"), _one("filed")]
         return self._every(nodes, every[:3 - (not self.context)], keep)
 
-    def asked(self) -> DataFrame:
+    def asked(self, nodes: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        nodes = self.nodes if nodes is None else nodes
         every = [_one("previous_response_id"), _list("tool_asks"), F.col("lineage")]
-        return self._every(self.nodes, every[:3 - (not self.context)], ())
+        return self._every(nodes, every[:3 - (not self.context)], keep)
 
     @property
     def offers(self) -> DataFrame:
@@ -202,9 +204,9 @@ def lineage(calls: DataFrame, context: bool = True) -> Lineage:
         F.coalesce("lineage", F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit("")) != "")))
     nodes = scoped.withColumns({
         "scope": F.concat_ws("|", "protocol", "profile"), "model": F.coalesce("model", F.lit("")), "lineage": sets,
-        "sig": F.when(F.size(sets) > 0, F.sha2(F.array_join(sets, "\n"), 256))})
+        "sig": F.when(F.size(sets) > 0, F.unhex(F.sha2(F.array_join(sets, "\n"), 256)))})
     if context:
-        nodes = cut(nodes)
+        # The numbered calls are kept already; what is derived from them is cheap to derive again.
         held = nodes.where("sig IS NOT NULL").groupBy("scope", "sig").agg(F.first("lineage").alias("lineage"))
         members = held.select("scope", "sig", F.explode("lineage").alias("h"))
         uses = members.groupBy("scope", "h").agg(F.count("*").alias("uses"))
@@ -238,9 +240,9 @@ def _by_set(asked: DataFrame, found: Lineage) -> tuple[DataFrame, DataFrame]:
     filed = holders.groupBy("scope", "filed", "sig").agg(F.min("n").alias("other"))
     wanted = _contained(lookup_join(rows, filed, ["scope", "filed"], "inner").select("n", "other", "sig"), found)
     calls = found.nodes.select("n", "scope", "model")
-    asks = _keys(wanted.select("n", F.col("sig").alias("_sig")).join(calls, "n"), METHODS[2], F.array("_sig"))
+    asks = _keys(wanted.select("n", F.hex("sig").alias("_sig")).join(calls, "n"), METHODS[2], F.array("_sig"))
     offering = lookup_join(holders.select("n", "scope", "model", "sig"), wanted.select("sig").distinct(), ["sig"], "left_semi")
-    return _keys(offering, METHODS[2], F.array("sig")), asks
+    return _keys(offering, METHODS[2], F.array(F.hex("sig"))), asks
 
 
 def _scan(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Running], block: int, large: DataFrame | None,
@@ -256,7 +258,7 @@ def _scan(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Running], bl
 
 
 def _latest(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame:
-    """(n, value, previous): the latest earlier call that offers a value asked for."""
+    """(n, value, previous): the latest earlier call that offers a value asked for.  See ``_one_each``."""
     large = found.crowded(offers, asks, block)
     none = F.lit(None).cast("long")
 
@@ -273,8 +275,12 @@ def _latest(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> D
     sure, unsure = hits.where(fits), hits.where(~fits)
     if not unsure.isEmpty():
         sure = sure.unionByName(scanned(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v")))
-    # A value may be met under two marks; the later offer counts.
-    return sure.groupBy("n", "value").agg(F.max("previous").alias("previous"))
+    return sure.select("n", "value", "previous")
+
+
+def _one_each(met: DataFrame) -> DataFrame:
+    """A value may be met under two marks; the later offer counts."""
+    return met.groupBy("n", "value").agg(F.max("previous").alias("previous"))
 
 
 def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> DataFrame:
@@ -285,7 +291,7 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
     rank = METHODS.index(method)
     found = lineage(calls, context=rank == CONTEXT)
     of = F.col("method") == rank
-    met = _latest(found, found.offered().where(of), found.asked().where(of), block)
+    met = _one_each(_latest(found, found.offered().where(of), found.asked().where(of), block))
     if rank < CONTEXT:
         best = met
     else:
@@ -295,7 +301,7 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
         rest = cut(met.join(sure.select("n", "value"), ["n", "value"], "left_anti"))
         best = sure
         if not rest.isEmpty():
-            best = sure.unionByName(_latest(found, *_by_set(rest, found), block))
+            best = sure.unionByName(_one_each(_latest(found, *_by_set(rest, found), block)))
     counted = best.groupBy("n", "previous").agg(F.count("*").alias("shared")).groupBy("n").agg(
         F.max(F.struct("previous", "shared")).alias("p"))
     names = found.nodes.select("n", "id")
@@ -371,20 +377,26 @@ def _alive(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> Da
     if unsure.isEmpty():
         return sure
     again = scanned(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v"))
-    return sure.unionByName(again.select(*shown))
+    return cut(sure.unionByName(again.select(*shown)))
 
 
-def _components(found: Lineage) -> DataFrame:
-    """(n, comp): calls that lineage keys may join, by their least call; others are left out.
+def _components(found: Lineage, paths: DataFrame) -> DataFrame:
+    """(n, comp): groups of calls that lineage keys may join, by a call of theirs.
 
-    A key joins its calls to its first one.  Each round every call steps to its least neighbour and the links are
-    drawn again between the places stepped to, so rounds are few whatever the shape of a group.
+    The calls of one chain share keys already, so only keys that reach more than one chain join anything: these are
+    few, and each joins its chains to the least of them.  Each round every chain steps to its least neighbour and the
+    links are drawn again between the places stepped to, so rounds are few whatever the shape of a group.
     """
-    key = F.struct(*KEY, "_v").alias("key")
-    both = found.offers.select("n", key, F.lit(1).alias("o")).unionByName(found.asks.select("n", key, F.lit(0).alias("o")))
-    first = both.groupBy("key").agg(F.min("n").alias("m"), F.max("o").alias("_any"), F.min("o").alias("_all")).where("_any > _all")
-    links = cut(lookup_join(both.select("n", "key").distinct(), first.select("key", "m"), ["key"], "inner").where("n <> m").select(
-        F.col("m").alias("a"), F.col("n").alias("b")).distinct())
+    tops = cut(paths.select("n", F.coalesce("root", "n").alias("top")))
+    nodes = found.nodes.join(tops, "n")
+    both = found.offered(nodes, ("top",)).withColumns({"_v": F.explode(_variants(True)), "o": F.lit(1)}).unionByName(
+        found.asked(nodes, ("top",)).withColumns({"_v": F.explode(_variants(False)), "o": F.lit(0)}))
+    keys = [*KEY, "_v"]
+    first = small(cut(both.groupBy(*keys).agg(
+        F.min("top").alias("a"), F.max("top").alias("_most"), F.max("o").alias("_any"), F.min("o").alias("_all")).where(
+        "_any > _all AND a < _most").select(*keys, "a")))
+    links = cut(lookup_join(both.select("top", *keys), first, keys, "inner").where("top <> a").select(
+        "a", F.col("top").alias("b")).distinct())
     labels = None
     while not links.isEmpty():
         least = links.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("to"))
@@ -399,8 +411,9 @@ def _components(found: Lineage) -> DataFrame:
         two = lookup_join(one, step.select(F.col("n").alias("b"), F.col("to").alias("_b")), ["b"], "inner")
         links = cut(two.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     if labels is None:
-        return links.select(F.col("a").alias("n"), F.col("b").alias("comp"))
-    return labels
+        return tops.select("n", F.col("top").alias("comp"))
+    joined = small(cut(labels.select(F.col("n").alias("top"), "comp")))
+    return lookup_join(tops, joined, ["top"]).select("n", F.coalesce("comp", "top").alias("comp"))
 
 
 #: Calls of a contested group that one task may settle in order.
@@ -427,7 +440,7 @@ def _step(found: Lineage, paths: DataFrame, block: int) -> tuple[DataFrame, Data
     deaths = chained.where("parent IS NOT NULL AND dist > 0").select(F.col("parent").alias("n"), F.col("n").alias("death"))
     living = chained.select("n").join(deaths, "n", "left")
     offers = found.offered(found.nodes.join(living, "n"), ("death",))
-    scanned = cut(_alive(found, offers, found.asked(), block))
+    scanned = _alive(found, offers, found.asked(), block)
     single = (F.col("method") < CONTEXT) | (F.col("alive") == 1)
     known = scanned.where(F.col("method") < CONTEXT).unionByName(
         _contained(scanned.where((F.col("method") == CONTEXT) & single).withColumn("other", F.col("which")), found).drop("other"))
@@ -469,32 +482,42 @@ def chain_id(root: Column) -> Column:
     return F.concat(F.lit("gwc-"), F.when(tail == "", "unknown").otherwise(tail))
 
 
+def _changed(labels: DataFrame, paths: DataFrame) -> DataFrame:
+    """Calls whose label is not the one that the paths rest on."""
+    settled = paths.select(
+        "n", F.when(F.col("dist") > 0, F.col("parent")).alias("_was"), F.col("torn").alias("_torn"))
+    return cut(labels.join(settled, "n").where(
+        ~(F.col("parent").eqNullSafe(F.col("_was")) & (F.col("torn") == F.col("_torn")))).select("n"))
+
+
 def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, group_calls: int = GROUP_CALLS) -> Chains:
     """Chains of model calls.  Call ids must be unique.
 
     Where the first labelling does not reproduce itself, the groups of calls that keys may join are found, and each
     contested one of at most ``group_calls`` is settled in one ordered pass; the second step then confirms it.  Only
-    larger groups take further steps, at least one earlier call of each being settled for good in each.
+    larger groups take further steps, at least one earlier call of each being settled for good in each.  Steps after
+    the first read the contested groups and no other calls.
     """
     found = lineage(calls, context)
     paths = _paths(_guess(found, block))
-    groups, rounds = None, 0
-    while True:
-        labels, hits = _step(found, paths, block)
-        rounds += 1
-        settled = paths.select(
-            "n", F.when(F.col("dist") > 0, F.col("parent")).alias("_was"), F.col("torn").alias("_torn"))
-        changed = labels.join(settled, "n").where(
-            ~(F.col("parent").eqNullSafe(F.col("_was")) & (F.col("torn") == F.col("_torn"))))
-        changed = cut(changed.select("n"))
-        if changed.isEmpty():
-            break
-        if groups is None:
-            groups = _components(found)
-            sure = cut(_settled(found, groups, changed, group_calls))
-            rest = labels.join(sure.select("n"), "n", "left_anti")
-            labels = cut(rest.unionByName(sure.join(found.nodes.select("n", "start_shape"), "n")))
-        paths = _paths(labels)
+    labels, hits = _step(found, paths, block)
+    changed, rounds = _changed(labels, paths), 1
+    if not changed.isEmpty():
+        # Groups without a changed call reproduce themselves and are done: the others go on alone.
+        groups = _components(found, paths)
+        comps = small(cut(changed.join(groups, "n").select("comp").distinct()))
+        torn = cut(lookup_join(groups, comps, ["comp"], "left_semi"))
+        ids = small(torn).select("n")
+        part = Lineage(cut(found.nodes.join(ids, "n", "left_semi")), context)
+        sure = cut(_settled(part, torn, changed, group_calls))
+        known = labels.join(ids, "n", "left_semi").join(sure.select("n"), "n", "left_anti")
+        labels = cut(known.unionByName(sure.join(part.nodes.select("n", "start_shape"), "n")))
+        done = [rows.join(ids, "n", "left_anti") for rows in (paths, hits)]
+        while not changed.isEmpty():
+            paths = _paths(labels)
+            labels, hits = _step(part, paths, block)
+            changed, rounds = _changed(labels, paths), rounds + 1
+        paths, hits = (old.unionByName(new) for old, new in zip(done, (paths, hits), strict=True))
     names = found.nodes.select("n", "id", "profile", "protocol", "started_us", "model")
     begun = paths.where("dist = 0").select("n")
     roots = names.join(begun, "n", "left_semi").select(F.col("n").alias("root"), F.col("id").alias("root_id"))
