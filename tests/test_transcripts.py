@@ -1,5 +1,11 @@
 """Transcript readers on hand-written files."""
 
+import json
+import tracemalloc
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from usagelake.functions.text import content_hash  # noqa: F401
 from usagelake.operators import context, rules
 from usagelake.sources import claude, codex, jsonl, rawjson
@@ -238,6 +244,30 @@ def test_raw_members():
     assert rawjson.text_of('[{"text":1}]') == "" and rawjson.text_of("5") == ""
 
 
+def test_raw_members_are_read_by_portions():
+    """A batch of 24 MB is never held as Python objects: what is held at a time is a few portions."""
+    texts = [f"{i} " + "x" * 6000 for i in range(4000)]
+    raw = pa.array([json.dumps({"output": [{"text": t}]}) for t in texts])
+    rows = 0
+    tracemalloc.start()
+    for part in rawjson.member_facts.func(iter([(raw, pa.array(["output"] * len(raw)))])):
+        assert part.field("said").to_pylist() == texts[rows : rows + len(part)]
+        rows += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 8 * rawjson.PORTION
+
+
+def test_portions_keep_rows_in_place(spark):
+    """Null, empty and overlong records among short ones, many portions in one batch."""
+    sizes = [None, 0, 3, 5 << 20, 1, 900_000, 900_000, None, 2 << 20] + [40_000] * 80
+    rows = [(i, None if n is None else json.dumps({"a": "é" * n if i % 2 else [{"text": "x" * n}]})) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, raw string").coalesce(1)
+    got = df.select("i", rawjson.member_facts("raw", F.lit("a")).alias("f")).select("i", F.length("f.said"), "f.size").collect()
+    want = [(i, n, n if n is None else 2 * n if i % 2 else n + len('[{"text": ""}]')) for i, n in enumerate(sizes)]
+    assert sorted(map(tuple, got)) == want
+
+
 def reply(ident, model="real", **usage):
     return said(f"u{ident}", "assistant", "r", id=ident, model=model, usage=usage or None)
 

@@ -10,7 +10,7 @@ from usagelake.functions.text import parse_time
 from usagelake.operators import usage
 from usagelake.session import cut
 from usagelake.sources.jsonl import file_stem
-from usagelake.sources.rawjson import member_facts, tool_blocks
+from usagelake.sources.rawjson import content_facts
 from usagelake.sources.records import get, integers_ok, objects_ok, parsed, strings_ok, text, typed
 from usagelake.sources.transcripts import Transcripts, component, finish_components, place, text_facts, unreadable
 
@@ -67,16 +67,15 @@ def _reduce(records: DataFrame) -> DataFrame:
     nested = some(lambda i: (field(i, "text") == "") & F.try_variant_get(i, "$.content", "variant").isNotNull())
     seen = records.where("readable").withColumns({
         "_sound": is_array & F.coalesce(F.forall(items, sound), F.lit(False)),
-        "_tools": tool_blocks("message.content")(F.when(has_tools, F.col("raw"))),
-        "_deep": member_facts(F.when(nested, F.col("raw")), F.lit("message.content")),
+        "_facts": content_facts("message.content")(F.when(has_tools, F.col("raw")), F.when(nested, F.col("raw"))),
     })
     flat = F.array_join(F.transform(items, lambda i: field(i, "text")), "")
     body = F.coalesce(
-        F.when(F.col("content_kind") == "STRING", text(".message.content")), F.col("_deep.said"),
+        F.when(F.col("content_kind") == "STRING", text(".message.content")), F.col("_facts.deep.said"),
         F.when(is_array, flat), F.lit(""))
 
     def facts(item: Column, i: Column) -> Column:
-        tool = F.get("_tools", i)
+        tool = F.get("_facts.tools", i)
         said = F.coalesce(tool["said"], F.lit(""))
         return F.struct(
             field(item, "type").alias("type"), field(item, "id").alias("id"), field(item, "name").alias("name"),
