@@ -242,3 +242,20 @@ def test_steps_after_the_first_read_contested_groups_only(spark, monkeypatch):
     want = sorted((chain[0][0]["id"], k + 1, call["id"]) for chain in built for k, (call, _) in enumerate(chain))
     assert sorted(map(tuple, got.members.select("root_id", "call", "id").collect())) == want
     assert sorted(r.id for r in got.uncorrelated.collect()) == sorted(rest)
+
+
+def test_one_row_a_call_is_kept_however_many_keys_it_has(spark, monkeypatch):
+    kept, cut = [], chains.cut
+
+    def counted(rows):
+        got = cut(rows)
+        kept.append(got.count())
+        return got
+
+    monkeypatch.setattr(chains, "cut", counted)
+    calls = [_call(i, tool_offers=[f"t{k}" for k in range(20 + i)], tool_asks=[f"t{k}" for k in range(19 + i)] if i else []) for i in range(6)]
+    found = chains.build_chains(_frame(spark, calls))
+    assert sorted((r.id, r.call) for r in found.members.collect()) == [(f"c{i:04d}", i + 1) for i in range(6)]
+    assert max(kept) == len(calls)
+    # The ids that lead to a call are read off both calls.
+    assert found.evidence.where("id = 'c0001'").count() == 20 and {r.kind for r in found.evidence.collect()} == {"tool_lineage"}

@@ -21,7 +21,7 @@ a start; else it stays uncorrelated.  It is computed here set-wise:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ from usagelake.functions.ordered import (
 )
 from usagelake.operators import chain_order
 from usagelake.operators.gateway import MESSAGES, PROTOCOLS, RESPONSES, coverage_percent, is_model_call
-from usagelake.session import cut
+from usagelake.session import cut, release, sizeless
 
 # How a call continues another, strongest evidence first.
 METHODS = ("explicit_id", "tool_lineage", "context_lineage")
@@ -122,22 +122,35 @@ def part_of() -> Column:
 class Lineage:
     """Numbered calls and the keys they offer and ask for.
 
-    ``nodes`` has each call's context set, its digest ``sig`` and the hash that the set is ``filed`` under.  Keys are
-    spelled out where they are scanned and not kept.
+    ``filed`` has, of each call with a context, the set's digest ``sig`` and the hash that the set is ``filed`` under
+    (None where contexts are left out).  Keys are spelled out where they are scanned and not kept.
     """
 
     nodes: DataFrame
-    context: bool
-
-    def offered(self, nodes: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        nodes = self.nodes if nodes is None else nodes
-        every = [_one("response_id"), _list("tool_offers"), _one("filed")]
-        return self._every(nodes, every[:3 - (not self.context)], keep)
-
-    def asked(self, nodes: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        nodes = self.nodes if nodes is None else nodes
-        every = [_one("previous_response_id"), _list("tool_asks"), F.col("lineage")]
-        return self._every(nodes, every[:3 - (not self.context)], keep)
+    filed: DataFrame | None
+    #: What ``crowded`` gave for all keys, by the block.
+    known: dict[int, DataFrame | None] = field(default_factory=dict)
+
+    def offered(self, of: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Keys offered, by the calls ``of`` only where given (n and the columns to ``keep``)."""
+        out = self._spelled(of, keep, _one("response_id"), _list("tool_offers"))
+        if self.filed is None:
+            return out
+        filed = self.filed if of is None else self.filed.join(of.select("n", *keep), "n")
+        return out.unionByName(_keys(filed, (CONTEXT, F.array("filed")), keep=keep))
+
+    def asked(self, of: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        contexts = [] if self.filed is None else [F.col("lineage")]
+        return self._spelled(of, keep, _one("previous_response_id"), _list("tool_asks"), *contexts)
+
+    def _spelled(self, of: DataFrame | None, keep: tuple[str, ...], *values: Column) -> DataFrame:
+        nodes = self.nodes if of is None else self.nodes.join(of.select("n", *keep), "n")
+        return _keys(nodes, *enumerate(values), keep=keep)
+
+    def among(self, ids: DataFrame) -> Lineage:
+        """The calls ``ids`` and no others."""
+        filed = None if self.filed is None else cut(self.filed.join(ids, "n", "left_semi"))
+        return Lineage(cut(self.nodes.join(ids, "n", "left_semi")), filed, self.known)
 
     @property
     def offers(self) -> DataFrame:
@@ -148,12 +161,11 @@ class Lineage:
     def asks(self) -> DataFrame:
         return self.asked().withColumn("_v", F.explode(_variants(False)))
 
-    @staticmethod
-    def _every(nodes: DataFrame, values: list[Column], keep: tuple[str, ...]) -> DataFrame:
-        out = _keys(nodes, METHODS[0], values[0], keep)
-        for method, value in zip(METHODS[1:], values[1:], strict=False):
-            out = out.unionByName(_keys(nodes, method, value, keep))
-        return out
+    def crowded_of_all(self, block: int) -> DataFrame | None:
+        """``crowded`` of all keys: found out once, and enough for the keys of some calls too."""
+        if block not in self.known:
+            self.known[block] = self.crowded(self.offered(), self.asked(), block)
+        return self.known[block]
 
     def crowded(self, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame | None:
         """Parts of the keys in which a key may have more rows than a block, if there are any."""
@@ -186,9 +198,14 @@ def _varied(offers: DataFrame, asks: DataFrame, keys: DataFrame | None = None) -
     return (offers.withColumn("_v", F.explode(_variants(True))), asks.withColumn("_v", F.explode(_variants(False))))
 
 
-def _keys(calls: DataFrame, method: str, values: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    rows = calls.select("n", "model", "scope", *keep, F.explode(F.array_distinct(values)).alias("value"))
-    return rows.where("value <> ''").withColumn("method", F.lit(METHODS.index(method)))
+def _keys(calls: DataFrame, *values: tuple[int, Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each (method, value) of a call; all methods in one pass, so what is joined to calls moves once."""
+    def tagged(method: int, of: Column) -> Column:
+        return F.transform(F.array_distinct(of), lambda v: F.struct(F.lit(method).alias("method"), v.alias("value")))
+
+    every = F.concat(*[tagged(method, of) for method, of in values])
+    rows = calls.select("n", "model", "scope", *keep, F.explode(every).alias("_k"))
+    return rows.select("n", "model", "scope", *keep, "_k.value", "_k.method").where("value <> ''")
 
 
 def lineage(calls: DataFrame, context: bool = True) -> Lineage:
@@ -199,23 +216,22 @@ def lineage(calls: DataFrame, context: bool = True) -> Lineage:
     each of its own.  So asks are as many as hashes, however many sets contain each other; whether the set that an
     ask meets is really contained is looked at where one is met.
     """
-    scoped = number(calls.where(F.col("protocol").isin(*PROTOCOLS)).select(*CALL_COLUMNS), ["started_us", "id"], "n")
     sets = F.array_sort(F.array_distinct(F.filter(
         F.coalesce("lineage", F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit("")) != "")))
-    nodes = scoped.withColumns({
-        "scope": F.concat_ws("|", "protocol", "profile"), "model": F.coalesce("model", F.lit("")), "lineage": sets,
-        "sig": F.when(F.size(sets) > 0, F.unhex(F.sha2(F.array_join(sets, "\n"), 256)))})
-    if context:
-        # The numbered calls are kept already; what is derived from them is cheap to derive again.
-        held = nodes.where("sig IS NOT NULL").groupBy("scope", "sig").agg(F.first("lineage").alias("lineage"))
-        members = held.select("scope", "sig", F.explode("lineage").alias("h"))
-        uses = members.groupBy("scope", "h").agg(F.count("*").alias("uses"))
-        rarest = lookup_join(members, uses, ["scope", "h"]).groupBy("scope", "sig").agg(
-            F.min_by("h", F.struct("uses", "h")).alias("filed"))
-        nodes = cut(lookup_join(nodes, rarest, ["scope", "sig"]))
-    else:
-        nodes = cut(nodes.withColumn("filed", F.lit(None).cast("string")))
-    return Lineage(nodes, context)
+    slim = calls.where(F.col("protocol").isin(*PROTOCOLS)).select(*CALL_COLUMNS).withColumns(
+        {"model": F.coalesce("model", F.lit("")), "lineage": sets})
+    nodes = number(slim, ["started_us", "id"], "n").withColumn("scope", F.concat_ws("|", "protocol", "profile"))
+    if not context:
+        return Lineage(nodes, None)
+    # The numbered calls are kept already: what is found out about their contexts is kept beside them, not with them again.
+    having = nodes.where(F.size("lineage") > 0).withColumn("sig", F.unhex(F.sha2(F.array_join("lineage", "\n"), 256)))
+    held = having.groupBy("scope", "sig").agg(F.min("n").alias("set"), F.first("lineage").alias("lineage"))
+    # A set goes by its first call's number here: digests would be most of what moves.
+    members = held.select("scope", "set", F.explode("lineage").alias("h"))
+    uses = members.groupBy("scope", "h").agg(F.count("set").alias("uses"))
+    rarest = lookup_join(members, uses, ["scope", "h"]).groupBy("set").agg(F.min_by("h", F.struct("uses", "h")).alias("filed"))
+    named = held.select("scope", "sig", "set").join(rarest, "set").drop("set")
+    return Lineage(nodes, cut(lookup_join(having.select("n", "scope", "model", "sig"), named, ["scope", "sig"], "inner")))
 
 
 CONTEXT = METHODS.index("context_lineage")
@@ -235,20 +251,20 @@ def _by_set(asked: DataFrame, found: Lineage) -> tuple[DataFrame, DataFrame]:
 
     The sets filed under the hash are looked at one by one; an ask is left for each that is really contained.
     """
-    holders = found.nodes.where("filed IS NOT NULL")
+    holders = found.filed
     rows = asked.select("n", F.col("value").alias("filed")).distinct().join(found.nodes.select("n", "scope"), "n")
     filed = holders.groupBy("scope", "filed", "sig").agg(F.min("n").alias("other"))
     wanted = _contained(lookup_join(rows, filed, ["scope", "filed"], "inner").select("n", "other", "sig"), found)
     calls = found.nodes.select("n", "scope", "model")
-    asks = _keys(wanted.select("n", F.hex("sig").alias("_sig")).join(calls, "n"), METHODS[2], F.array("_sig"))
+    asks = _keys(wanted.select("n", F.hex("sig").alias("_sig")).join(calls, "n"), (CONTEXT, F.array("_sig")))
     offering = lookup_join(holders.select("n", "scope", "model", "sig"), wanted.select("sig").distinct(), ["sig"], "left_semi")
-    return _keys(offering, METHODS[2], F.array(F.hex("sig"))), asks
+    return _keys(offering, (CONTEXT, F.array(F.hex("sig")))), asks
 
 
 def _scan(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Running], block: int, large: DataFrame | None,
-          ) -> DataFrame:
+          ask: Column) -> DataFrame:
     """``carry`` for asks among offers: by blocks only in the parts where a key may have more rows than one."""
-    of_ask = {"keep": F.col("n").isNotNull()}
+    of_ask = {"keep": ask}
     if large is None:
         return carry(rows, keys, "ord", values, block, top=0, **of_ask)
     dealt = rows.withColumn("_part", part_of()).join(F.broadcast(large.withColumn("_large", F.lit(True))), "_part", "left")
@@ -257,24 +273,28 @@ def _scan(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Running], bl
     return carry(few, keys, "ord", values, block, top=0, **of_ask).unionByName(carry(many, keys, "ord", values, block, **of_ask))
 
 
+def _latest_by(offers: DataFrame, asks: DataFrame, keys: tuple[str, ...], block: int, large: DataFrame | None) -> DataFrame:
+    """Asks that an earlier offer meets under ``keys``, with the latest one and whether the models fit.
+
+    Only the order moves with a key: calls and sides are read off it.
+    """
+    born, ask = F.col("ord") % 2 == 1, F.col("ord") % 2 == 0
+    rows = offers.select(*keys, "model", (F.col("n") * 2 + 1).alias("ord")).unionByName(
+        asks.select(*keys, "model", (F.col("n") * 2).alias("ord")))
+    last = F.when(born, F.struct(F.shiftright("ord", 1).alias("n"), F.col("model").alias("model")))
+    # The latest offer of any model mostly fits; where it does not, calls meet under marks of their models.
+    fits = (F.col("model") == "") | (F.col("_last.model") == "") | (F.col("model") == F.col("_last.model"))
+    return _scan(rows, keys, {"_last": last_value(last)}, block, large, ask).where("_last IS NOT NULL").select(
+        *KEY, F.shiftright("ord", 1).alias("n"), "model", F.col("_last.n").alias("previous"), fits.alias("_fits"))
+
+
 def _latest(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame:
     """(n, value, previous): the latest earlier call that offers a value asked for.  See ``_one_each``."""
     large = found.crowded(offers, asks, block)
-    none = F.lit(None).cast("long")
-
-    def scanned(offers: DataFrame, asks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        born = offers.select(*keys, "model", (F.col("n") * 2 + 1).alias("ord"), F.col("n").alias("offer"), none.alias("n"))
-        asked = asks.select(*keys, "model", (F.col("n") * 2).alias("ord"), none.alias("offer"), "n")
-        last = F.when(F.col("offer").isNotNull(), F.struct(F.col("offer").alias("n"), F.col("model").alias("model")))
-        return _scan(born.unionByName(asked), keys, {"_last": last_value(last)}, block, large).where("_last IS NOT NULL").select(
-            *KEY, "n", "model", F.col("_last.n").alias("previous"), F.col("_last.model").alias("_model"))
-
-    hits = cut(scanned(offers, asks, KEY))
-    # The latest offer of any model mostly fits; where it does not, calls meet under marks of their models.
-    fits = (F.col("model") == "") | (F.col("_model") == "") | (F.col("model") == F.col("_model"))
-    sure, unsure = hits.where(fits), hits.where(~fits)
+    hits = cut(_latest_by(offers, asks, KEY, block, large))
+    sure, unsure = hits.where("_fits"), hits.where("NOT _fits")
     if not unsure.isEmpty():
-        sure = sure.unionByName(scanned(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v")))
+        sure = sure.unionByName(_latest_by(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v"), block, large))
     return sure.select("n", "value", "previous")
 
 
@@ -313,7 +333,16 @@ def latest_predecessor(calls: DataFrame, method: str, block: int = BLOCK) -> Dat
 # ------------------------------------------------------------ chain building
 
 def _guess(found: Lineage, block: int) -> DataFrame:
-    best = _latest(found, found.offered(), found.asked(), block).groupBy("n").agg(F.max("previous").alias("parent"))
+    """Each call with the latest call that it shares a key with; one row a call is kept, however many keys it has."""
+    offers, asks, large = found.offered(), found.asked(), found.crowded_of_all(block)
+    best = cut(_latest_by(offers, asks, KEY, block, large).groupBy("n").agg(
+        F.max(F.when(F.col("_fits"), F.col("previous"))).alias("parent"), (~F.bool_and("_fits")).alias("open")))
+    again = best.where("open").select("n")
+    best = best.select("n", "parent")
+    if not again.isEmpty():
+        unsure = found.asked(again)
+        marked = _latest_by(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v"), block, large)
+        best = best.unionByName(marked.select("n", F.col("previous").alias("parent"))).groupBy("n").agg(F.max("parent").alias("parent"))
     return found.nodes.select("n", "start_shape").join(best, "n", "left").withColumn("torn", F.lit(False))
 
 
@@ -326,11 +355,11 @@ def _paths(labels: DataFrame) -> DataFrame:
     first = labels.where("parent IS NOT NULL").groupBy("parent").agg(F.min("n").alias("_child"))
     held = first.select(F.col("_child").alias("n"), F.lit(True).alias("_held"))
     begins = F.col("start_shape") & ~F.col("torn")
-    state = cut(labels.join(held, "n", "left").select(
-        "n", "start_shape", "torn", F.when(F.col("_held"), F.col("parent")).alias("parent"),
+    state = sizeless(cut(labels.join(held, "n", "left").select(
+        "n", "torn", F.when(F.col("_held"), F.col("parent")).alias("parent"),
         F.when(F.col("_held"), F.col("parent")).alias("up"),
         F.lit(1).cast("long").alias("reach"),
-        F.when(begins, F.col("n")).alias("root"), F.when(begins, F.lit(0).cast("long")).alias("dist")))
+        F.when(begins, F.col("n")).alias("root"), F.when(begins, F.lit(0).cast("long")).alias("dist"))))
     while not state.where("up IS NOT NULL").isEmpty():
         for _ in range(2):
             above = state.select(
@@ -340,44 +369,52 @@ def _paths(labels: DataFrame) -> DataFrame:
             joined = state.join(above, "up", "left")
             further = F.col("_root").isNotNull()
             state = joined.select(
-                "n", "start_shape", "torn", "parent", F.col("_up").alias("up"),
+                "n", "torn", "parent", F.col("_up").alias("up"),
                 (F.col("reach") + F.coalesce("_reach", F.lit(0))).alias("reach"),
                 F.when(further, F.col("_root")).otherwise(F.col("root")).alias("root"),
                 F.when(further, F.col("reach") + F.col("_dist")).otherwise(F.col("dist")).alias("dist"))
-        state = cut(state)
+        state = sizeless(cut(state))
     return state
 
 
-def _alive(found: Lineage, offers: DataFrame, asks: DataFrame, block: int) -> DataFrame:
-    """Asks that meet a live offer: (n, method, value, alive, which), ``which`` being the call if it is one.
-
-    ``offers`` are those of living calls, with their ``death``.
-    """
-    large = found.crowded(offers, asks, block)
-    none = F.lit(None).cast("long")
-
-    def scanned(offers: DataFrame, asks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        lives = F.array(F.struct((F.col("n") * 3 + 2).alias("ord"), F.lit(1).cast("long").alias("d")),
-                        F.struct((F.col("death") * 3 + 1).alias("ord"), F.lit(-1).cast("long").alias("d")))
-        moves = offers.select(*keys, F.col("n").alias("x"), "model", F.explode(lives).alias("e")).where("e.ord IS NOT NULL").select(
-            *keys, "e.ord", "e.d", "x", "model", none.alias("n"))
-        asked = asks.select(*keys, (F.col("n") * 3).alias("ord"), F.lit(0).cast("long").alias("d"),
-                            F.lit(0).cast("long").alias("x"), "model", "n")
-        named = F.when(F.col("n").isNull() & (F.col("model") != ""), F.col("model"))
-        return _scan(moves.unionByName(asked), keys, {
-            "alive": running_sum(F.col("d")), "which": running_xor(F.col("x")), "_least": Running("min", named),
-            "_most": running_max(named)}, block, large).where("alive > 0")
-
-    hits = cut(scanned(offers, asks, KEY).select(*KEY, "n", "model", "alive", "which", "_least", "_most"))
+def _alive_by(offers: DataFrame, asks: DataFrame, keys: tuple[str, ...], block: int, large: DataFrame | None) -> DataFrame:
+    """Asks that a live offer meets under ``keys``: how many (``alive``, 2 at most), which, and whether all models fit."""
+    kind = F.col("ord") % 3
+    ends = F.array((F.col("n") * 3 + 2), (F.col("death") * 3 + 1))
+    moves = offers.select(*keys, F.explode(ends).alias("ord"), F.col("n").alias("x"), "model").where("ord IS NOT NULL")
+    asked = asks.select(*keys, (F.col("n") * 3).alias("ord"), F.lit(0).cast("long").alias("x"), "model")
+    named = F.when((kind != 0) & (F.col("model") != ""), F.col("model"))
+    met = _scan(moves.unionByName(asked), keys, {
+        "alive": running_sum(F.when(kind == 2, 1).when(kind == 1, -1).otherwise(0).cast("long")), "which": running_xor(F.col("x")),
+        "_least": Running("min", named), "_most": running_max(named)}, block, large, kind == 0).where("alive > 0")
     # Calls of one model, or of none, all fit each other; where models differ, calls meet under marks of their models.
     fits = (F.col("model") == "") | F.col("_least").isNull() | (
         (F.col("_least") == F.col("model")) & (F.col("_most") == F.col("model")))
-    shown = ("n", "method", "value", "alive", "which")
-    sure, unsure = hits.where(fits).select(*shown), hits.where(~fits)
+    return met.select(F.call_function("div", F.col("ord"), F.lit(3)).alias("n"), "method", "value",
+                      F.least("alive", F.lit(2).cast("long")).alias("alive"), "which", fits.alias("_fits"))
+
+
+def _alike(met: DataFrame, fits: Column) -> DataFrame:
+    """What asks tell, once: most of a call's keys lead to one call.  A value is told where several sets are filed there."""
+    told = (F.col("method") == CONTEXT) & (F.col("alive") > 1)
+    tell = {"method": F.col("method"), "value": F.when(told, F.col("value")), "alive": F.col("alive"),
+            "which": F.when(F.col("alive") == 1, F.col("which"))}
+    return met.select("n", *[F.when(fits, c).alias(name) for name, c in tell.items()]).distinct()
+
+
+def _alive(offers: DataFrame, asks: DataFrame, block: int, large: DataFrame | None) -> DataFrame:
+    """What asks tell that meet a live offer: (n, method, value, alive, which), ``which`` being the call if it is one.
+
+    ``offers`` are those of living calls, with their ``death``.
+    """
+    met = cut(_alike(_alive_by(offers, asks, KEY, block, large), F.col("_fits")))
+    sure, unsure = met.where("method IS NOT NULL"), met.where("method IS NULL").select("n")
     if unsure.isEmpty():
         return sure
-    again = scanned(*_varied(offers, unsure, unsure.select(*KEY).distinct()), (*KEY, "_v"))
-    return cut(sure.unionByName(again.select(*shown)))
+    # All keys of a call one of whose keys reached another model.
+    asks = asks.join(unsure, "n", "left_semi")
+    again = _alive_by(*_varied(offers, asks, asks.select(*KEY).distinct()), (*KEY, "_v"), block, large)
+    return cut(sure.unionByName(_alike(again, F.lit(True))))
 
 
 def _components(found: Lineage, paths: DataFrame) -> DataFrame:
@@ -388,14 +425,22 @@ def _components(found: Lineage, paths: DataFrame) -> DataFrame:
     links are drawn again between the places stepped to, so rounds are few whatever the shape of a group.
     """
     tops = cut(paths.select("n", F.coalesce("root", "n").alias("top")))
-    nodes = found.nodes.join(tops, "n")
-    both = found.offered(nodes, ("top",)).withColumns({"_v": F.explode(_variants(True)), "o": F.lit(1)}).unionByName(
-        found.asked(nodes, ("top",)).withColumns({"_v": F.explode(_variants(False)), "o": F.lit(0)}))
     keys = [*KEY, "_v"]
-    first = small(cut(both.groupBy(*keys).agg(
-        F.min("top").alias("a"), F.max("top").alias("_most"), F.max("o").alias("_any"), F.min("o").alias("_all")).where(
-        "_any > _all AND a < _most").select(*keys, "a")))
-    links = cut(lookup_join(both.select("top", *keys), first, keys, "inner").where("top <> a").select(
+
+    def marked(*of) -> DataFrame:
+        sides = (found.offered(*of), 1, True), (found.asked(*of), 0, False)
+        one, two = (rows.withColumns({"_v": F.explode(_variants(offering)), "o": F.lit(o)}) for rows, o, offering in sides)
+        return one.unionByName(two).withColumn("_h", F.xxhash64(*keys))
+
+    def across(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.min("top").alias("a"), F.max("top").alias("_most"), F.max("o").alias("_any"), F.min("o").alias("_all")).where(
+            "_any > _all AND a < _most").select(*keys, "a")
+
+    # All keys are gone through by their hashes; the few that may reach another chain are then looked at themselves.
+    few = small(cut(across(marked(tops, ("top",)), ["_h"]).select("_h")))
+    met = cut(lookup_join(marked(), few, ["_h"], "left_semi").join(tops, "n").select("top", "o", *keys))
+    links = cut(lookup_join(met.select("top", *keys), small(cut(across(met, keys))), keys, "inner").where("top <> a").select(
         "a", F.col("top").alias("b")).distinct())
     labels = None
     while not links.isEmpty():
@@ -428,19 +473,19 @@ def _settled(found: Lineage, groups: DataFrame, contested: DataFrame, limit: int
     torn = contested.join(groups, "n").select("comp").distinct()
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") <= limit)
     chosen = sizes.join(torn, "comp").select("comp")
-    rows = lookup_join(groups, chosen, ["comp"], "left_semi").join(found.nodes, "n").select(
+    filed = found.nodes.select("n", F.lit(None).cast("string").alias("filed")).limit(0) if found.filed is None else found.filed.select("n", "filed")
+    rows = lookup_join(groups, chosen, ["comp"], "left_semi").join(found.nodes, "n").join(filed, "n", "left").select(
         "comp", "n", "model", "start_shape", "response_id", "previous_response_id", "tool_offers", "tool_asks", "lineage", "filed")
     return rows.repartition("comp").sortWithinPartitions("comp", "n").mapInArrow(chain_order.in_order, chain_order.LABELS)
 
 
-def _step(found: Lineage, paths: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Apply the rule once: new labels, and the live offers they rest on."""
+def _step(found: Lineage, paths: DataFrame, block: int) -> DataFrame:
+    """Apply the rule once: new labels, each with the strongest ``method`` that it rests on."""
     chained = paths.where("root IS NOT NULL").select("n", "parent", "dist")
     # The root of a chain claims nobody, whatever its pointer says.
     deaths = chained.where("parent IS NOT NULL AND dist > 0").select(F.col("parent").alias("n"), F.col("n").alias("death"))
     living = chained.select("n").join(deaths, "n", "left")
-    offers = found.offered(found.nodes.join(living, "n"), ("death",))
-    scanned = _alive(found, offers, found.asked(), block)
+    scanned = _alive(found.offered(living, ("death",)), found.asked(), block, found.crowded_of_all(block))
     single = (F.col("method") < CONTEXT) | (F.col("alive") == 1)
     known = scanned.where(F.col("method") < CONTEXT).unionByName(
         _contained(scanned.where((F.col("method") == CONTEXT) & single).withColumn("other", F.col("which")), found).drop("other"))
@@ -448,14 +493,14 @@ def _step(found: Lineage, paths: DataFrame, block: int) -> tuple[DataFrame, Data
     if not crowded.isEmpty():
         # Several live calls are filed under one hash: which of their sets are contained?
         by_set, asks = _by_set(crowded, found)
-        known = known.unionByName(_alive(found, by_set.join(living, "n"), asks, block))
-    hits = cut(known)
-    judged = hits.groupBy("n").agg(
-        ((F.max("alive") > 1) | (F.min("which") != F.max("which"))).alias("torn"), F.min("which").alias("parent"))
-    labels = found.nodes.select("n", "start_shape").join(judged, "n", "left").select(
-        "n", "start_shape", F.when(~F.col("torn"), F.col("parent")).alias("parent"),
-        F.coalesce("torn", F.lit(False)).alias("torn"))
-    return cut(labels), hits
+        known = known.unionByName(_alive(by_set.join(living, "n"), asks, block, found.crowded(by_set, asks, block)))
+    judged = known.groupBy("n").agg(
+        ((F.max("alive") > 1) | (F.min("which") != F.max("which"))).alias("torn"), F.min("which").alias("parent"),
+        F.min("method").alias("method"))
+    claims = ~F.col("torn")
+    return cut(found.nodes.select("n", "start_shape").join(judged, "n", "left").select(
+        "n", "start_shape", F.when(claims, F.col("parent")).alias("parent"), F.coalesce("torn", F.lit(False)).alias("torn"),
+        F.when(claims, F.col("method")).alias("method")))
 
 
 @dataclass
@@ -500,7 +545,7 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, gro
     """
     found = lineage(calls, context)
     paths = _paths(_guess(found, block))
-    labels, hits = _step(found, paths, block)
+    labels = _step(found, paths, block)
     changed, rounds = _changed(labels, paths), 1
     if not changed.isEmpty():
         # Groups without a changed call reproduce themselves and are done: the others go on alone.
@@ -508,16 +553,16 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, gro
         comps = small(cut(changed.join(groups, "n").select("comp").distinct()))
         torn = cut(lookup_join(groups, comps, ["comp"], "left_semi"))
         ids = small(torn).select("n")
-        part = Lineage(cut(found.nodes.join(ids, "n", "left_semi")), context)
+        part = found.among(ids)
         sure = cut(_settled(part, torn, changed, group_calls))
-        known = labels.join(ids, "n", "left_semi").join(sure.select("n"), "n", "left_anti")
+        done = [rows.join(ids, "n", "left_anti") for rows in (paths, labels)]
+        known = labels.drop("method").join(ids, "n", "left_semi").join(sure.select("n"), "n", "left_anti")
         labels = cut(known.unionByName(sure.join(part.nodes.select("n", "start_shape"), "n")))
-        done = [rows.join(ids, "n", "left_anti") for rows in (paths, hits)]
         while not changed.isEmpty():
             paths = _paths(labels)
-            labels, hits = _step(part, paths, block)
+            labels = _step(part, paths, block)
             changed, rounds = _changed(labels, paths), rounds + 1
-        paths, hits = (old.unionByName(new) for old, new in zip(done, (paths, hits), strict=True))
+        paths, labels = (old.unionByName(new) for old, new in zip(done, (paths, labels), strict=True))
     names = found.nodes.select("n", "id", "profile", "protocol", "started_us", "model")
     begun = paths.where("dist = 0").select("n")
     roots = names.join(begun, "n", "left_semi").select(F.col("n").alias("root"), F.col("id").alias("root_id"))
@@ -528,8 +573,7 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, gro
     members = starts.unionByName(later).select(
         "root_id", chain_id(F.col("root_id")).alias("chain_id"), (F.col("dist") + 1).alias("call"), "id", "profile", "protocol", "started_us", "model", "n",
         F.when(F.col("dist") > 0, F.col("parent")).alias("parent"))
-    used = hits.join(members.where("parent IS NOT NULL").select("n", "parent"), "n").where("which = parent")
-    best = used.groupBy("n").agg(F.min("method").alias("_m"))
+    best = labels.where("parent IS NOT NULL").select("n", F.col("method").alias("_m"))
     method = F.lit("chain_start")
     for rank, name in enumerate(METHODS):
         method = F.when(F.col("_m") == rank, name).otherwise(method)
@@ -539,13 +583,18 @@ def build_chains(calls: DataFrame, block: int = BLOCK, context: bool = True, gro
         F.when(F.col("previous_id").isNull(), "start").otherwise("continue").alias("relation"), method.alias("method"))
     kind = F.lit("")
     for rank, name in enumerate(METHODS):
-        kind = F.when(F.col("method") == rank, name).otherwise(kind)
-    evidence = used.join(best, "n").where("method = _m").join(names.select("n", "id"), "n").join(
-        previous, "parent").select(
-        "id", "previous_id", kind.alias("kind"),
-        F.when(F.col("method") < 2, F.col("value")).otherwise("component_hashes").alias("value")).distinct()
+        kind = F.when(F.col("_m") == rank, name).otherwise(kind)
+    # What both calls of a link name: read off the calls themselves, so no met key is kept for it.
+    linked = members.where("parent IS NOT NULL").select("n", "parent").join(best, "n").join(
+        found.nodes.select("n", "id", "previous_response_id", "tool_asks"), "n").join(
+        found.nodes.select(F.col("n").alias("parent"), F.col("id").alias("previous_id"), "tool_offers"), "parent")
+    values = F.when(F.col("_m") == 0, _one("previous_response_id")).when(
+        F.col("_m") == 1, F.filter(F.array_intersect(_list("tool_asks"), _list("tool_offers")), lambda t: t != "")).otherwise(
+        F.array(F.lit("component_hashes")))
+    evidence = linked.select("id", "previous_id", kind.alias("kind"), F.explode(values).alias("value"))
     rest = paths.where("root IS NULL").select("n").join(names, "n").drop("n")
     longest = (paths.agg(F.max("dist")).head()[0] or 0) + 1
+    release(paths.sparkSession)
     return Chains(members.drop("n", "parent"), links, evidence, rest, rounds, longest)
 
 
